@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import confusables, leaks, mojibake
+from sluicework.llm import confusables, languages, leaks, mojibake
 from sluicework.session import table
 
 
@@ -26,8 +26,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = languages.label_segments(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return segments.where("n_segments > 1 or not label_right").select("doc_id", "segment_no", "lang").distinct()
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found}
+    return {"p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
