@@ -5,10 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import confusables, languages, leaks, mojibake
+from sluicework.llm import canonical, confusables, languages, leaks, mojibake
+from sluicework.operators.multivalue import is_no_value, split_packed
 from sluicework.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value of major_requirement, split as in problem 2, and each profile's major, with the entry it means."""
+    vocabulary = canonical.build_vocabulary(table(spark, sf_dir, "major_catalog"), "catalog_id", "catalog_name", "aliases", "major_code")
+    positions = split_packed(table(spark, sf_dir, "position_record"), ["id"], ["major_requirement"])
+    profiles = table(spark, sf_dir, "user_profile").where(~is_no_value(F.col("major")))
+    values = positions.selectExpr("'position' AS record_kind", "id AS record_id", "item_no", "item_value AS written").unionByName(
+        profiles.selectExpr("'profile' AS record_kind", "id AS record_id", "1 AS item_no", "major AS written")
+    )
+    mapped = canonical.map_values(values, ["record_kind", "record_id", "item_no"], "written", vocabulary)
+    return mapped.selectExpr("record_kind", "record_id", "item_no", "entry_id AS catalog_id").distinct()
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = mojibake.find_garbled(table(spark, sf_dir, "evidence_version"), ["id"], "extracted_text")
     positions = mojibake.find_garbled(table(spark, sf_dir, "position_record"), ["id"], "raw_row")
@@ -32,7 +45,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
