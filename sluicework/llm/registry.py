@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import canonical, confusables, languages, leaks, mojibake
+from sluicework.llm import canonical, confusables, languages, leaks, mojibake, neardup
 from sluicework.operators.multivalue import is_no_value, split_packed
 from sluicework.session import table
 
@@ -22,6 +22,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.selectExpr("record_kind", "record_id", "item_no", "entry_id AS catalog_id").distinct()
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for name, source, text, gram, threshold in (("title", "notice", "title", 3, 0.6), ("text", "evidence_version", "extracted_text", 5, 0.7)):
+        found = neardup.id_pairs(*neardup.similar_classes(table(spark, sf_dir, source), "id", text, gram, threshold))
+        found = found.select(F.lit(name).alias("field_name"), "id_a", "id_b")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = mojibake.find_garbled(table(spark, sf_dir, "evidence_version"), ["id"], "extracted_text")
     positions = mojibake.find_garbled(table(spark, sf_dir, "position_record"), ["id"], "raw_row")
@@ -45,7 +54,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
