@@ -40,9 +40,13 @@ def _joined(parts: Column, fills: Column) -> Column:
     return F.array_join(F.zip_with(parts, fills, lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit("")))), "")
 
 
+#: The signs of _SPACE one by one.
+_SPACES = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+
+
 def strip_space(c: Column) -> Column:
     """Without leading and trailing white space of any script, invisible signs among it."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def is_no_value(c: Column) -> Column:
@@ -50,44 +54,51 @@ def is_no_value(c: Column) -> Column:
 
 
 def _unquoted(c: Column) -> Column:
-    """Enclosing quotes off, a doubled ASCII quote inside single again, a closing full stop off."""
-    out = strip_space(F.regexp_replace(strip_space(c), "(?<=.)[。．.]+$", ""))
-    for a, b in _PAIRS:
-        out = F.when(out.rlike(f"(?s)^{a}[^{a}{b}]*{b}$"), F.substring(out, F.lit(2), F.length(out) - 2)).otherwise(out)
-    return strip_space(F.regexp_replace(strip_space(out), "(?<=.)[。．.]+$", ""))
+    """Surrounding white space off, a closing full stop off, enclosing quotes off."""
+    pairs = "|".join(f"{a}[^{a}{b}]*{b}" for a, b in _PAIRS)
+    bare = F.ltrim(F.rtrim(c, F.lit(_SPACES + "。．.")), F.lit(_SPACES))
+    inner = F.ltrim(F.rtrim(F.substring(bare, F.lit(2), F.length(bare) - 2), F.lit(_SPACES + "。．.")), F.lit(_SPACES))
+    return F.when(F.substring(bare, 1, 1).isin(*(a for a, _ in _PAIRS)) & bare.rlike(f"^(?:{pairs})$"), inner).otherwise(bare)
+
 
+#: Without any of these a field holds one value as it is.
+_SPECIAL = f"[{_OPEN}{_CLOSE}{_MARK};；,，、/／|｜。\\n\\r\\t\\u000b\\f\\u2028\\u2029\"“”「」『』‘’〝〞()（）\\[\\]［］【】〔〕{{}}｛｝《》\\u2460-\\u249b\\u2776-\\u277f\\u3220-\\u3229]|^{_SPACE}*\\d"
 
-def values_of(field: Column) -> Column:
-    """array<string> of the field's values in order; empty for a field without a value."""
-    text = F.regexp_replace(field, "^\\ufeff", "")
-    listed = F.when(text.rlike(f"^{_SPACE}*\\[{_SPACE}*\""), F.from_json(text, "array<string>"))
+
+def with_values(df: DataFrame, field: str, values: str) -> DataFrame:
+    """Adds array<string> ``values``: the field's values in order, none for a field without a value.
+
+    The steps are columns of their own, since an expression that is used twice would run twice.
+    """
+    text = F.when(F.col(field).startswith("\ufeff"), F.substring(field, 2, 2**31 - 1)).otherwise(F.col(field))
+    df = df.withColumn("__packed", F.when(~is_no_value(F.col(field)), text))
+    df = df.withColumn("__special", F.col("__packed").rlike(_SPECIAL))
+    packed = F.when(F.col("__special"), F.col("__packed"))
+    df = df.withColumn("__listed", F.when(packed.rlike(f"^{_SPACE}*\\[{_SPACE}*\""), F.from_json(packed, "array<string>")))
     # A bracketed list of quoted texts that is no JSON: its brackets are taken off.
-    bare = F.when(
-        text.rlike(_LIST) & text.rlike(f"(?s)[\\]］】]{_SPACE}*$"), F.regexp_replace(text, f"^{_SPACE}*[\\[［【]|[\\]］】]{_SPACE}*$", "")
-    ).otherwise(text)
-    spans = F.regexp_extract_all(bare, F.lit(_SPAN), F.lit(0))
-    held = _joined(F.split(bare, _SPAN, -1), F.transform(spans, lambda s, i: F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))))
-    marked = F.regexp_replace(held, _CIRCLED, _MARK)
-    marked = F.when(
-        marked.rlike(f"^{_SPACE}*(?:{_DELIMITER})*{_SPACE}*[(（]\\d{{1,2}}[)）]"), F.regexp_replace(marked, "[(（]\\d{1,2}[)）]", _MARK)
-    ).otherwise(marked)
-    marked = F.regexp_replace(marked, _NUMBERED, _MARK)
-    pieces = F.filter(F.transform(F.split(marked, _DELIMITER, -1), strip_space), lambda p: p != "")
+    loose = F.when(F.col("__listed").isNull(), packed)
+    is_list = loose.rlike(_LIST) & loose.rlike(f"(?s)[\\]］】]{_SPACE}*$")
+    df = df.withColumn("__bare", F.when(is_list, F.regexp_replace(loose, f"^{_SPACE}*[\\[［【]|[\\]］】]{_SPACE}*$", "")).otherwise(loose))
+    df = df.withColumn("__spans", F.regexp_extract_all("__bare", F.lit(_SPAN), F.lit(0)))
+    held = _joined(F.split("__bare", _SPAN, -1), F.transform("__spans", lambda s, i: F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))))
+    df = df.withColumn("__held", F.when(F.size("__spans") > 0, held).otherwise(F.col("__bare")))
+    df = df.withColumn("__held", F.when(F.col("__held").rlike(_CIRCLED), F.regexp_replace("__held", _CIRCLED, _MARK)).otherwise(F.col("__held")))
+    bracketed = F.col("__held").rlike(f"^{_SPACE}*(?:{_DELIMITER})*{_SPACE}*[(（]\\d{{1,2}}[)）]")
+    df = df.withColumn("__held", F.when(bracketed, F.regexp_replace("__held", "[(（]\\d{1,2}[)）]", _MARK)).otherwise(F.col("__held")))
+    df = df.withColumn("__held", F.when(F.col("__held").rlike("\\d[.．、)）]|[(（]\\d"), F.regexp_replace("__held", _NUMBERED, _MARK)).otherwise(F.col("__held")))
+    df = df.withColumn("__pieces", F.split("__held", f"(?:{_SPACE}*{_DELIMITER}{_SPACE}*)+", -1))
 
     def restored(piece: Column) -> Column:
-        at = F.transform(F.regexp_extract_all(piece, F.lit(_HOLDER), F.lit(1)), lambda i: F.get(spans, i.cast("int")))
+        at = F.transform(F.regexp_extract_all(piece, F.lit(_HOLDER), F.lit(1)), lambda i: F.get(F.col("__spans"), i.cast("int")))
         whole = _joined(F.split(piece, _HOLDER, -1), at)
-        return (
-            F.when(
-                piece.rlike(f"^(?:{_OPEN}\\d+{_CLOSE})++$") & F.forall(at, lambda s: s.startswith('"')),
-                F.replace(F.substring(whole, F.lit(2), F.length(whole) - 2), F.lit('""'), F.lit('"')),
-            )
-            .otherwise(whole)
-        )
+        quoted = piece.rlike(f"^(?:{_OPEN}\\d+{_CLOSE})++$") & F.forall(at, lambda s: s.startswith('"'))
+        return F.when(quoted, F.replace(F.substring(whole, F.lit(2), F.length(whole) - 2), F.lit('""'), F.lit('"'))).otherwise(whole)
 
-    cleaned = F.transform(F.coalesce(listed, F.transform(pieces, restored)), _unquoted)
-    kept = F.filter(cleaned, lambda v: v.isNotNull() & (v != ""))
-    return F.when(is_no_value(field), F.array().cast("array<string>")).otherwise(kept)
+    pieces = F.when(F.size("__spans") > 0, F.transform("__pieces", lambda p: F.when(p.contains(_OPEN), restored(strip_space(p))).otherwise(p))).otherwise(F.col("__pieces"))
+    df = df.withColumn("__pieces", F.when(F.col("__packed").isNull(), F.array().cast("array<string>")).when(~F.col("__special"), F.array("__packed")).otherwise(F.coalesce("__listed", pieces)))
+    df = df.withColumn("__pieces", F.transform("__pieces", _unquoted))
+    df = df.withColumn(values, F.filter("__pieces", lambda v: v.isNotNull() & (v != "")))
+    return df.drop("__packed", "__special", "__listed", "__bare", "__spans", "__held", "__pieces")
 
 
 def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -99,7 +110,12 @@ def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> D
     no hindrance, as only keys and fields are read. Texts of any length are split whole. A quote
     or bracket that isn't closed is an ordinary character.
     """
-    packed = F.array(*(F.struct(F.lit(f).alias("f"), values_of(df[f]).alias("v")) for f in fields))
-    rows = df.select(*(df[k] for k in keys), F.explode(packed).alias("__packed"))
-    rows = rows.select(*keys, F.col("__packed.f").alias("field_name"), F.size("__packed.v").alias("n_items"), F.posexplode("__packed.v").alias("__at", "item_value"))
-    return rows.select(*keys, "field_name", (F.col("__at") + 1).alias("item_no"), "item_value", "n_items")
+    cells = F.array(*(F.struct(F.lit(f).alias("f"), df[f].cast("string").alias("v")) for f in fields))
+    rows = df.select(*(df[k] for k in keys), F.explode(cells).alias("__cell"))
+    rows = rows.select(*keys, F.col("__cell.f").alias("__name"), F.col("__cell.v").alias("__field"))
+    rows = with_values(rows.where(~is_no_value(F.col("__field"))), "__field", "__values")
+    # A filter on the array or its size would be pushed below the steps with a copy of all of them, as Spark
+    # infers one for a plain explode and a caller may set one on n_items; both stay above an outer explode's output.
+    items = F.transform("__values", lambda v, i: F.struct((i + 1).alias("item_no"), v.alias("item_value"), F.size("__values").alias("n_items")))
+    rows = rows.select(*keys, F.col("__name").alias("field_name"), F.explode_outer(items).alias("__item")).where("__item is not null")
+    return rows.select(*keys, "field_name", "__item.item_no", "__item.item_value", "__item.n_items")
