@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import canonical, confusables, languages, leaks, mojibake, neardup
+from sluicework.llm import boilerplate, canonical, confusables, languages, leaks, mojibake, neardup
 from sluicework.operators.multivalue import is_no_value, split_packed
 from sluicework.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "evidence_version").where(boilerplate.is_html(F.col("content_type")))
+    lines = boilerplate.main_lines(pages, "id", "extracted_text", "source_url", "notice_id", table(spark, sf_dir, "notice"))
+    return lines.select(F.col("id").alias("evidence_id"), "line_no").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each value of major_requirement, split as in problem 2, and each profile's major, with the entry it means."""
     vocabulary = canonical.build_vocabulary(table(spark, sf_dir, "major_catalog"), "catalog_id", "catalog_name", "aliases", "major_code")
@@ -54,7 +60,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
 
 
 def oracle_sql() -> dict:
