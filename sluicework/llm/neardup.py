@@ -80,12 +80,12 @@ def min_hashes(hashes: list[np.ndarray], count: int) -> np.ndarray:
 
 
 def signatures(texts: list[str], gram: int, exact: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers of the texts that have a gram, (texts, rounds) keys of the exact part, (texts, rounds) bits, 64-bit fingerprints)."""
+    """(numbers of the texts that have a gram, (texts, rounds) keys of the exact part, (texts, rounds) bits, fingerprints in 64-bit parts)."""
     hashes = [gram_hashes(t, gram) for t in texts]
     some = np.array([n for n, h in enumerate(hashes) if len(h)], np.int64)
     if not len(some):
         empty = np.zeros((0, rounds), np.int64)
-        return some, empty, empty, np.zeros(0, np.int64)
+        return some, empty, empty, np.zeros((0, 1), np.int64)
     m = min_hashes([hashes[n] for n in some], rounds * (exact + BITS) + 64)
     parts = m[:, : rounds * exact].reshape(len(some), rounds, exact).astype(np.uint64)
     keys = np.broadcast_to(np.arange(rounds, dtype=np.uint64) + np.uint64(1), parts.shape[:2])
@@ -93,8 +93,11 @@ def signatures(texts: list[str], gram: int, exact: int, rounds: int) -> tuple[np
         keys = _mixed(keys * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])
     bits = (m[:, rounds * exact : rounds * (exact + BITS)] >> np.uint32(7) & np.uint32(1)).reshape(len(some), rounds, BITS)
     words = (bits.astype(np.int64) << np.arange(BITS)).sum(axis=2)
-    long_bits = (m[:, -64:] >> np.uint32(7) & np.uint32(1)).astype(np.uint64)
-    return some, (keys & ~np.uint64(127)).view(np.int64), words, (long_bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+    # The fingerprint proper: 64 bits of its own, then those of all rounds.
+    own = (m[:, -64:] >> np.uint32(7) & np.uint32(1)).astype(np.uint64)
+    every = np.concatenate([own, bits.reshape(len(some), -1), np.zeros((len(some), -rounds * BITS % 64), np.uint32)], axis=1).astype(np.uint64)
+    longs = (every.reshape(len(some), -1, 64) << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+    return some, (keys & ~np.uint64(127)).view(np.int64), words, longs.view(np.int64)
 
 
 def likeness(a: str, b: str, gram: int) -> float:
@@ -120,21 +123,36 @@ def rounds_for(similarity: float, exact: int, recall: float) -> int:
 
 
 def sign(df: DataFrame, key: str, text: str, gram: int, exact: int, rounds: int) -> DataFrame:
-    """id, class (digest of the normal text), anchors' keys, bits and 64-bit fingerprint of each text that has a gram; checkpointed."""
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("fp", T.LongType())])
+    """id, class (digest of the normal text), the rounds' keys with their bits in the last seven, and fingerprint of each text that has a gram; checkpointed."""
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [normal(t) for t in batch["__t"]]
             some, keys, words, fp = signatures(texts, gram, exact, rounds)
-            yield pd.DataFrame({"id": batch["__k"].iloc[some].tolist(), "cls": [hashlib.md5(texts[n].encode("utf-8", "surrogatepass")).digest() for n in some], "keys": list(keys), "words": list(words.astype(np.int32)), "fp": fp})
+            yield pd.DataFrame({"id": batch["__k"].iloc[some].tolist(), "cls": [hashlib.md5(texts[n].encode("utf-8", "surrogatepass")).digest() for n in some], "keys": list(keys | words), "fp": list(fp)})
 
     rows = df.select(df[key].alias("__k"), df[text].alias("__t")).where("__k is not null and __t is not null and __t <> ''")
     return checkpointed(rows.mapInPandas(run, schema))
 
 
+def _maybe_in(df: DataFrame, key: str, chosen: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """The rows of which the key's hash is that of a chosen key: all that are chosen, and few others.
+
+    The hashes are sent as a bitmap of so many bits, 1 MB, whatever the number of keys; once it is
+    full, nothing is filtered and nothing is wrong.
+    """
+    part = 1 << 15  # bits of one of Spark's bitmaps
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    bitmaps = chosen.select((h / part).cast("int").alias("__part"), (h % part).alias("__bit")).groupBy("__part").agg(F.expr("bitmap_construct_agg(__bit)").alias("__bits"))
+    placed = df.withColumn("__h", h).withColumn("__part", (F.col("__h") / part).cast("int")).withColumn("__bit", (F.col("__h") % part).cast("int"))
+    found = placed.join(F.broadcast(bitmaps), "__part")
+    byte = F.conv(F.hex(F.expr("substring(__bits, __bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return found.where(F.getbit(byte, F.col("__bit") % 8) == 1).drop("__h", "__part", "__bit", "__bits")
+
+
 def similar_classes(
-    df: DataFrame, key: str, text: str, gram: int, threshold: float, exact: int = 3, recall: float = 0.995, rounds: int | None = None, bits_apart: int | None = None
+    df: DataFrame, key: str, text: str, gram: int, threshold: float, exact: int = 3, recall: float = 0.995, rounds: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(class pairs, membership) of the texts of which at least ``threshold`` of the distinct grams of either are in both.
 
@@ -146,22 +164,30 @@ def similar_classes(
     """
     rounds = rounds or rounds_for(threshold, exact, recall)
     flip = (1 - threshold) / 2
-    apart = bits_apart or math.ceil(64 * flip + 4.5 * math.sqrt(64 * flip * (1 - flip)))
+
+    def apart(bits: int) -> int:
+        """Bits of so many in which a pair right at the threshold differs at most, but for 4.5 standard deviations."""
+        return math.ceil(bits * flip + 4.5 * math.sqrt(bits * flip * (1 - flip)))
+
     signed = sign(df, key, text, gram, exact, rounds)
     members = signed.select(F.xxhash64("cls").alias("cls"), "id").distinct()
-    classes = signed.withColumn("cls", F.xxhash64("cls")).groupBy("cls").agg(F.min_by(F.struct("id", "keys", "words", "fp"), "id").alias("s"))
+    classes = signed.withColumn("cls", F.xxhash64("cls")).groupBy("cls").agg(F.min_by(F.struct("id", "keys", "fp"), "id").alias("s"))
     table = F.array(*(F.array(*(F.lit(a) for a in own)) for own in _ANCHORS))
-    rounds_of = classes.select("cls", F.col("s.fp").alias("fp"), F.explode(F.arrays_zip("s.keys", "s.words")).alias("r"))
-    anchors = rounds_of.select("cls", "fp", F.col("r.keys").alias("k"), F.posexplode(F.get(table, F.col("r.words"))).alias("n", "c"))
-    anchors = anchors.select(F.col("k").bitwiseOR(F.col("c").cast("long")).alias("anchor"), "cls", "fp", (F.col("n") == 0).alias("home"))
+    rounds_of = classes.select("cls", F.element_at("s.fp", 1).alias("fp"), F.explode("s.keys").alias("k"))
+    anchors = rounds_of.select("cls", "fp", "k", F.posexplode(F.get(table, F.col("k").bitwiseAND(F.lit(127)).cast("int"))).alias("n", "c"))
+    anchors = anchors.select(F.col("k").bitwiseAND(F.lit(~127)).bitwiseOR(F.col("c").cast("long")).alias("anchor"), "cls", "fp", (F.col("n") == 0).alias("home"))
     a, b = anchors.alias("a"), anchors.alias("b")
-    near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= apart) & (F.col("a.home") | F.col("b.home"))
+    near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= apart(64)) & (F.col("a.home") | F.col("b.home"))
     met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.cls") < F.col("b.cls")) & near)
     met = met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    names = classes.select("cls", F.col("s.id").alias("id"))
-    met = met.join(names.select(F.col("cls").alias("a"), F.col("id").alias("id_a")), "a").join(names.select(F.col("cls").alias("b"), F.col("id").alias("id_b")), "b")
-    # Both joins read the same shuffled texts.
+    names = classes.select("cls", F.col("s.id").alias("id"), F.col("s.fp").alias("fp"))
+    met = met.join(names.select(F.col("cls").alias("a"), F.col("id").alias("id_a"), F.col("fp").alias("fp_a")), "a")
+    met = met.join(names.select(F.col("cls").alias("b"), F.col("id").alias("id_b"), F.col("fp").alias("fp_b")), "b")
+    differing = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b", "id_a", "id_b")
+    # Only texts that are in a pair need be shuffled, and both joins read the same shuffle.
     texts = df.select(df[key].alias("id"), df[text].alias("t")).where("id is not null and t is not null")
+    texts = _maybe_in(texts, "id", met.select(F.explode(F.array("id_a", "id_b")).alias("id")))
     met = met.join(texts.select(F.col("id").alias("id_a"), F.col("t").alias("t_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("t").alias("t_b")), "id_b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
