@@ -24,7 +24,7 @@ from sluicework.operators.multivalue import is_no_value
 # Letters of other scripts and the Latin letters that look the same.
 LOOKALIKES = {
     "Cyrl": dict(zip("АВСЕНІЈКМОРЅТХҮԚԜасеорхуіјѕһԁѵԛԝӏ", "ABCEHIJKMOPSTXYQWaceopxyijshdvqwl")),
-    "Grek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳονιαρυϲ", "ABEZHIKMNOPTYXCjovıapuc".replace("ı", "i"))),
+    "Grek": dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧονιαρυ", "ABEZHIKMNOPTYXoviapu")),
     "Cher": dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ")),
     "Armn": dict(zip("օհոսՕ", "ohnuO")),
 }
