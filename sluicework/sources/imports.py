@@ -17,9 +17,10 @@ SOURCE = T.StructType([
 
 
 def ensure_columns(df: DataFrame, schema: T.StructType, defaults: dict | None = None) -> DataFrame:
-    """The schema's columns in its order and types; those missing are added with their defaults."""
+    """The schema's columns in its order and types; missing columns and values take their defaults."""
     defaults = defaults or {}
-    return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in schema))
+    held = lambda n: F.coalesce(F.col(n), F.lit(defaults.get(n))) if n in df.columns and n in defaults else F.col(n) if n in df.columns else F.lit(defaults.get(n))
+    return df.select(*(held(f.name).cast(f.dataType).alias(f.name) for f in schema))
 
 
 def read_institutions(spark: SparkSession, path: str, cities: DataFrame, levels: tuple[str, ...] = ("higher_vocational", "undergraduate")) -> DataFrame:
