@@ -249,7 +249,11 @@ def fit_scorer(df: DataFrame, text: str, lang: str, sample_rows: int = 150, voca
     """
     label = F.lower(F.element_at(F.split(F.trim(F.col(lang)), "[-_]"), 1))
     code = F.coalesce(*(F.when(label.isin(*names.split()), F.lit(k)) for k, names in _NAMES.items()))
-    rows = df.select(code.alias("l"), F.substring(text, 1, 4000).alias("t"), F.xxhash64(text).alias("h")).where("l is not null and length(trim(t)) > 0").dropDuplicates(["h"])
+    named = df.select(code.alias("l"), F.col(text).alias("t")).where("l is not null")
+    counts = {r.l: r.n for r in named.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # Hashes below a language's bound leave about four times its sample, whatever the number of rows.
+    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(int(min(1.0, 4 * sample_rows / n) * (1 << 40)) + 1)))) if counts else F.create_map(F.lit(""), F.lit(0))
+    rows = named.withColumn("h", F.xxhash64("t")).where("length(trim(t)) > 0").where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("l"))).dropDuplicates(["h"])
     picked = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("n") <= sample_rows).select("l", "t").collect()
     sentences = [(LANGUAGES.index(r.l), x) for r in sorted(picked) for x in sentences_of(r.t)]
     return fit_from([k for k, _ in sentences], [x for _, x in sentences], load_pieces(vocabulary))
