@@ -19,7 +19,7 @@ def nfkc(values: pd.Series) -> pd.Series:
 
 def folded(c: Column) -> Column:
     """Lower case, without byte order mark and white space of any script; null becomes ''."""
-    return F.lower(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("﻿"), F.lit("")), "(?U)\\s+", ""))
+    return F.lower(F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("\ufeff"), F.lit("")), "(?U)\\s+", ""))
 
 
 def normal_text(c: Column) -> Column:

@@ -215,6 +215,12 @@ def employer_carry(spark, sf):
     return out.select("id", F.coalesce("employer", F.lit("unknown")).alias("employer"))
 
 
+def refined_positions(spark, sf):
+    """Unknown fields of positions, filled from their other requirements."""
+    p = versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"])
+    return sheets.refine(p).select("id", *sorted(sheets.SEGMENT_FORMS), "education")
+
+
 def region_closure(spark, sf):
     """Everything below everything, from the parent links of the region codes."""
     s = table(spark, sf, "source_registry").select(F.explode(match.region_ancestors(F.col("region_code"))).alias("code")).distinct()
@@ -248,7 +254,7 @@ QUERIES = {
     for f in (
         triage_decisions, decision_counts, reclassify_transitions, policy_join, latest_evidence, source_last_notice, evidence_copies, notice_upsert, evidence_novel, composite_ids, profile_versions,
         sources_allowed, evidence_hosts, region_fanout, subscription_match, due_sources, limit_then_filter, newest_per_source, diverse_positions, selection_violations, texts_in_budget, term_scores,
-        excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, region_closure, catalog_levels, validation_report, next_pages,
+        excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, refined_positions, region_closure, catalog_levels, validation_report, next_pages,
     )
 }
 

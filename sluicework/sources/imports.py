@@ -26,7 +26,7 @@ def ensure_columns(df: DataFrame, schema: T.StructType, defaults: dict | None =
 def read_institutions(spark: SparkSession, path: str, cities: DataFrame, levels: tuple[str, ...] = ("higher_vocational", "undergraduate")) -> DataFrame:
     """A CSV whitelist with an ``errors`` list for each row. cities: city, region_code."""
     rows = spark.read.csv(path, header=True, encoding="UTF-8", schema=", ".join(f"{n} string" for n in INSTITUTION_FIELDS), enforceSchema=False)
-    rows = rows.withColumn("institution_id", F.replace("institution_id", F.lit("﻿"), F.lit(""))).join(F.broadcast(cities), "city", "left")  # a province's cities
+    rows = rows.withColumn("institution_id", F.replace("institution_id", F.lit("\ufeff"), F.lit(""))).join(F.broadcast(cities), "city", "left")  # a province's cities
     checks = {f"{n} missing": F.trim(n) != "" for n in INSTITUTION_FIELDS} | {"unknown city": F.col("region_code").isNotNull(), "ownership": F.col("ownership") == "public", "school level": F.col("school_level").isin(*levels)}
     return row_errors(rows, checks, ["institution_id", "official_domain"], list(INSTITUTION_FIELDS)).withColumn("row_sha256", F.sha2(F.concat_ws("\u001f", *INSTITUTION_FIELDS), 256))
 

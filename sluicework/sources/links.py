@@ -35,7 +35,7 @@ class _Anchors(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a" and self._open:
             href, parts = self._open
-            title = " ".join("".join(parts).replace("﻿", "").split())
+            title = " ".join("".join(parts).replace("\ufeff", "").split())
             if href and title:
                 self.found.append((title, href))
             self._open = None

@@ -13,7 +13,7 @@ P = triage.Policy(include=("招聘", ""), exclude=("培训",), workflow=("公告
 
 
 def test_triage_is_total_and_ordered(spark):
-    titles = ["招聘公告", "招聘面试公告", "培训", "培训招聘", "公告", "其他", "", None, "ＡＢ﻿ 招 聘"]
+    titles = ["招聘公告", "招聘面试公告", "培训", "培训招聘", "公告", "其他", "", None, "ＡＢ\ufeff 招 聘"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "id int, t string").withColumn("n", tx.normal_text(F.col("t")))
     got = [(r.d, list(r.m)) for r in df.select("id", triage.triage(F.col("n"), P).alias("x")).orderBy("id").selectExpr("x.decision AS d", "x.matched_terms AS m").collect()]
     assert got == [("candidate", ["公告", "招聘"]), ("noise", ["面试"]), ("noise", ["培训"]), ("needs_review", ["培训", "招聘"]), ("needs_review", ["公告"]), ("noise", []), ("noise", []), ("noise", []), ("candidate", ["招聘"])]

@@ -22,7 +22,7 @@ CASES = {
     " 甲　\n乙 ｜ 丙": ["甲", "乙", "丙"],
     '甲"乙、丙': ['甲"乙', "丙"],
     "甲（乙、丙": ["甲（乙", "丙"],
-    "甲0、乙": ["甲0", "乙"],
+    "甲\ue0000\ue001、乙": ["甲\ue0000\ue001", "乙"],
     "「甲,乙」": ["甲,乙"],
     "不限": [], "  ": [], "": [], "—": [], "unknown": [], None: [],
     "无、甲": ["无", "甲"],

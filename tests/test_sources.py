@@ -6,7 +6,7 @@ import zipfile
 
 import pytest
 
-from sluicework.operators.sheets import sheet_records
+from sluicework.operators.sheets import refine, sheet_records
 from sluicework.sources import fetch, imports, links, objects, parsers
 from sluicework.streaming import incremental
 
@@ -67,6 +67,13 @@ def test_sheets(spark):
     ]
 
 
+def test_refine(spark):
+    rows = [(1, "1.35周岁以下；2.中共党员，3、本科 及以上学历。取得相应学位;法学相关专业", "unknown", "unknown", "unknown", "unknown", "博士"), (2, "往届生可报，应届毕业生；专业沟通能力", "unknown", None, "unknown", "无", "unknown"), (3, "unknown", "unknown", "unknown", "unknown", "unknown", "unknown"), (4, None, "unknown", "unknown", "x", "unknown", "unknown")]
+    df = spark.createDataFrame(rows, "id int, other_requirements string, age_requirement string, major_requirement string, fresh_graduate_requirement string, degree string, education string")
+    got = {r.id: tuple(r)[2:] for r in refine(df).collect()}
+    assert got == {1: ("35周岁以下", "法学相关专业", "unknown", "取得相应学位", "博士"), 2: ("unknown", None, "应届毕业生", "无", "unknown"), 3: ("unknown",) * 5, 4: ("unknown", "unknown", "x", "unknown", "unknown")}
+
+
 def test_links(spark):
     rows = [
         (1, "generic_html_v1", "<a href='b.html'> 甲\n 乙 </a><a href='x'> </a><a>n</a>", "https://h/a/", "text/html"), (2, "json_links_v1", json.dumps({"data": {"list": [{"name": "t", "link": "/u"}, {"title": "n"}, 3]}}), "https://h/", "application/json"),
@@ -94,7 +101,7 @@ def test_objects(spark, tmp_path):
 
 
 def test_imports(spark, tmp_path):
-    (tmp_path / "i.csv").write_text("﻿" + ",".join(imports.INSTITUTION_FIELDS) + "\na,A,X,public,undergraduate,a.edu,https://a.edu\na,B,Y,private,undergraduate,a.edu,\n", "utf-8")
+    (tmp_path / "i.csv").write_text("\ufeff" + ",".join(imports.INSTITUTION_FIELDS) + "\na,A,X,public,undergraduate,a.edu,https://a.edu\na,B,Y,private,undergraduate,a.edu,\n", "utf-8")
     cities = spark.createDataFrame([("X", "R-X")], "city string, region_code string")
     got = sorted((r.institution_name, sorted(r.errors)) for r in imports.read_institutions(spark, str(tmp_path / "i.csv"), cities).collect())
     assert got == [("A", []), ("B", ["official_site_url missing", "ownership", "repeated institution_id", "repeated official_domain", "unknown city"])]
