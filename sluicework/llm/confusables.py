@@ -42,8 +42,8 @@ _HYPHENS = "\u2010\u2011\u2012\u2013\u2212\u2043\u058a"
 
 _LATIN_TO = {script: {latin: other for other, latin in pairs.items()} for script, pairs in LOOKALIKES.items()}
 _TO_LATIN = {other: latin for pairs in LOOKALIKES.values() for other, latin in pairs.items()}
-_INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
-_SPACES = re.compile("[\t\n\x0b\x0c\r\x85   -     　]")
+_INVISIBLE = re.compile("[\u00ad͏؜ᅟᅠ឴឵᠋-᠏\u200b-\u200f‪-‮\u2060-⁯ㅤ︀-️\ufeffﾠ\U000e0000-\U000e0fff\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
+_SPACES = re.compile("[\t\n\x0b\x0c\r\x85\u00a0  -     　]")
 _ODD = {ord(c): "-" for c in _HYPHENS} | {ord(a): b for a, b in RADICALS.items()}
 _WORD = re.compile("[A-Za-zÀ-ɏͰ-ϿЀ-ԯԱ-ևᎠ-᏿Ḁ-῿̀-ͯ]+")
 _HAN = re.compile("[㐀-鿿ァ-ー]+")
