@@ -54,6 +54,7 @@ def excerpt(c: Column, terms: Sequence[str], before: int = 80, width: int = 360)
 
 def date_in(c: Column) -> Column:
     """The first date in a text as yyyy-MM-dd, or null; the day is checked against 31 only."""
+    # Forms of dates.
     first = "(20\\d{2})[年/.-](\\d{1,2})[月/.-](\\d{1,2})"
     second = "(20\\d{2})(\\d{2})(\\d{2})"
     pick = lambda n: F.when(c.rlike(first), F.regexp_extract(c, first, n)).otherwise(F.regexp_extract(c, second, n))

@@ -19,7 +19,7 @@ def zipped(files):
     return out.getvalue()
 
 
-DOCX = zipped({"word/document.xml": '<w:p><w:r><w:t>甲&amp;乙</w:t><w:tab w:x="1"/><w:t>丙</w:t></w:r></w:p><w:p> </w:p><w:p><w:t>丁</w:t></w:p>'})
+DOCX = zipped({"word/document.xml": '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>甲&amp;乙</w:t><w:tab/><w:t>丙</w:t></w:r></w:p><w:p><w:r><w:t> </w:t></w:r></w:p><w:p><w:r><w:t>丁</w:t></w:r></w:p></w:body></w:document>'})
 NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 XLSX = zipped({
     "xl/workbook.xml": f'<workbook {NS}><sheets><sheet name="表一" sheetId="1"/></sheets></workbook>', "xl/sharedStrings.xml": f"<sst {NS}><si><t>岗位</t></si><si><r><t>代</t></r><r><t>码</t></r></si></sst>",
