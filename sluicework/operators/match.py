@@ -18,10 +18,15 @@ def region_ancestors(code: Column) -> Column:
 
 
 def region_fanout(events: DataFrame, code: str, profiles: DataFrame, regions: str) -> DataFrame:
-    """Events with each profile that watches their region or one above it: an equi-join on the ancestors, no nested loop."""
-    wide = events.withColumn("__region", F.explode(region_ancestors(F.col(code))))
-    watched = profiles.withColumn("__region", F.explode(F.array_distinct(regions)))
-    return wide.join(watched, "__region").drop("__region").distinct()
+    """Events with each profile that watches their region or one above it: an equi-join on the ancestors, no nested loop.
+
+    A region below another that the profile watches adds nothing and is left out, so an event meets a
+    profile once and nothing need be made distinct afterwards; repeated events stay repeated.
+    """
+    wide = events.withColumn("__region", F.explode(F.array_distinct(region_ancestors(F.col(code)))))
+    own = F.array_distinct(regions)
+    tops = F.filter(own, lambda r: r.isNotNull() & ~F.exists(own, lambda s: F.coalesce(r.startswith(F.concat(s, F.lit("-"))), F.lit(False))))
+    return wide.join(profiles.withColumn("__region", F.explode(tops)), "__region").drop("__region")
 
 
 def terms_fit(text: Column, include: Column, exclude: Column) -> Column:

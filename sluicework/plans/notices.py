@@ -120,12 +120,12 @@ def evidence_hosts(spark, sf):
 
 
 def region_fanout(spark, sf):
-    """Notices for each profile that watches the region of their source or one above."""
+    """Notices for each profile that watches the region of their source or one above; counted by region before they fan out."""
     s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "region_code")
-    n = _notices(spark, sf).select("id", "source_id").join(F.broadcast(s), "source_id").select(F.col("id").alias("notice_id"), "region_code")
+    n = _notices(spark, sf).select("id", "source_id").join(F.broadcast(s), "source_id").groupBy("region_code").agg(F.count("*").alias("n"))
     p = versions.latest(table(spark, sf, "user_profile"), ["id"], ["updated_at"]).select(F.col("id").alias("profile_id"), "region_codes")
     out = match.region_fanout(n, "region_code", p, "region_codes")
-    return out.groupBy("profile_id").agg(F.count("*").alias("n"))
+    return out.groupBy("profile_id").agg(F.sum("n").alias("n"))
 
 
 def subscription_match(spark, sf):

@@ -61,9 +61,9 @@ def test_failures_against_a_loop(spark):
 
 def test_regions(spark):
     e = spark.createDataFrame([(1, "JS-NATION_1"), (2, "JS-NATION-1"), (3, "JSX"), (4, None)], "e int, code string")
-    p = spark.createDataFrame([("p", ["JS", "JS"]), ("q", ["JS-NATION"]), ("r", [])], "p string, regions array<string>")
+    p = spark.createDataFrame([("p", ["JS", "JS"]), ("q", ["JS-NATION"]), ("r", []), ("s", ["JS-NATION", None, "JS"])], "p string, regions array<string>")
     got = sorted((r.e, r.p) for r in match.region_fanout(e, "code", p, "regions").collect())
-    assert got == [(1, "p"), (2, "p"), (2, "q")]
+    assert got == [(1, "p"), (1, "s"), (2, "p"), (2, "q"), (2, "s")]
     flags = e.select("e", match.in_region(F.col("code"), F.lit("JS")).alias("x")).orderBy("e").collect()
     assert [r.x for r in flags] == [True, True, False, None]
 
