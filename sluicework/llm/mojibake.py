@@ -2,8 +2,8 @@
 
 A hidden Markov model with a clean state and a state per encoding pair labels the characters of
 each line. A state's emissions depend on the character and the class of the one before it. The
-clean state's come from counts over all rows; a pair's come from a bounded sample of rows,
-encoded in the pair's first encoding and decoded in its second. Each labelled span then gets its
+clean state's come from counts over the distinct cells of all rows, without those found garbled;
+a pair's come from a bounded sample of rows, encoded in the pair's first encoding and decoded in its second. Each labelled span then gets its
 state's inverse transform.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,10 +81,6 @@ def _tally(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts[keys]
 
 
-def count_keys(texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray]:
-    return _tally([x for t in texts for x in lines_of(t)])
-
-
 def _rises(gains: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The greatest sum of a run of gains in each line, over all columns; lengths are above 0."""
     if not len(lengths):
@@ -234,8 +230,9 @@ class Model:
                 end -= 1
             text, exact = self.restore(line[start:end], pair)
             if exact and text is not None:
-                # The shorter the span, the more its inverse must have in its favour.
-                good = self.likelihood(text) > self.likelihood(line[start:end]) + max(1.0, 6.0 - 2 * (end - start))
+                # The shorter the span, the more its inverse must have in its favour; a text garbled twice has it only after both rounds.
+                again = self.repaired(text, rounds - 1)[0] if rounds > 1 and self.suspects([text]) else text
+                good = max(self.likelihood(text), self.likelihood(again)) > self.likelihood(line[start:end]) + max(1.0, 6.0 - 2 * (end - start))
             else:
                 good = gain >= self.least + 6 or "\ufffd" in line[start:end]
             if end - start <= 4 and "\ufffd" not in line[start:end] and (line[start - 1 : start] >= "\u2e80" or line[end : end + 1] >= "\u2e80"):
@@ -253,45 +250,89 @@ class Model:
         return text, found, whole
 
 
-def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, **options) -> Model:
-    """Counts over all rows; ``sample_rows`` rows, of the least hash, are garbled for the pairs' emissions."""
-    rows = df.select(F.col(text).alias("t")).where("t is not null")
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+def pieces_of(text: Column) -> Column:
+    """A text's lines, cut at quotes and tabs into cells: each with the sign before it, a line's first with the line feed."""
+    return F.split(F.replace(F.replace(F.replace(F.concat(F.lit("\n"), F.translate(text, "\0", " ")), F.lit("\n"), F.lit("\0\n")), F.lit('"'), F.lit('"\0"')), F.lit("\t"), F.lit("\t\0\t")), "\0")
+
+
+def _cut(text: str) -> list[str]:
+    """The same in Python."""
+    return ("\n" + text.replace("\0", " ")).replace("\n", "\0\n").replace('"', '"\0"').replace("\t", "\t\0\t").split("\0")
+
+
+def _tally_pieces(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the pieces' keys, without their first signs, which belong to the pieces before."""
+    points, starts, _ = _flat([x for x in pieces if len(x) > 1])
+    classes = class_table()
+    classes[10] = 0  # a line's start; no line holds a line feed
+    inner = np.ones(len(points), bool)
+    inner[starts] = False
+    counts = np.bincount(keys_of(points, starts, classes)[inner], minlength=1)
+    keys = np.flatnonzero(counts)
+    return keys, counts[keys]
+
+
+def _garbled_pieces(model: Model, pieces: Sequence[str]) -> list[str]:
+    bare = [x[1:] if x[:1] == "\n" else x for x in pieces]
+    return [pieces[i] for i in model.suspects(bare) if model.repaired(bare[i])[1]]
+
+
+def _counted(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all pieces in order, with their counts; at most the classes times the code points reach the driver."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, texts = np.zeros(CLASSES * _N, np.int64), 0
+        sums = np.zeros(CLASSES * _N, np.int64)
         for batch in batches:
-            k, n = count_keys(batch["t"])
+            k, n = _tally_pieces(batch["p"].tolist())
             sums[k] += n
-            texts += len(batch)
         k = np.flatnonzero(sums)
-        yield pd.DataFrame({"k": [-1, *k], "n": [texts, *sums[k]]})
+        yield pd.DataFrame({"k": k, "n": sums[k]})
 
-    counts = rows.mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    texts = int(counts["n"][counts["k"] == -1].sum())
-    counts = counts[counts["k"] >= 0].sort_values("k")
-    # Hashes below a bound leave about twice the sample, whatever the number of rows; the least of them are taken.
-    hashed = rows.select("t", F.xxhash64("t").alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, 2 * sample_rows / max(1, texts)) * (1 << 40)) + 1)
-    picked = hashed.orderBy("h").limit(sample_rows).collect()
-    sample = [x for r in picked for x in lines_of(r.t)]
-    keys, numbers = counts["k"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-    return fit_from(keys, numbers, sample, **options)
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+    counts = pieces.mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    return counts["k"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
 
-def fit_from(keys: np.ndarray, counts: np.ndarray, sample: Sequence[str], **options) -> Model:
-    """Two rounds. What the first finds garbled in the sample leaves the second's sample and, scaled up, its clean counts."""
+def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, **options) -> Model:
+    """Clean counts come from all rows, each distinct cell once, so that copies weigh nothing; what a first model finds
+    garbled in any row leaves the counts of a second, and what that finds those of the last. ``sample_rows`` different texts, of the least
+    hash, are garbled for the pairs' emissions.
+    """
+    rows = df.select(F.col(text).alias("t")).where("t is not null")
+    keys, counts = _counted(rows.select(F.explode(pieces_of(F.col("t"))).alias("p")).distinct())
+    # Hashes below a bound leave about twice the sample, whatever the number of rows; the least of them are taken.
+    texts = rows.select(F.approx_count_distinct(F.xxhash64("t"), 0.02)).first()[0]
+    hashed = rows.select("t", F.xxhash64("t").alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, 2 * sample_rows / max(1, texts)) * (1 << 40)) + 1)
+    picked = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample_rows).collect()
+    sample = list(dict.fromkeys(x for r in picked for x in lines_of(r.t)))
     # The replacement sign is the mark of a failed decoding; no clean text has it.
     clean = keys % _N != 0xFFFD
     keys, counts = keys[clean], counts[clean]
-    tallies = [_tally(garble("\n".join(sample), pair).split("\n")) for pair in PAIRS]
-    first = Model.fit(keys, counts, tallies, 0.05, **options)
-    bad = {i for i in first.suspects(sample) if first.repaired(sample[i])[1]}
-    k, n = _tally([sample[i] for i in sorted(bad)])
+    once = ["\n".join(sample), "\n".join(sample[::4])]
+    # Every fourth line is garbled twice as well, so that such text needn't be in the sample to be known.
+    tallies = [_tally(garble(once[0], pair).split("\n") + garble(garble(once[1], pair), pair).split("\n")) for pair in PAIRS]
+    left, kept = keys, counts
+    for _ in range(2):
+        left, kept = _without_garbled(rows, Model.fit(left, kept, tallies, 0.05, **options), keys, counts)
+    return Model.fit(left, kept, tallies, 0.0005, **options)
+
+
+def _without_garbled(rows: DataFrame, model: Model, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The counts without those of the distinct cells in which the model finds something garbled, in all rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"p": _garbled_pieces(sent.value, list(dict.fromkeys(x for t in batch["t"] for x in _cut(t))))}, dtype=object)
+
+    k, n = _counted(rows.mapInPandas(search, "p string").distinct())
+    sent.destroy()  # a few MB of disk on each machine
     dense = np.zeros(CLASSES * _N)
     dense[keys] = counts
-    dense[k] -= n * (counts.sum() / max(1, sum(len(x) + 1 for x in sample)))
+    dense[k] -= n
+    dense[0xFFFD::_N] = 0
     left = np.flatnonzero(dense > 0)
-    return Model.fit(left, dense[left], tallies, 0.0005, **options)
+    return left, dense[left]
 
 
 def find_garbled(df: DataFrame, keys: Sequence[str], text: str, model: Model | None = None, sample_rows: int = 3000) -> DataFrame:

@@ -52,3 +52,17 @@ def test_rows_and_edges(spark, fitted):
     got = [(r.id, r.restored, r.spans, r.spans_restored) for r in find_garbled(df, ["id"], "t", model).collect()]
     assert got == [(1, "报名办法\n体检地点设在指定机构，准入证明可在自助打印。", 1, 1)] * 2
     assert find_garbled(df.limit(0), ["id"], "t").count() == 0
+
+
+def test_copies_of_a_garbled_passage(spark):
+    """A garbled line, and a garbled cell in rows that differ elsewhere, are found however many rows hold them."""
+    from pyspark.sql import functions as F
+
+    df = spark.read.parquet(f"{DATA}/position_record.parquet").where("raw_row is not null").selectExpr("id", "raw_row AS t")
+    copied = "医疗卫生服务中心检验技师"
+    for pair in (("gb18030", "latin-1"), ("utf-8", "latin-1")):
+        bad = garble(copied, pair)
+        line = spark.range(150).selectExpr("concat('l', id) AS id").withColumn("t", F.lit(bad))
+        cell = spark.range(150).selectExpr("concat('c', id) AS id", "id * 7919 AS n").select("id", F.concat(F.lit('["'), "n", F.lit(f'", "{bad}", "'), F.col("n") * 31, F.lit('"]')).alias("t"))
+        found = {r.id for r in find_garbled(df.unionByName(line).unionByName(cell), ["id"], "t", sample_rows=40).collect()}
+        assert {x for x in (f"{k}{n}" for k in "lc" for n in range(150)) if x not in found} == set()
