@@ -76,7 +76,7 @@ def _consistent(match: re.Match) -> str:
     scripts = {_script(c) for c in letters}
     if scripts <= {"Latn"}:
         return token
-    if len(letters) == 1 and letters[0].islower():
+    if len(letters) == 1 and letters[0].islower() and scripts == {"Grek"}:
         return token  # a single Greek letter stands for itself
     possible = set.intersection(*(_spellings(c) for c in letters))
     if "Latn" in possible:

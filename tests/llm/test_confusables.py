@@ -41,3 +41,8 @@ def test_rows(spark):
     assert got == [(1, "a", "Ａ", "A"), (1, "a", "Ａ", "A"), (3, "b", "b\u200b", "b")]
     assert plain_forms(df, ["id"], ["a", "b"]).count() == 8
     assert plain_forms(df.limit(0), ["id"], ["a", "b"]).count() == 0
+
+
+def test_single_letters_of_other_scripts():
+    """Only a Greek letter stands for itself; a Cyrillic or Armenian one that looks Latin doesn't."""
+    assert [plain_text(x) for x in ("3а区", "с", "5օ", "α", "3β线", "ж")] == ["3a区", "c", "5o", "α", "3β线", "ж"]
