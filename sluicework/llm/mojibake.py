@@ -1,6 +1,6 @@
 """Garbled text from wrong character encoding (problem 6).
 
-A hidden Markov model with a clean state and a state per encoding pair labels the characters of
+A hidden Markov model with a clean state and a state per encoding pair or chain of two labels the characters of
 each line. A state's emissions depend on the character and the class of the one before it. The
 clean state's come from counts over the distinct cells of all rows, without those found garbled;
 a pair's come from a bounded sample of rows, encoded in the pair's first encoding and decoded in its second. Each labelled span then gets its
@@ -25,7 +25,12 @@ PAIRS = (
     ("utf-8", "koi8-r"), ("utf-8", "cp949"), ("gb18030", "cp1252"), ("gb18030", "latin-1"), ("gb18030", "big5"), ("gb18030", "utf-8"), ("gb18030", "cp437"), ("gb18030", "cp932"), ("gb18030", "cp949"),
     ("big5", "gb18030"), ("big5", "cp1252"), ("cp932", "gb18030"), ("cp932", "cp1252"), ("cp1252", "utf-8"),
 )
-_N = 0x10000
+#: Readings after which a text is often garbled once more.
+_LATIN = (("utf-8", "cp1252"), ("utf-8", "latin-1"))
+#: The states: each pair, and the pairs that give text which a Latin reading garbles again, composed with it.
+CHAINS = tuple((p,) for p in PAIRS) + tuple((a, b) for a in PAIRS if a[0] in ("utf-8", "gb18030") and a[1] in ("cp1252", "latin-1") for b in _LATIN)
+#: Symbols: a code point of the first plane each, beyond it one for each 256 code points.
+_N = 0x11000
 #: Borders of the classes of code points; _SYMBOL overrides.
 _BORDERS = np.array([0x00, 0x21, 0x30, 0x3A, 0x41, 0x5B, 0x61, 0x7B, 0x80, 0xC0, 0x100, 0x250, 0x370, 0x2500, 0x2600, 0x3000, 0x3040, 0x3100, 0x3130, 0x4E00, 0xA000, 0xE000, 0xF900, 0xFF00, 0xFF61, 0xFFA0, 0xFFF0])
 _CLASS_OF = np.array([1, 2, 3, 2, 4, 2, 4, 2, 5, 6, 7, 5, 8, 9, 5, 10, 11, 10, 12, 12, 13, 14, 10, 10, 15, 10, 16], np.uint8)
@@ -44,20 +49,29 @@ def _written(text: str, encoder: str, errors: str = "strict") -> bytes:
     return text.translate(_TO_LATIN1).encode("latin-1", errors) if encoder == "cp1252" else text.encode(encoder, errors)
 
 
-def garble(text: str, pair: tuple[str, str]) -> str:
-    return _read(text.encode(pair[0], "ignore"), pair[1], "replace")
+#: A UTF-8 sequence read as Latin; no clean text of any language is likely to hold one.
+_TAIL = "[\x80-\xbf" + "".join(_FROM_LATIN1.values()) + "]"
+_LATIN_UTF8 = re.compile(f"[\xc2-\xdf]{_TAIL}|[\xe0-\xef]{_TAIL}{{2}}|[\xf0-\xf4]{_TAIL}{{3}}")
+
+
+def garble(text: str, *chain: tuple[str, str]) -> str:
+    for written, read in chain:
+        text = _read(text.encode(written, "ignore"), read, "replace")
+    return text
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), _N - 1)
+    """The text's symbols."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 0x10000, points, 0xFF00 + (points >> np.uint32(8)))
 
 
 def class_table() -> np.ndarray:
-    return _CLASS_OF[np.searchsorted(_BORDERS, np.arange(_N), side="right") - 1]
+    return _CLASS_OF[np.searchsorted(_BORDERS, np.minimum(np.arange(_N), 0xFFFF), side="right") - 1]
 
 
 def keys_of(points: np.ndarray, starts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """class of the character before, times 65536, plus the character; class 0 at a line's start."""
+    """Class of the character before, times the symbols, plus the character; class 0 at a line's start."""
     before = np.zeros(len(points), np.uint32)
     before[1:] = classes[points[:-1]]
     before[starts[starts < len(points)]] = 0
@@ -96,13 +110,13 @@ def _rises(gains: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log odds of each pair's state against the clean one."""
+    """Log odds of each chain's state against the clean one."""
 
-    slot: np.ndarray  # code point -> column of gains, 0 for unknown
-    gains: np.ndarray  # (classes, columns, pairs), float32
+    slot: np.ndarray  # symbol -> column of gains, 0 for unknown
+    gains: np.ndarray  # (classes, columns, chains), float32
     enter: float
     leave: float
-    common: np.ndarray  # code point -> log probability in clean text
+    common: np.ndarray  # symbol -> log probability in clean text
 
     def __post_init__(self):
         self.classes = class_table()
@@ -111,7 +125,7 @@ class Model:
 
     @classmethod
     def fit(cls, keys: np.ndarray, counts: np.ndarray, tallies: Sequence[tuple[np.ndarray, np.ndarray]], backoff: float, enter: float = 7.5, leave: float = 2.5) -> Model:
-        """keys, counts: of clean text. tallies: the same of each pair's garbled text. backoff: weight of unconditioned counts, as a share of all."""
+        """keys, counts: of clean text. tallies: the same of each chain's garbled text. backoff: weight of unconditioned counts, as a share of all."""
         alphabet = np.unique(np.concatenate([k % _N for k, _ in [(keys, counts), *tallies]]))
         slot = np.zeros(_N, np.uint16)
         slot[alphabet] = np.arange(1, len(alphabet) + 1)
@@ -128,7 +142,7 @@ class Model:
 
         clean = logs(keys, counts, 20.0 + backoff * counts.sum())
         gains = np.stack([logs(k, n, 20.0) - clean for k, n in tallies], axis=2)
-        # Characters that no transform of this pair gives are near impossible there; ASCII after ASCII tells nothing.
+        # Characters that no transform of this chain gives are near impossible there; ASCII after ASCII tells nothing.
         ascii_columns = slot[alphabet[alphabet < 128]]
         for c in (1, 2, 3, 4):
             gains[c, ascii_columns] = 0
@@ -147,7 +161,7 @@ class Model:
         if not len(points):
             return []
         keys = keys_of(points, starts, self.classes)
-        slots, kinds = self.slot[points], keys >> 16
+        slots, kinds = self.slot[points], keys // _N
         filled = np.flatnonzero(lengths)
         rough = filled[_rises(self.best[kinds, slots][:, None], lengths[filled]) >= self.least]
         out, at = [], 0
@@ -165,13 +179,13 @@ class Model:
             at = end
         return out
 
-    def spans(self, line: str) -> list[tuple[int, int, int, float]]:
-        """Viterbi: (start, end, pair number, gain) of each span that isn't clean."""
+    def spans(self, line: str) -> list[tuple[int, int, int, np.ndarray]]:
+        """Viterbi: (start, end, number of the chain, gain of each chain) of each span that isn't clean."""
         points = code_points(line)
         keys = keys_of(points, np.zeros(1, np.int64), self.classes)
-        g = self.gains[keys >> 16, self.slot[points]].astype(np.float64)
-        clean, other = 0.0, np.full(len(PAIRS), -np.inf)
-        entered = np.zeros((len(points), len(PAIRS)), bool)
+        g = self.gains[keys // _N, self.slot[points]].astype(np.float64)
+        clean, other = 0.0, np.full(len(CHAINS), -np.inf)
+        entered = np.zeros((len(points), len(CHAINS)), bool)
         left = np.full(len(points) + 1, -1)
         for t in range(len(points)):
             fresh = clean - self.enter
@@ -192,22 +206,26 @@ class Model:
             else:
                 t -= 1
                 if entered[t, state]:
-                    out.append((t, end, state, float(g[t:end, state].sum())))
+                    out.append((t, end, state, g[t:end].sum(axis=0)))
                     state = -1
                     if left[t] >= 0 and t < len(points) and t > 0:
                         state, end = int(left[t]), t
         return out[::-1]
 
-    def restore(self, span: str, pair: int) -> tuple[str | None, bool]:
-        """The inverse transform: the text, or None if too much of it is lost, and whether it is whole."""
-        written, read = PAIRS[pair]
+    def restore(self, span: str, chain: int) -> tuple[str | None, bool]:
+        """The inverse transforms: the text, or None if too much of it is lost, and whether it is whole."""
+        text = span
         try:
             if "\ufffd" in span:
                 raise UnicodeError
-            return _written(span, read).decode(written), True
+            for written, read in reversed(CHAINS[chain]):
+                text = _written(text, read).decode(written)
+            return text, True
         except UnicodeError:
             pass
-        text = _written(span.replace("\ufffd", "?"), read, "replace").decode(written, "replace")
+        text = span
+        for written, read in reversed(CHAINS[chain]):
+            text = _written(text.replace("\ufffd", "?"), read, "replace").decode(written, "replace")
         lost = text.count("\ufffd") + text.count("?") - span.count("?")
         return (text, False) if lost <= 0.5 * len(text) else (None, False)
 
@@ -217,36 +235,45 @@ class Model:
         points = points[points >= 128]
         return float(self.common[points].mean()) if len(points) else 0.0
 
-    def repaired(self, line: str, rounds: int = 3) -> tuple[str, int, int]:
+    def _undone(self, line: str, start: int, end: int, chain: int, gain: float) -> tuple[int, int, str | None, bool] | None:
+        """(start, end, text, whole) of the span as the chain's inverse gives it; None if that speaks against the label."""
+        while start < end and line[start] < "\x80":
+            start += 1
+        while end > start and line[end - 1] < "\x80" and not (CHAINS[chain][-1][0] != "utf-8" and line[end - 1] > "?"):
+            end -= 1
+        span = line[start:end]
+        if len(span) <= 4 and "\ufffd" not in span and (line[start - 1 : start] >= "\u2e80" or line[end : end + 1] >= "\u2e80"):
+            return None  # a wrong decoding spoils the whole of a cell or sentence, not a few characters in a word
+        text, exact = self.restore(span, chain)
+        if exact and text is not None:
+            # The shorter the span, the more its inverse must have in its favour; a text garbled again has it only after all rounds.
+            again = self.repaired(text)[0] if len(text) < len(span) and self.suspects([text]) else text
+            good = max(self.likelihood(text), self.likelihood(again)) > self.likelihood(span) + max(1.0, 6.0 - 2 * len(span))
+        else:
+            good = gain >= self.least + 6 or "\ufffd" in span
+        return (start, end, text, exact) if good else None
+
+    def repaired(self, line: str) -> tuple[str, int, int]:
         """(text with spans restored where possible, number of garbled spans, of those restored whole).
 
-        A text garbled twice is restored in as many rounds.
+        What no state undoes at once is restored in rounds, as long as a round makes the text shorter.
         """
         out, at, found, whole = [], 0, 0, 0
-        for start, end, pair, gain in self.spans(line):
-            while start < end and line[start] < "\x80":
-                start += 1
-            while end > start and line[end - 1] < "\x80" and not (PAIRS[pair][0] != "utf-8" and line[end - 1] > "?"):
-                end -= 1
-            text, exact = self.restore(line[start:end], pair)
-            if exact and text is not None:
-                # The shorter the span, the more its inverse must have in its favour; a text garbled twice has it only after both rounds.
-                again = self.repaired(text, rounds - 1)[0] if rounds > 1 and self.suspects([text]) else text
-                good = max(self.likelihood(text), self.likelihood(again)) > self.likelihood(line[start:end]) + max(1.0, 6.0 - 2 * (end - start))
-            else:
-                good = gain >= self.least + 6 or "\ufffd" in line[start:end]
-            if end - start <= 4 and "\ufffd" not in line[start:end] and (line[start - 1 : start] >= "\u2e80" or line[end : end + 1] >= "\u2e80"):
-                good = False  # a wrong decoding spoils the whole of a cell or sentence, not a few characters in a word
-            if not good:
+        for first, last, best, gains in self.spans(line):
+            # The labelled state, then the others that would pay for the span as well: what one can't undo, another may.
+            chains = [best, *(int(k) for k in np.argsort(-gains, kind="stable") if k != best and gains[k] >= self.least)]
+            tried = [x for k in chains if (x := self._undone(line, first, last, k, float(gains[k])))]
+            if not tried:
                 continue
+            start, end, text, exact = next((x for x in tried if x[3]), tried[0])
             found += 1
             out.append(line[at:start])
             out.append(line[start:end] if text is None else text)
             whole += exact
             at = end
         text = "".join(out) + line[at:]
-        if whole and rounds > 1 and self.suspects([text]):
-            text = self.repaired(text, rounds - 1)[0]
+        if whole and len(text) < len(line) and self.suspects([text]):
+            text = self.repaired(text)[0]
         return text, found, whole
 
 
@@ -261,8 +288,8 @@ def _cut(text: str) -> list[str]:
 
 
 def _tally_pieces(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the pieces' keys, without their first signs, which belong to the pieces before."""
-    points, starts, _ = _flat([x for x in pieces if len(x) > 1])
+    """Counts of the pieces' keys, without their first signs, which belong to the pieces before, and without pieces that hold UTF-8 read as Latin."""
+    points, starts, _ = _flat([x for x in pieces if len(x) > 1 and not _LATIN_UTF8.search(x)])
     classes = class_table()
     classes[10] = 0  # a line's start; no line holds a line feed
     inner = np.ones(len(points), bool)
@@ -308,9 +335,8 @@ def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, **options) -> M
     # The replacement sign is the mark of a failed decoding; no clean text has it.
     clean = keys % _N != 0xFFFD
     keys, counts = keys[clean], counts[clean]
-    once = ["\n".join(sample), "\n".join(sample[::4])]
-    # Every fourth line is garbled twice as well, so that such text needn't be in the sample to be known.
-    tallies = [_tally(garble(once[0], pair).split("\n") + garble(garble(once[1], pair), pair).split("\n")) for pair in PAIRS]
+    once = "\n".join(sample)
+    tallies = [_tally(garble(once, *chain).split("\n")) for chain in CHAINS]
     left, kept = keys, counts
     for _ in range(2):
         left, kept = _without_garbled(rows, Model.fit(left, kept, tallies, 0.05, **options), keys, counts)

@@ -66,3 +66,27 @@ def test_copies_of_a_garbled_passage(spark):
         cell = spark.range(150).selectExpr("concat('c', id) AS id", "id * 7919 AS n").select("id", F.concat(F.lit('["'), "n", F.lit(f'", "{bad}", "'), F.col("n") * 31, F.lit('"]')).alias("t"))
         found = {r.id for r in find_garbled(df.unionByName(line).unionByName(cell), ["id"], "t", sample_rows=40).collect()}
         assert {x for x in (f"{k}{n}" for k in "lc" for n in range(150)) if x not in found} == set()
+
+
+def test_garbled_twice(spark, fitted):
+    """Text read as Latin twice is one span of a composed state, and comes back whole; so does a lone sign."""
+    _, model = fitted
+    clean = "岚坪县渊航道测绘保障队统筹营养师"
+    for chain in mojibake.CHAINS[len(PAIRS) :]:
+        text, spans, _ = model.repaired(garble(clean, *chain))
+        assert spans and text == clean, chain
+    df = spark.read.parquet(f"{DATA}/position_record.parquet").where("raw_row is not null").selectExpr("id", "raw_row AS t")
+    bad = garble(clean, ("utf-8", "cp1252"), ("utf-8", "cp1252"))
+    rows = [("a", f'["1", "{bad}", "AB-01", "本科"]'), ("b", f'["2", "AB-02", "{bad}"]')]
+    found = {r.id: r.restored for r in find_garbled(df.unionByName(spark.createDataFrame(rows, "id string, t string")), ["id"], "t", sample_rows=400).collect()}
+    assert [found.get(i) for i, _ in rows] == [t.replace(bad, clean) for _, t in rows]
+    sign = "Copyright © 2021-2026 Nerserbel All rights reserved"
+    assert model.repaired(garble(sign, ("utf-8", "latin-1")))[0] == sign
+
+
+def test_characters_beyond_the_first_plane(fitted):
+    """They have symbols of their own, in blocks of 256, and come through unchanged."""
+    _, model = fitted
+    assert len(set(mojibake.code_points("\U00010000\U00020000\U0001f600").tolist())) == 3
+    text = "报名办法😀𠮷地点" + garble("体检地点设在指定机构，准入证明可在自助打印。", ("utf-8", "cp1252"))
+    assert model.repaired(text)[0] == "报名办法😀𠮷地点体检地点设在指定机构，准入证明可在自助打印。"
