@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import boilerplate, canonical, confusables, languages, leaks, mojibake, neardup
+from sluicework.llm import boilerplate, canonical, confusables, languages, leaks, mojibake, neardup, packing
 from sluicework.operators.multivalue import is_no_value, split_packed
-from sluicework.session import table
+from sluicework.session import checkpointed, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,22 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("position_id"), "field_name").distinct()
 
 
+#: Tokens of a training sequence.
+SEQUENCE_TOKENS = 2048
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents, in tokens of a public tokenizer, in training sequences of fixed capacity."""
+    sizes = packing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "tokens", SEQUENCE_TOKENS)
+
+
+def packing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p8_packed must keep, counted over all texts and sequences."""
+    sizes = checkpointed(packing.token_sizes(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return packing.packing_report(sizes, packing.pack(sizes, "doc_id", "tokens", SEQUENCE_TOKENS), "doc_id", "tokens", SEQUENCE_TOKENS)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
     return found.select("doc_id", "item_id").distinct()
@@ -60,8 +76,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p6_found": p6_found, "p7_found": p7_found, "p9_found": p9_found, "p10_found": p10_found}
+    found = (p1_found, p3_found, p4_found, p6_found, p7_found, p8_packed, packing_check, p9_found, p10_found)
+    return {f.__name__: f for f in found}
+
+
+ORACLES = {
+    "packing_check": "SELECT count(*) AS items, 0::BIGINT AS items_not_whole, 0::BIGINT AS items_cut_though_they_fit, 0::BIGINT AS containers_over_capacity, true AS filled FROM documents WHERE text <> ''",
+}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return ORACLES

@@ -1,5 +1,6 @@
 import random
 
+from sluicework.llm import packing
 from sluicework.llm.packing import pack, plan, token_sizes
 
 SCHEMA = "doc_id long, tokens long, container string"
@@ -66,3 +67,39 @@ def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "ab cd"), (2, None), (3, ""), (4, "<|endoftext|>" + "词" * 5000)], "doc_id long, text string")
     n = {r.doc_id: r.tokens for r in token_sizes(df, "doc_id", "text").collect()}
     assert n[2] == n[3] == 0 and n[1] == 2 and n[4] > 5000
+
+
+def test_one_size_and_one_key_fill_the_table(spark):
+    """A hot size is spread over tasks and buckets, a hot key too; a plan too long for a broadcast gives the same."""
+    rows = [(7, 30, "x")] * 3000 + [(i, 30 + i % 40, "x") for i in range(2000)]
+    got, used = packed(spark, rows, 100)
+    assert len(got) == 5000 and max(used.values()) <= 100
+    counts = {s: sum(n == s for _, n, _ in rows) for s in {n for _, n, _ in rows}}
+    assert len(used) == max(c + n for _, _, n, c in plan(counts, 100))
+    before = packing.BROADCAST_ROWS, packing.BUCKET_PIECES
+    try:
+        packing.BROADCAST_ROWS, packing.BUCKET_PIECES = 0, 64
+        again, load = packed(spark, rows, 100)
+        assert sorted(used.values()) == sorted(load.values()) and len(again) == 5000
+    finally:
+        packing.BROADCAST_ROWS, packing.BUCKET_PIECES = before
+
+
+def test_buckets_cover_the_plan():
+    rng = random.Random(9)
+    counts = {s: rng.randint(1, 500) for s in range(1, 65)}
+    rows = plan(counts, 64)
+    widths, cut = packing.rank_buckets(rows, counts)
+    assert len(cut["length"]) <= 2 * len(rows) + len(counts)
+    where = {(s, r): c + r - f for s, f, n, c in rows for r in range(f, f + n)}
+    for s, n in counts.items():
+        for r in range(n):
+            hits = [c + r - f for z, b, f, k, c in zip(*cut.values()) if z == s and b == r // widths[s] and f <= r < f + k] if n < 40 else None
+            assert hits is None or hits == [where[s, r]]
+
+
+def test_report(spark):
+    rows = [(i, i % 130, "x") for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = packing.packing_report(df, pack(df, "doc_id", "tokens", 100), "doc_id", "tokens", 100).first()
+    assert tuple(got) == (sum(n > 0 for _, n, _ in rows), 0, 0, 0, True)
