@@ -11,6 +11,7 @@ the capacity allows, and the pieces meet them by an equi-join on size and a buck
 
 from __future__ import annotations
 
+import base64
 import bisect
 from collections.abc import Iterator
 
@@ -67,23 +68,27 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def token_sizes(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """(key, tokens) of each text in a public byte-level tokenizer; vocabulary: path of a tokenizers file, by default the installed one."""
-    if vocabulary is None:
+def encoding(vocabulary: str | None = None, pattern: str | None = None):
+    """A byte-level tokenizer; vocabulary: path of a file of ranks, pattern: how texts are cut into words, by default the installed public ones."""
+    import tiktoken
+
+    if vocabulary is None or pattern is None:
         import public_tokenizers
 
-        vocabulary = str(public_tokenizers.path("byte_bpe_50k.json"))
+        vocabulary, pattern = vocabulary or str(public_tokenizers.path("byte_bpe_50k.tiktoken")), pattern or public_tokenizers.PATTERN
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_sizes(df: DataFrame, key: str, text: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(key, tokens) of each text, whole; null and '' have none. Strings of special tokens are ordinary text."""
     schema = T.StructType([df.schema[key], T.StructField("tokens", T.LongType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tokenizers import Tokenizer
-
-        t = Tokenizer.from_file(vocabulary)
-        t.encode_special_tokens = True
+        own = encoding(vocabulary, pattern)
         for batch in batches:
-            texts = batch["__t"].tolist()
-            sizes = [len(e.ids) for at in range(0, len(texts), 256) for e in t.encode_batch(texts[at : at + 256], add_special_tokens=False)]
-            yield pd.DataFrame({key: batch[key], "tokens": sizes})
+            yield pd.DataFrame({key: batch[key], "tokens": [len(own.encode_ordinary(t)) for t in batch["__t"]]})
 
     return df.select(key, F.coalesce(df[text], F.lit("")).alias("__t")).mapInPandas(count, schema)
 

@@ -103,3 +103,17 @@ def test_report(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = packing.packing_report(df, pack(df, "doc_id", "tokens", 100), "doc_id", "tokens", 100).first()
     assert tuple(got) == (sum(n > 0 for _, n, _ in rows), 0, 0, 0, True)
+
+
+def test_sizes_are_those_of_the_vocabulary(spark):
+    """Another library with the same vocabulary counts the same, long runs of letters included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    other.encode_special_tokens = True
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("text is not null")
+    df = df.unionByName(spark.createDataFrame([(-1, "招聘岗位" * 20_000), (-2, "a" * 3000 + "\ud7ff😀"), (-3, " \n\t ")], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    got = {r.doc_id: r.tokens for r in token_sizes(df, "doc_id", "text").collect()}
+    assert got == {i: len(other.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
