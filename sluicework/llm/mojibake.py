@@ -113,14 +113,14 @@ class Model:
     """Log odds of each chain's state against the clean one."""
 
     slot: np.ndarray  # symbol -> column of gains, 0 for unknown
-    gains: np.ndarray  # (classes, columns, chains), float32
+    gains: np.ndarray  # (classes, columns, chains), float16, so that a model is some 20 MB
     enter: float
     leave: float
     common: np.ndarray  # symbol -> log probability in clean text
 
     def __post_init__(self):
         self.classes = class_table()
-        self.best = self.gains.max(axis=2)
+        self.best = self.gains.max(axis=2).astype(np.float32)
         self.least = self.enter + self.leave
 
     @classmethod
@@ -149,7 +149,7 @@ class Model:
         gains[0, ascii_columns] = 0
         alone = np.bincount(slot[keys % _N], counts, width)
         common = np.log((alone + 0.01) / (alone.sum() + 0.01 * width))[slot]
-        return cls(slot, np.clip(gains, -12, 12).astype(np.float32), enter, leave, common.astype(np.float32))
+        return cls(slot, np.clip(gains, -12, 12).astype(np.float16), enter, leave, common.astype(np.float32))
 
     def suspects(self, lines: Sequence[str]) -> list[int]:
         """Lines on which some path beats the clean one.
