@@ -10,6 +10,7 @@ state's inverse transform.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -249,6 +250,8 @@ class Model:
             # The shorter the span, the more its inverse must have in its favour; a text garbled again has it only after all rounds.
             again = self.repaired(text)[0] if len(text) < len(span) and self.suspects([text]) else text
             good = max(self.likelihood(text), self.likelihood(again)) > self.likelihood(span) + max(1.0, 6.0 - 2 * len(span))
+        elif text is not None and "\ufffd" not in span:
+            good = gain >= self.least + 6 and self.likelihood(text.replace("\ufffd", "")) > self.likelihood(span) + 1
         else:
             good = gain >= self.least + 6 or "\ufffd" in span
         return (start, end, text, exact) if good else None
@@ -287,46 +290,69 @@ def _cut(text: str) -> list[str]:
     return ("\n" + text.replace("\0", " ")).replace("\n", "\0\n").replace('"', '"\0"').replace("\t", "\t\0\t").split("\0")
 
 
-def _tally_pieces(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the pieces' keys, without their first signs, which belong to the pieces before, and without pieces that hold UTF-8 read as Latin."""
-    points, starts, _ = _flat([x for x in pieces if len(x) > 1 and not _LATIN_UTF8.search(x)])
+def _weights(counts: np.ndarray) -> np.ndarray:
+    """What a piece counts that occurs so often: copies add up as their logarithm, so that neither a line of a third of all rows drowns the rest, nor a site's line on each of its pages looks rare."""
+    return 1 + np.floor(np.log2(counts)).astype(np.int64)
+
+
+def _tally_pieces(pieces: Sequence[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted counts of the pieces' keys, without their first signs, which belong to the pieces before, and without pieces that hold UTF-8 read as Latin."""
+    kept = [k for k, x in enumerate(pieces) if len(x) > 1 and not _LATIN_UTF8.search(x)]
+    points, starts, lengths = _flat([pieces[k] for k in kept])
     classes = class_table()
     classes[10] = 0  # a line's start; no line holds a line feed
     inner = np.ones(len(points), bool)
     inner[starts] = False
-    counts = np.bincount(keys_of(points, starts, classes)[inner], minlength=1)
+    counts = np.bincount(keys_of(points, starts, classes)[inner], np.repeat(weights[kept], lengths)[inner], minlength=1).astype(np.int64)
     keys = np.flatnonzero(counts)
     return keys, counts[keys]
 
 
-def _garbled_pieces(model: Model, pieces: Sequence[str]) -> list[str]:
-    bare = [x[1:] if x[:1] == "\n" else x for x in pieces]
-    return [pieces[i] for i in model.suspects(bare) if model.repaired(bare[i])[1]]
-
-
 def _counted(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all pieces in order, with their counts; at most the classes times the code points reach the driver."""
+    """Keys of all pieces p with their numbers n, in order, and their weighted counts; at most the classes times the symbols reach the driver."""
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(CLASSES * _N, np.int64)
         for batch in batches:
-            k, n = _tally_pieces(batch["p"].tolist())
+            k, n = _tally_pieces(batch["p"].tolist(), _weights(batch["n"].to_numpy()))
             sums[k] += n
         k = np.flatnonzero(sums)
         yield pd.DataFrame({"k": k, "n": sums[k]})
 
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
-    counts = pieces.mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    counts = pieces.groupBy("p").agg(F.sum("n").alias("n")).mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
     return counts["k"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
 
+class Repairs:
+    """A model's findings on lines, each different line looked at once; what is remembered is bounded, what is found isn't."""
+
+    def __init__(self, model: Model, most: int = 100_000):
+        self.model, self.most = model, most
+        self.known: dict[str, tuple[str, int, int]] = {}
+
+    def of(self, lines: Sequence[str]) -> dict[str, tuple[str, int, int]]:
+        """Of the lines with something garbled: what ``Model.repaired`` gives."""
+        different = list(dict.fromkeys(lines))
+        if len(self.known) > self.most:
+            self.known.clear()
+        out = {}
+        for i in self.model.suspects(different):
+            line = different[i]
+            if line not in self.known:
+                self.known[line] = self.model.repaired(line)
+            if self.known[line][1]:
+                out[line] = self.known[line]
+        return out
+
+
 def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, **options) -> Model:
-    """Clean counts come from all rows, each distinct cell once, so that copies weigh nothing; what a first model finds
+    """Clean counts come from all rows, each distinct cell by the logarithm of its copies; what a first model finds
     garbled in any row leaves the counts of a second, and what that finds those of the last. ``sample_rows`` different texts, of the least
     hash, are garbled for the pairs' emissions.
     """
     rows = df.select(F.col(text).alias("t")).where("t is not null")
-    keys, counts = _counted(rows.select(F.explode(pieces_of(F.col("t"))).alias("p")).distinct())
+    keys, counts = _counted(rows.select(F.explode(pieces_of(F.col("t"))).alias("p"), F.lit(1).alias("n")))
     # Hashes below a bound leave about twice the sample, whatever the number of rows; the least of them are taken.
     texts = rows.select(F.approx_count_distinct(F.xxhash64("t"), 0.02)).first()[0]
     hashed = rows.select("t", F.xxhash64("t").alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, 2 * sample_rows / max(1, texts)) * (1 << 40)) + 1)
@@ -348,10 +374,14 @@ def _without_garbled(rows: DataFrame, model: Model, keys: np.ndarray, counts: np
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repairs = Repairs(sent.value)
         for batch in batches:
-            yield pd.DataFrame({"p": _garbled_pieces(sent.value, list(dict.fromkeys(x for t in batch["t"] for x in _cut(t))))}, dtype=object)
+            pieces = Counter(x for t in batch["t"] for x in _cut(t))
+            bad = repairs.of([x[1:] if x[:1] == "\n" else x for x in pieces])
+            found = [x for x in pieces if (x[1:] if x[:1] == "\n" else x) in bad] if bad else []
+            yield pd.DataFrame({"p": pd.Series(found, dtype=object), "n": pd.Series([pieces[x] for x in found], dtype="int64")})
 
-    k, n = _counted(rows.mapInPandas(search, "p string").distinct())
+    k, n = _counted(rows.mapInPandas(search, "p string, n bigint"))
     sent.destroy()  # a few MB of disk on each machine
     dense = np.zeros(CLASSES * _N)
     dense[keys] = counts
@@ -374,33 +404,17 @@ def find_garbled(df: DataFrame, keys: Sequence[str], text: str, model: Model | N
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("restored", T.StringType()), T.StructField("spans", T.IntegerType()), T.StructField("spans_restored", T.IntegerType())])
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
+        repairs = Repairs(sent.value)
         for batch in batches:
-            lines, owner = [], []
-            for n, t in enumerate(batch["__t"]):
-                if t:
-                    own = lines_of(t)
-                    lines += own
-                    owner += [n] * len(own)
-            fixed: dict[int, list] = {}
-            for i in m.suspects(lines):
-                new, spans, whole = m.repaired(lines[i])
-                if spans:
-                    f = fixed.setdefault(owner[i], [0, 0, {}])
-                    f[0] += spans
-                    f[1] += whole
-                    f[2][i] = new
+            texts = [lines_of(t) for t in batch["__t"]]
+            fixed = repairs.of([x for own in texts for x in own])
             if not fixed:
                 continue
-            first = np.searchsorted(owner, sorted(fixed))
-            out = batch.iloc[sorted(fixed)][list(keys)].copy()
-            texts = []
-            for n, at in zip(sorted(fixed), first):
-                count = len(lines_of(batch["__t"].iat[n]))
-                texts.append("\n".join(fixed[n][2].get(i, lines[i]) for i in range(at, at + count)))
-            out["restored"] = texts
-            out["spans"] = [fixed[n][0] for n in sorted(fixed)]
-            out["spans_restored"] = [fixed[n][1] for n in sorted(fixed)]
+            at = [n for n, own in enumerate(texts) if any(x in fixed for x in own)]
+            out = batch.iloc[at][list(keys)].copy()
+            out["restored"] = ["\n".join(fixed[x][0] if x in fixed else x for x in texts[n]) for n in at]
+            for column, k in (("spans", 1), ("spans_restored", 2)):
+                out[column] = [sum(fixed[x][k] for x in texts[n] if x in fixed) for n in at]
             yield out
 
     return df.select(*(df[k] for k in keys), df[text].alias("__t")).where("__t is not null").mapInPandas(search, schema)
