@@ -10,7 +10,6 @@ state's inverse transform.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.session import stored
+
 #: (written in, read as)
 PAIRS = (
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "gb18030"), ("utf-8", "cp932"), ("utf-8", "big5"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"), ("utf-8", "cp1251"),
@@ -285,11 +286,6 @@ def pieces_of(text: Column) -> Column:
     return F.split(F.replace(F.replace(F.replace(F.concat(F.lit("\n"), F.translate(text, "\0", " ")), F.lit("\n"), F.lit("\0\n")), F.lit('"'), F.lit('"\0"')), F.lit("\t"), F.lit("\t\0\t")), "\0")
 
 
-def _cut(text: str) -> list[str]:
-    """The same in Python."""
-    return ("\n" + text.replace("\0", " ")).replace("\n", "\0\n").replace('"', '"\0"').replace("\t", "\t\0\t").split("\0")
-
-
 def _weights(counts: np.ndarray) -> np.ndarray:
     """What a piece counts that occurs so often: copies add up as their logarithm, so that neither a line of a third of all rows drowns the rest, nor a site's line on each of its pages looks rare."""
     return 1 + np.floor(np.log2(counts)).astype(np.int64)
@@ -308,19 +304,29 @@ def _tally_pieces(pieces: Sequence[str], weights: np.ndarray) -> tuple[np.ndarra
     return keys, counts[keys]
 
 
-def _counted(pieces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all pieces p with their numbers n, in order, and their weighted counts; at most the classes times the symbols reach the driver."""
+def _counted(pieces: DataFrame, model: Model | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the different pieces p with their numbers n, in order, and their weighted counts; with a model, of the pieces in which it finds
+    something garbled. At most the classes times the symbols reach the driver.
+    """
+    sent = pieces.sparkSession.sparkContext.broadcast(model)
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(CLASSES * _N, np.int64)
         for batch in batches:
-            k, n = _tally_pieces(batch["p"].tolist(), _weights(batch["n"].to_numpy()))
-            sums[k] += n
+            own, n = batch["p"].tolist(), batch["n"].to_numpy()
+            if sent.value is not None:
+                bare = [x[1:] if x[:1] == "\n" else x for x in own]
+                bad = [i for i in sent.value.suspects(bare) if sent.value.repaired(bare[i])[1]]
+                own, n = [own[i] for i in bad], n[bad]
+            if len(own):
+                k, w = _tally_pieces(own, _weights(n))
+                sums[k] += w
         k = np.flatnonzero(sums)
         yield pd.DataFrame({"k": k, "n": sums[k]})
 
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
-    counts = pieces.groupBy("p").agg(F.sum("n").alias("n")).mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    counts = pieces.mapInPandas(tally, schema).groupBy("k").agg(F.sum("n").alias("n")).toPandas().sort_values("k")
+    sent.destroy()  # a model takes its size on each machine
     return counts["k"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
 
@@ -346,51 +352,34 @@ class Repairs:
         return out
 
 
-def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, **options) -> Model:
+def fit_model(df: DataFrame, text: str, sample_rows: int = 3000, passes: int = 2, **options) -> Model:
     """Clean counts come from all rows, each distinct cell by the logarithm of its copies; what a first model finds
-    garbled in any row leaves the counts of a second, and what that finds those of the last. ``sample_rows`` different texts, of the least
-    hash, are garbled for the pairs' emissions.
+    garbled in any of them leaves the counts of a second, and so on for so many passes. ``sample_rows`` different texts, of the least
+    hash, are garbled for the pairs' emissions. The distinct cells are written to the shared folder meanwhile.
     """
     rows = df.select(F.col(text).alias("t")).where("t is not null")
-    keys, counts = _counted(rows.select(F.explode(pieces_of(F.col("t"))).alias("p"), F.lit(1).alias("n")))
     # Hashes below a bound leave about twice the sample, whatever the number of rows; the least of them are taken.
     texts = rows.select(F.approx_count_distinct(F.xxhash64("t"), 0.02)).first()[0]
     hashed = rows.select("t", F.xxhash64("t").alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(min(1.0, 2 * sample_rows / max(1, texts)) * (1 << 40)) + 1)
     picked = hashed.dropDuplicates(["h"]).orderBy("h").limit(sample_rows).collect()
-    sample = list(dict.fromkeys(x for r in picked for x in lines_of(r.t)))
-    # The replacement sign is the mark of a failed decoding; no clean text has it.
-    clean = keys % _N != 0xFFFD
-    keys, counts = keys[clean], counts[clean]
-    once = "\n".join(sample)
+    once = "\n".join(dict.fromkeys(x for r in picked for x in lines_of(r.t)))
     tallies = [_tally(garble(once, *chain).split("\n")) for chain in CHAINS]
-    left, kept = keys, counts
-    for _ in range(2):
-        left, kept = _without_garbled(rows, Model.fit(left, kept, tallies, 0.05, **options), keys, counts)
+    with stored(rows.select(F.explode(pieces_of(F.col("t"))).alias("p")).groupBy("p").agg(F.count("*").alias("n"))) as pieces:
+        keys, counts = _counted(pieces)
+        # The replacement sign is the mark of a failed decoding; no clean text has it.
+        clean = keys % _N != 0xFFFD
+        keys, counts = left, kept = keys[clean], counts[clean]
+        for _ in range(passes):
+            k, n = _counted(pieces, Model.fit(left, kept, tallies, 0.05, **options))
+            dense = np.zeros(CLASSES * _N)
+            dense[keys] = counts
+            dense[k] -= n
+            dense[0xFFFD::_N] = 0
+            left = np.flatnonzero(dense > 0)
+            kept = dense[left]
     return Model.fit(left, kept, tallies, 0.0005, **options)
 
 
-def _without_garbled(rows: DataFrame, model: Model, keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counts without those of the distinct cells in which the model finds something garbled, in all rows."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        repairs = Repairs(sent.value)
-        for batch in batches:
-            pieces = Counter(x for t in batch["t"] for x in _cut(t))
-            bad = repairs.of([x[1:] if x[:1] == "\n" else x for x in pieces])
-            found = [x for x in pieces if (x[1:] if x[:1] == "\n" else x) in bad] if bad else []
-            yield pd.DataFrame({"p": pd.Series(found, dtype=object), "n": pd.Series([pieces[x] for x in found], dtype="int64")})
-
-    k, n = _counted(rows.mapInPandas(search, "p string, n bigint"))
-    sent.destroy()  # a few MB of disk on each machine
-    dense = np.zeros(CLASSES * _N)
-    dense[keys] = counts
-    dense[k] -= n
-    dense[0xFFFD::_N] = 0
-    left = np.flatnonzero(dense > 0)
-    return left, dense[left]
-
-
 def find_garbled(df: DataFrame, keys: Sequence[str], text: str, model: Model | None = None, sample_rows: int = 3000) -> DataFrame:
     """Records with a garbled passage.
 
