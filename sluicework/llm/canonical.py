@@ -1,26 +1,29 @@
 """Mapping free-entered values to a canonical list (problem 3).
 
-The names and aliases of the list are cut into tokens; endings and beginnings that several of them
-share become tokens of their own and weigh little. Each distinct value is joined to the vocabulary
-by edit distance: every token of a candidate is looked for in the value, repaired if need be, and the
-repaired tokens' soft TF-IDF ranks the complete entries. A value that comes near no entry is
-reported as ``none``.
+The names and aliases of the list are cut into tokens of two or three characters; endings and beginnings
+that several of them share become tokens of their own and weigh little. The distinct pieces of the distinct
+values are joined to the distinct tokens of the vocabulary by edit distance: both sides
+give out the keys of their neighbourhoods, so that the join is an equi-join. An entry that has enough
+weight among the repaired tokens is ranked by soft TF-IDF over all of its tokens, and an exact check of the
+whole term's distance follows. A value that comes near no entry is reported as ``none``.
+
+Values, pieces and entries are tables throughout: neither side need fit one machine.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.session import checkpointed
+
 # Traditional characters common in names of subjects, and their simplified forms.
 TRADITIONAL = dict(
     zip(
@@ -58,99 +61,153 @@ def placed_distance(term: str, value: str) -> tuple[int, int]:
     return distance, m - max(length for length, _ in ends)
 
 
+_CUT = T.StructType([T.StructField("bare", T.StringType()), T.StructField("codes", T.ArrayType(T.StringType()))])
+
+
+def bare_form(value: str) -> tuple[str, list[str]]:
+    """The normal form without remarks in brackets and without numbers that may be codes, and those numbers."""
+    text = normal(value)
+    bare = _REMARK.sub("", text) or text
+    while bare != text and _REMARK.search(bare):
+        bare = _REMARK.sub("", bare)
+    return _CODE.sub("", bare), sorted(set(_CODE.findall(text)))
+
+
+@F.pandas_udf(_CUT)
+def _bare(values: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([bare_form(x) for x in values], columns=["bare", "codes"])
+
+
+@F.pandas_udf(T.StringType())
+def _normal(values: pd.Series) -> pd.Series:
+    return values.map(normal, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _placed(terms: pd.Series, values: pd.Series) -> pd.Series:
+    return pd.Series([list(placed_distance(t, v)) for t, v in zip(terms, values)], dtype=object)
+
+
+def _runs(chars: Column, n: int) -> Column:
+    """The runs of n of an array of characters."""
+    run = lambda i: F.concat(*(F.get(chars, i + k) for k in range(n)))
+    return F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(0), F.size(chars) - n), run)).otherwise(F.array().cast("array<string>"))
+
+
+def _characters(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda x: x != "")
+
+
+def _each(c: Column, change) -> Column:
+    """What ``change(before, character, after)`` gives at each place of a short text."""
+    return F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: change(F.substring(c, F.lit(1), i - 1), F.substring(c, i, F.lit(1)), F.substring(c, i + 1, F.length(c))))
+
+
+def _neighbourhood(c: Column, is_token: bool) -> Column:
+    """Keys of which a piece and a token share one if they are the same or one edit apart, and the edit leaves two characters or more in their places.
+
+    e: the same; i: the piece has one character more; x: two characters swapped; d: the piece has one less; m: one differs.
+    """
+    tagged = lambda tag, x: F.transform(x, lambda v: F.concat(F.lit(tag), v))
+    none, own, n = F.array().cast("array<string>"), F.array(c), F.length(c)
+    shorter = _each(c, lambda a, x, b: F.concat(a, b))
+    masked = _each(c, lambda a, x, b: F.concat(a, F.lit("\0"), b))
+    swapped = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, n)))
+    two = lambda tag, x: F.when(n >= 2, tagged(tag, x)).otherwise(none)
+    three = lambda tag, x: F.when(n >= 3, tagged(tag, x)).otherwise(none)
+    if is_token:
+        return F.array_distinct(F.concat(tagged("e", own), two("i", own), two("x", swapped), three("d", shorter), three("m", masked)))
+    return F.array_distinct(F.concat(tagged("e", own), three("i", shorter), two("x", own), two("d", own), three("m", masked)))
+
+
+#: Characters of the longest token; a piece may have one more.
+LONGEST = 3
+
+
+@dataclass
 class Vocabulary:
-    """Terms of the list with their tokens and weights."""
-
-    def __init__(self, ids: Sequence[str], terms: Sequence[Sequence[str]], codes: Sequence[str | None], least: float = 0.6):
-        self.least = least
-        self.terms: list[tuple[str, str]] = []
-        for i, own in zip(ids, terms):
-            self.terms += [(n, i) for t in dict.fromkeys(own) if t and (n := normal(t))]
-        self.codes = {c: i for i, c in zip(ids, codes) if c}
-        self.exact = {}
-        for t, i in self.terms:
-            self.exact.setdefault(t, i)
-        ends = Counter(t[-k:] for t, _ in self.terms for k in (1, 2) if len(t) > k)
-        starts = Counter(t[:k] for t, _ in self.terms for k in (2,) if len(t) > k + 1)
-        self.tokens = [self._tokens(t, ends, starts) for t, _ in self.terms]
-        df = Counter(x for own in self.tokens for x in set(own))
-        self.idf = {x: math.log(1 + len(self.terms) / n) for x, n in df.items()}
-        self.alphabet = {c: k for k, c in enumerate(sorted({c for t, _ in self.terms for c in t}))}
-        self.holds = np.zeros((len(self.alphabet) + 1, len(self.terms)), np.float32)
-        for n, (t, _) in enumerate(self.terms):
-            for c in set(t):
-                self.holds[self.alphabet[c], n] = 1 / len(set(t))
-        self.found: dict[str, tuple[str, str | None, float, int | None]] = {}
-
-    @staticmethod
-    def _tokens(term: str, ends: Counter, starts: Counter) -> list[str]:
-        head, tail = "", ""
-        if len(term) > 5 and starts[term[:2]] >= 5:
-            head, term = term[:2], term[2:]
-        for k in (2, 1):
-            if len(term) > k + 1 and ends[term[-k:]] >= 5:
-                term, tail = term[:-k], term[-k:]
-                break
-        stem = [term[i : i + 2] for i in range(0, len(term) - len(term) % 2, 2)] or [term]
-        if len(term) > 2 and len(term) % 2:
-            stem[-1] += term[-1]
-        return [x for x in (head, *stem, tail) if x]
-
-    def _token_likeness(self, token: str, value: str) -> float:
-        """1 for a token found as it is, less for one that needs repair."""
-        if token in value:
-            return 1.0
-        distance, _ = placed_distance(token, value)
-        return max(0.0, 1 - distance / len(token)) if distance < len(token) else 0.0
-
-    def match(self, raw: str) -> tuple[str, str | None, float, int | None]:
-        """(id or none, term, likeness, edits) of a value."""
-        if (got := self.found.get(raw)) is None:
-            if len(self.found) > 200_000:  # bounds the memory, not the result
-                self.found.clear()
-            got = self.found[raw] = self._match(raw)
-        return got
-
-    def _match(self, raw: str) -> tuple[str, str | None, float, int | None]:
-        value = normal(raw)
-        bare = _REMARK.sub("", value) or value
-        while bare != value and _REMARK.search(bare):
-            bare = _REMARK.sub("", bare)
-        if bare in self.exact:
-            return self.exact[bare], bare, 1.0, 0
-        codes = {self.codes[c] for c in _CODE.findall(value) if c in self.codes}
-        bare = _CODE.sub("", bare)
-        if bare in self.exact:
-            return self.exact[bare], bare, 1.0, 0
-        rows = [self.alphabet.get(c, -1) for c in set(bare)]
-        share = self.holds[[r for r in rows if r >= 0]].sum(axis=0) if rows else np.zeros(len(self.terms))
-        best = None
-        for n in np.flatnonzero(share >= 0.45):
-            term, own = self.terms[n]
-            distance, left = placed_distance(term, bare)
-            if distance > max(1, len(term) // 3):
-                continue
-            weights = [self.idf[x] for x in self.tokens[n]]
-            likeness = sum(w * self._token_likeness(x, bare) for w, x in zip(weights, self.tokens[n])) / sum(weights)
-            likeness = max(likeness, 1 - distance / len(term))  # a swap over the border of two tokens repairs both at once
-            # A long text that merely holds a short term isn't that entry.
-            rank = (likeness - 0.15 * distance / len(term) - 0.05 * left / max(1, len(bare)) + 0.2 * (own in codes), len(term), -n)
-            if likeness >= self.least and (best is None or rank > best[0]):
-                best = (rank, own, term, likeness, distance)
-        if best:
-            return best[1:]
-        if len(codes) == 1 and not bare:
-            return codes.pop(), None, 1.0, 0
-        return NONE, None, 0.0, None
-
-
-def build_vocabulary(reference: DataFrame, key: str, name: str, aliases: str | None = None, code: str | None = None, most_rows: int = 200_000) -> Vocabulary:
-    """The reference list, collected; a list of more than ``most_rows`` entries is refused rather than broadcast."""
-    rows = reference.select(F.col(key).alias("k"), F.col(name).alias("n"), (F.col(aliases) if aliases else F.array().cast("array<string>")).alias("a"), (F.col(code) if code else F.lit(None).cast("string")).alias("c"))
-    got = rows.where("k is not null").orderBy("k").limit(most_rows + 1).collect()
-    if len(got) > most_rows:
-        raise ValueError(f"the reference list has more than {most_rows} entries")
-    return Vocabulary([r.k for r in got], [[r.n, *(r.a or [])] for r in got], [r.c for r in got])
+    """Terms of the list with their tokens and weights, and the list's codes, as tables."""
+
+    terms: DataFrame  # entry, place, term, tokens, weights, total
+    codes: DataFrame  # code, entry
+    least: float = 0.6
+
+
+def term_tokens(terms: DataFrame) -> DataFrame:
+    """Adds the tokens of each term: a beginning and an ending that five terms share, and the rest in twos, the last of which takes an odd character."""
+    end = lambda n: F.when(F.length("term") > n, F.substring("term", -n, n))
+    parts = terms.withColumns({"__e2": end(2), "__e1": end(1), "__s2": F.when(F.length("term") > 3, F.substring("term", 1, 2))})
+    for name in ("__e2", "__e1", "__s2"):
+        # Counted before it is joined: an ending of a third of all terms is one row.
+        often = parts.where(F.col(name).isNotNull()).groupBy(name).agg((F.count("*") >= 5).alias(f"{name}_often"))
+        parts = parts.join(often, name, "left")
+    head = F.when((F.length("term") > 5) & F.col("__s2_often"), F.col("__s2")).otherwise("")
+    parts = parts.withColumn("__head", head).withColumn("__rest", F.expr("substring(term, length(__head) + 1)"))
+    tail = F.when((F.length("__rest") > 3) & F.col("__e2_often"), F.col("__e2")).when((F.length("__rest") > 2) & F.col("__e1_often"), F.col("__e1")).otherwise("")
+    parts = parts.withColumn("__tail", tail).withColumn("__stem", F.expr("substring(__rest, 1, length(__rest) - length(__tail))"))
+    pairs = F.greatest(F.lit(1), F.floor(F.length("__stem") / 2).cast("int"))
+    cut = lambda i: F.substring("__stem", 2 * i + 1, F.when(i == pairs - 1, F.lit(LONGEST)).otherwise(2))
+    tokens = F.concat(F.array("__head"), F.transform(F.sequence(F.lit(0), pairs - 1), cut), F.array("__tail"))
+    return parts.withColumn("tokens", F.filter(tokens, lambda x: x != "")).select(*terms.columns, "tokens")
+
+
+def build_vocabulary(reference: DataFrame, key: str, name: str, aliases: str | None = None, code: str | None = None, least: float = 0.6) -> Vocabulary:
+    """The reference list's terms, cut and weighed; nothing of it is collected. Null keys and empty names are no terms.
+
+    least: share of an entry's weight that a value's tokens must have.
+    """
+    rows = reference.select(F.col(key).alias("entry"), F.col(name).alias("n"), (F.col(aliases) if aliases else F.array().cast("array<string>")).alias("a"), (F.col(code) if code else F.lit(None).cast("string")).alias("c")).where("entry is not null")
+    names = F.concat(F.array("n"), F.coalesce("a", F.array().cast("array<string>")))
+    terms = rows.select("entry", F.posexplode(names).alias("place", "w")).where("w <> ''").select("entry", "place", _normal("w").alias("term")).where("term <> ''")
+    terms = checkpointed(terms.groupBy("entry", "term").agg(F.min("place").alias("place")))
+    terms = term_tokens(terms)
+    one = terms.select("entry", "place", F.explode(F.array_distinct("tokens")).alias("token"))
+    number = terms.agg(F.count("*").alias("__all"))
+    idf = one.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(number)).select("token", F.log(1 + F.col("__all") / F.col("n")).alias("idf"))
+    placed = terms.select("entry", "place", "term", F.posexplode("tokens").alias("at", "token")).join(idf, "token")
+    weighed = placed.groupBy("entry", "place", "term").agg(F.array_sort(F.collect_list(F.struct("at", "token", "idf"))).alias("x"))
+    weighed = weighed.select("entry", "place", "term", F.col("x.token").alias("tokens"), F.col("x.idf").alias("weights"))
+    weighed = weighed.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
+    codes = rows.where("c <> ''").groupBy(F.col("c").alias("code")).agg(F.max("entry").alias("entry"))
+    return Vocabulary(checkpointed(weighed), codes, least)
+
+
+def _leading(least: float) -> Column:
+    """The heaviest tokens of a term, so many that without two characters in their places in one of them no value can have ``least`` of its weight: the others give half of theirs at most."""
+    order = F.array_sort(F.arrays_zip(F.transform("weights", lambda w: -w).alias("w"), F.col("tokens").alias("t")))
+    before = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.aggregate(F.slice(order, F.lit(1), i - 1), F.lit(0.0), lambda a, x: a - x["w"]))
+    needed = F.filter(F.arrays_zip(order.alias("x"), before.alias("b")), lambda p: p["b"] <= 2 * (1 - F.lit(least)) * F.col("total") + 1e-9)
+    return F.array_distinct(F.transform(needed, lambda p: p["x"]["t"]))
+
+
+def _likeness(token: Column, runs: Column) -> Column:
+    """1 for a token found as it is; for one an edit away, less by the edit's share of the longer side; else 0."""
+    n = F.length(token)
+    of = lambda k: F.coalesce(F.get(runs, k - 1), F.array().cast("array<string>"))
+    near = lambda k: F.exists(of(k), lambda g: F.levenshtein(g, token) == 1)
+    first = F.concat(F.substring(token, F.lit(2), F.lit(1)), F.substring(token, F.lit(1), F.lit(1)), F.substring(token, F.lit(3), n))
+    second = F.concat(F.substring(token, F.lit(1), F.lit(1)), F.substring(token, F.lit(3), F.lit(1)), F.substring(token, F.lit(2), F.lit(1)))
+    swapped = F.arrays_overlap(of(n), F.array(first, second))
+    return F.when(F.array_contains(of(n), token), 1.0).when(n < 2, 0.0).when(near(n + 1), 1 - 1 / (n + 1)).when(near(n) | swapped | near(n - 1), 1 - 1 / n).otherwise(0.0)
+
+
+def scored_terms(bares: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(bare, entry, place, term, likeness, edits, left) of the terms that a bare value may mean."""
+    terms = vocabulary.terms
+    runs = lambda c: F.array_distinct(F.concat(*(_runs(c, n) for n in range(1, LONGEST + 2))))
+    pieces = bares.select("bare", F.explode(runs(_characters(F.col("bare")))).alias("piece"))
+    keyed = pieces.select("piece").distinct().select("piece", F.explode(_neighbourhood(F.col("piece"), False)).alias("key"))
+    leading = terms.select("entry", "place", F.explode(_leading(vocabulary.least)).alias("token"))
+    tokens = leading.select("token").distinct().select("token", F.explode(_neighbourhood(F.col("token"), True)).alias("key"))
+    repaired = keyed.join(tokens, "key").select("piece", "token").distinct()
+    held = pieces.join(repaired, "piece").select("bare", "token").distinct()
+    found = held.join(leading, "token").select("bare", "entry", "place").distinct().join(terms, ["entry", "place"])
+    found = found.withColumn("__c", _characters(F.col("bare"))).withColumn("__runs", F.array(*(_runs(F.col("__c"), n) for n in range(1, LONGEST + 2))))
+    own = F.zip_with("tokens", "weights", lambda t, w: w * _likeness(t, F.col("__runs")))
+    found = found.withColumn("likeness", F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.col("total")).where(F.col("likeness") >= vocabulary.least - 1e-9)
+    found = found.select("bare", "entry", "place", "term", "likeness", _placed("term", "bare").alias("__d"))
+    found = found.select("bare", "entry", "place", "term", "likeness", F.col("__d")[0].alias("edits"), F.col("__d")[1].alias("left"))
+    return found.where(F.col("edits") <= F.greatest(F.lit(1), F.floor(F.length("term") / 3)))
 
 
 def map_values(df: DataFrame, keys: Sequence[str], value: str, vocabulary: Vocabulary) -> DataFrame:
@@ -158,22 +215,24 @@ def map_values(df: DataFrame, keys: Sequence[str], value: str, vocabulary: Vocab
 
     Returns the keys, ``value``, ``entry_id`` ('none' if no entry is meant), ``term``, ``likeness`` and
     ``edits``. Null and empty values give no row; repeated rows stay; ties go to the longer term, then
-    the first of the list; only the named columns are read. Map-only: nothing is shuffled, so a value
-    that fills a third of the rows costs no more than another; each worker matches a value once.
+    the entry of the least key; only the named columns are read, whole.
+
+    Values are made distinct before anything is looked at, by an aggregation that begins before its shuffle, so a
+    value that fills a third of the rows is repaired once; its rows meet the result in a join that adaptive
+    execution splits. An entry is weighed only for values that hold a repaired token of those that make up most of its weight,
+    which loses none that could reach ``least``.
     """
-    sent = df.sparkSession.sparkContext.broadcast(vocabulary)
-    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("value", T.StringType()), T.StructField("entry_id", T.StringType()), T.StructField("term", T.StringType()), T.StructField("likeness", T.DoubleType()), T.StructField("edits", T.IntegerType())])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = sent.value
-        for batch in batches:
-            found = [v.match(x) for x in batch["__value"]]
-            out = batch[list(keys)].copy()
-            out["value"] = batch["__value"]
-            for n, column in enumerate(("entry_id", "term", "likeness")):
-                out[column] = [f[n] for f in found]
-            out["edits"] = pd.array([f[3] for f in found], "Int32")
-            yield out
-
-    rows = df.select(*(df[k] for k in keys), df[value].cast("string").alias("__value")).where("__value is not null and __value <> ''")
-    return rows.mapInPandas(search, schema)
+    rows = df.select(*(df[k] for k in keys), df[value].cast("string").alias("value")).where("value is not null and value <> ''")
+    seen = checkpointed(rows.select("value").distinct().select("value", _bare("value").alias("x")).select("value", "x.bare", "x.codes"))
+    scored = checkpointed(scored_terms(seen.select("bare").where("bare <> ''").distinct(), vocabulary))
+    named = seen.select("value", F.explode("codes").alias("code")).join(vocabulary.codes, "code").groupBy("value").agg(F.collect_set("entry").alias("__named"))
+    seen = seen.join(named, "value", "left")
+    hit = F.coalesce(F.array_contains("__named", F.col("entry")), F.lit(False)).cast("int")
+    # A long text that merely holds a short term isn't that entry.
+    score = F.col("likeness") - 0.15 * F.col("edits") / F.length("term") - 0.05 * F.col("left") / F.greatest(F.lit(1), F.length("bare")) + 0.2 * hit
+    ranked = seen.join(scored, "bare").select("value", F.struct(F.col("entry").alias("entry_id"), "term", "likeness", "edits").alias("__best"), F.struct(-score, -F.length("term"), "entry", "place").alias("__rank"))
+    best = ranked.groupBy("value").agg(F.min_by("__best", "__rank").alias("__best"))
+    by_code = F.when((F.col("bare") == "") & (F.size("__named") == 1), F.struct(F.get("__named", F.lit(0)).alias("entry_id"), F.lit(None).cast("string").alias("term"), F.lit(1.0).alias("likeness"), F.lit(0).alias("edits")))
+    none = F.struct(F.lit(NONE).alias("entry_id"), F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("likeness"), F.lit(None).cast("int").alias("edits"))
+    meant = seen.join(best, "value", "left").select("value", F.coalesce("__best", by_code, none).alias("__best"))
+    return rows.join(meant, "value").select(*keys, "value", "__best.entry_id", "__best.term", "__best.likeness", "__best.edits")
