@@ -63,6 +63,26 @@ def date_in(c: Column) -> Column:
     return F.when(valid, F.concat_ws("-", year, month, day))
 
 
+# Chinese digits from zero, and the signs of ten, a hundred and a thousand.
+DIGITS = ["零", "一", "二", "三", "四", "五", "六", "七", "八", "九"]
+UNITS = ["十", "百", "千"]
+
+
+def chinese_number(c: Column) -> Column:
+    """The number below ten thousand that a Chinese numeral names, null for anything else; 两 counts as 二, 〇 as 零."""
+    text = F.translate(c, "两〇", "二零")
+    one = f"[{''.join(DIGITS[1:])}]"
+    whole = text.rlike(f"^(?:{one}千零?)?(?:{one}百零?)?(?:{one}?十)?{one}?$") & (F.length(text) > 0)
+
+    def value(pattern: str, unit: int, bare: int) -> Column:
+        """The digit in front of a unit's sign; a sign without a digit counts ``bare``."""
+        digit = F.instr(F.lit("".join(DIGITS)), F.regexp_extract(text, pattern, 1)) - 1
+        return F.when(text.rlike(pattern), F.when(F.regexp_extract(text, pattern, 1) == "", bare).otherwise(digit) * unit).otherwise(0)
+
+    tens = [value(f"({one}){UNITS[2]}", 1000, 0), value(f"({one}){UNITS[1]}", 100, 0), value(f"({one}?){UNITS[0]}", 10, 1), value(f"({one})$", 1, 0)]
+    return F.when(text == DIGITS[0], 0).when(whole, sum(tens[1:], tens[0]))
+
+
 def display(c: Column, missing: str = "unknown", shown: str = "未列出") -> Column:
     return F.when(F.coalesce(F.trim(c), F.lit("")).isin("", missing), F.lit(shown)).otherwise(c)
 

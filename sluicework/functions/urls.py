@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Suffixes of documents, labels of links to a following page, and page numbers that count as such.
+DOCUMENTS = ["pdf", "xlsx", "xls", "xlsm", "doc", "docx"]
+NEXT_LABELS = ["下一页", "下页", "后一页", "next", "nextpage", ">", ">>"]
+PAGE_LABELS = ["1", "2", "3", "4", "5", "下一页"]
+
+
 def host(c: Column) -> Column:
     return F.lower(F.try_parse_url(c, F.lit("HOST")))
 
@@ -35,7 +41,7 @@ def file_extension_in(url: Column) -> Column:
     """Whether a URL names a document, in its path or in its query."""
     low = F.element_at(F.split(F.lower(url), "#", 2), 1)
     path = F.element_at(F.split(low, "\\?", 2), 1)
-    return path.rlike("\\.(pdf|xlsx|xls|xlsm|doc|docx)$") | (low.contains("?") & low.rlike("\\.(pdf|xlsx|xlsm|xls|doc|docx)(?=&|$)"))
+    return path.rlike(f"\\.({'|'.join(DOCUMENTS)})$") | (low.contains("?") & low.rlike(f"\\.({'|'.join(DOCUMENTS)})(?=&|$)"))
 
 
 def is_page_below(url: Column, suffix: str) -> Column:
@@ -47,7 +53,7 @@ def is_page_below(url: Column, suffix: str) -> Column:
 
 def is_next_page(title: Column, url: Column) -> Column:
     label = F.lower(F.regexp_replace(title, "(?U)\\s+", ""))
-    return label.isin("下一页", "下页", "后一页", "next", "nextpage", ">", ">>") | (F.lower(url).contains("page=") & label.isin("1", "2", "3", "4", "5", "下一页"))
+    return label.isin(NEXT_LABELS) | (F.lower(url).contains("page=") & label.isin(PAGE_LABELS))
 
 
 @F.pandas_udf(T.StringType())

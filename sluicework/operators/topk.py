@@ -24,28 +24,28 @@ def top_k_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int)
 def diverse_top_k(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
     """First the best of each different group in order, then the rest in order, k in all; a blank group is its own.
 
-    A row that is k-th or later in its group can't be among the first k, so each group is cut to k before
-    anything is brought together.
+    A row that is k-th or later in its group can't be among the first k, so each group is cut to k by a window group
+    limit, ahead of the shuffle; rows without a group are cut to the k first of all of them. Then they are brought together.
     """
     blank = F.coalesce(F.trim(group), F.lit("")) == ""
-    w = Window.partitionBy(group).orderBy(*order)
-    ranked = df.withColumn("__n", F.when(blank, F.lit(1)).otherwise(F.row_number().over(w))).where(F.col("__n") <= k)
-    return ranked.orderBy((F.col("__n") > 1).cast("int"), *order).limit(k).drop("__n")
+    grouped = top_k_per_group(df.where(~blank), group, order, k).withColumnRenamed("rank", "__n")
+    single = top_k(df.where(blank), order, k).withColumn("__n", F.lit(1))
+    return grouped.unionByName(single).orderBy((F.col("__n") > 1).cast("int"), *order).limit(k).drop("__n")
+
 
+def selection_violations(selected: DataFrame, pool: DataFrame, key: str, group: str, order: str, by: str, most: int = 3) -> DataFrame:
+    """Why each selected row is refused, null if it isn't: unknown, repeated, a second of its group, or beyond ``most``.
 
-def selection_violations(selected: DataFrame, pool: DataFrame, key: str, group: str, order: str, most: int = 3) -> DataFrame:
-    """Why each selected row is refused, null if it isn't: unknown, repeated, a second of its group, or beyond ``most``."""
+    ``by`` tells the selections apart; each is a handful of rows, checked on its own, so any number of them is checked at once.
+    """
     joined = selected.join(pool.select(key, F.col(group).alias("__group"), F.lit(True).alias("__known")), key, "left")
-    by_key = Window.partitionBy(key).orderBy(order)
-    by_group = Window.partitionBy("__group").orderBy(order)
-    first = joined.withColumn("__again", F.row_number().over(by_key) > 1)
+    again = F.row_number().over(Window.partitionBy(by, key).orderBy(order)) > 1
     reason = F.when(F.col("__known").isNull(), "unknown").when(F.col("__again"), "repeated")
-    first = first.withColumn("violation", reason)
+    first = joined.withColumn("__again", again).withColumn("violation", reason)
     sound = F.col("violation").isNull() & F.col("__group").isNotNull()
-    first = first.withColumn("__nth", F.sum(F.when(sound, 1).otherwise(0)).over(by_group))
+    first = first.withColumn("__nth", F.sum(F.when(sound, 1).otherwise(0)).over(Window.partitionBy(by, "__group").orderBy(order)))
     first = first.withColumn("violation", F.when(sound & (F.col("__nth") > 1), "same group").otherwise(F.col("violation")))
-    # A selection is a handful of rows, chosen by hand or by a model.
-    kept = F.sum(F.when(F.col("violation").isNull(), 1).otherwise(0)).over(Window.orderBy(order))
+    kept = F.sum(F.when(F.col("violation").isNull(), 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order))
     return first.withColumn("violation", F.when(F.col("violation").isNull() & (kept > most), "too many").otherwise(F.col("violation"))).drop("__group", "__known", "__again", "__nth")
 
 

@@ -13,7 +13,9 @@ def row_errors(df: DataFrame, checks: dict[str, Column], unique: Sequence[str] =
     """Adds ``errors``: names of the checks that fail, then ``repeated <column>`` for all but the first row of a value."""
     failed = [F.when(F.coalesce(ok, F.lit(False)), None).otherwise(F.lit(name)) for name, ok in checks.items()]
     for c in unique:
-        df = df.withColumn(f"__n_{c}", F.row_number().over(Window.partitionBy(c).orderBy(*(order or df.columns[:1]))))
+        # Nulls repeat nothing; a number of their own keeps them out of one another's window.
+        apart = F.when(F.col(c).isNull(), F.monotonically_increasing_id())
+        df = df.withColumn("__apart", apart).withColumn(f"__n_{c}", F.row_number().over(Window.partitionBy(c, "__apart").orderBy(*(order or df.columns[:1])))).drop("__apart")
         failed.append(F.when(F.col(c).isNotNull() & (F.col(f"__n_{c}") > 1), F.lit(f"repeated {c}")))
     errors = F.filter(F.array(*failed), lambda e: e.isNotNull()) if failed else F.array().cast("array<string>")
     return df.withColumn("errors", errors).drop(*(f"__n_{c}" for c in unique))

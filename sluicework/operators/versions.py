@@ -8,14 +8,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """The row with the greatest order values of each key, by map-side aggregation: no sort of a hot key's rows.
 
-    Ties beyond the order columns go to the greatest row. Columns keep their order.
+    ``columns``: what is kept beside the keys, by default all; nothing else is read or shuffled. Rows alike in the order columns
+    are told apart by a hash of what is kept.
     """
-    others = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*others), F.struct(*order, *(c for c in others if c not in order)))
-    return df.groupBy(*keys).agg(best.alias("__best")).select(*(c if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns))
+    kept = [c for c in (df.columns if columns is None else columns) if c not in keys]
+    unordered = [c for c in kept if c not in order]
+    rank = F.struct(*order, *([F.xxhash64(*unordered)] if unordered else []))
+    best = F.max_by(F.struct(*(kept or order)), rank)
+    out = [*keys, *kept] if columns is not None else df.columns
+    return df.groupBy(*keys).agg(best.alias("__best")).select(*(c if c in keys else F.col(f"__best.{c}").alias(c) for c in out))
 
 
 def with_latest(left: DataFrame, right: DataFrame, on: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -62,6 +66,24 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> Dat
     return new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
 
 
+def import_report(old: DataFrame, new: DataFrame, key: str, valid: Column, compared: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What an import does: the table after it, and one row of counts ``inserted``, ``updated``, ``unchanged`` and ``rejected``.
+
+    Rows that aren't valid, or whose key is null, are rejected and change nothing. A key repeated in the batch counts as one row, the one of the greatest hash.
+    ``compared``: the columns a difference in which is an update.
+    """
+    checked = new.withColumn("__valid", F.coalesce(valid, F.lit(False)) & F.col(key).isNotNull())
+    accepted = latest(checked.where("__valid").drop("__valid"), [key], [])
+    differs = F.lit(False)
+    for c in compared:
+        differs = differs | ~F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    both = accepted.alias("n").join(old.select(key, *compared).withColumn("__held", F.lit(True)).alias("o"), key, "left")
+    kind = F.when(F.col("__held").isNull(), "inserted").when(differs, "updated").otherwise("unchanged")
+    kinds = both.select(kind.alias("kind")).unionByName(checked.where(~F.col("__valid")).select(F.lit("rejected").alias("kind")))
+    counts = kinds.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("inserted", "updated", "unchanged", "rejected")))
+    return upsert(old, accepted, [key]), counts
+
+
 def composite_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("::", *(p.cast("string") for p in parts)), 256)
 

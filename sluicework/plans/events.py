@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluicework.functions import text as tx
 from sluicework.operators import health, topk, versions
 from sluicework.session import table
 from sluicework.streaming import incremental
@@ -54,7 +55,7 @@ def cycle_statistics(spark, sf):
 
 
 def orders_insert_or_ignore(spark, sf):
-    """Lines whose order isn't yet known, one for each order and line number."""
+    """Orders of lines that aren't yet known, one row each."""
     o, li = table(spark, sf, "orders"), table(spark, sf, "lineitem")
     old = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     return versions.insert_or_ignore(old, li.select("l_orderkey").distinct(), ["l_orderkey"]).select("l_orderkey")
@@ -77,20 +78,21 @@ def diverse_suppliers(spark, sf):
     return topk.diverse_top_k(s, "nation", [F.col("s_acctbal").desc(), F.col("s_suppkey")], 10).select("s_suppkey", "nation")
 
 
-def _stream(spark, sf, name):
-    """The table as a stream; the pattern matches it as a file and as a folder."""
-    return incremental.read_stream(spark, f"{sf}/{name[:-1]}[{name[-1]}].parquet", table(spark, sf, name).schema)
+def _stream(spark, sf, name, order):
+    """The table as a stream of several files, one for each micro-batch, in the order of their arrival."""
+    rows = table(spark, sf, name)
+    return incremental.read_stream(spark, incremental.arrivals(rows, order), rows.schema)
 
 
 def streamed_users(spark, sf):
-    """The first event type of each user, by stateful dedup: one row for each key, whichever comes first."""
-    out = incremental.run_to_end(incremental.novel(_stream(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+    """The event types of each user, by stateful dedup: one row for each key, whichever comes first."""
+    out = incremental.run_to_end(incremental.novel(_stream(spark, sf, "events", "ts").select("user_id", "event_type"), ["user_id", "event_type"]), "append")
     return out.select("user_id", "event_type")
 
 
 def streamed_health(spark, sf):
     """Each user's state after the last micro-batch: the same as user_health."""
-    rows = _stream(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
+    rows = _stream(spark, sf, "events", "ts").select("user_id", "ts", "event_id", (F.col("event_type") == "error").alias("failed"))
     out = incremental.run_to_end(incremental.source_health(rows, "user_id", "ts", "event_id", "failed"), "update")
     last = versions.latest(out, ["key"], ["batch"])
     return last.select(F.col("key").cast("bigint").alias("user_id"), "failures", "state")
@@ -98,16 +100,22 @@ def streamed_health(spark, sf):
 
 def streamed_versions(spark, sf):
     """Contents of each monitored record over all deliveries: one event each, whatever is delivered again."""
-    rows = _stream(spark, sf, "evidence_snapshot").select("id", "loaded_at", "content_sha256")
+    rows = _stream(spark, sf, "evidence_snapshot", "loaded_at").select("id", "loaded_at", "content_sha256")
     out = incremental.run_to_end(incremental.version_events(rows, "id", "loaded_at", "content_sha256"), "append")
     return out.groupBy(F.col("key").alias("id")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "new").alias("new"))
 
 
+def json_answers(spark, sf):
+    """Properties wrapped in talk and a code fence, as a model answers: the outermost object is found again."""
+    answer = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nAnything else?"))
+    return table(spark, sf, "events").groupBy(F.from_json(tx.json_inside(answer), "k bigint")["k"].alias("k")).agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         failure_streaks, user_health, change_points, latest_event, event_props, session_history, retryable, cycle_statistics, orders_insert_or_ignore, orders_upsert, supplier_top_per_nation, diverse_suppliers,
-        streamed_users, streamed_health, streamed_versions,
+        streamed_users, streamed_health, streamed_versions, json_answers,
     )
 }
 
@@ -131,3 +139,4 @@ ORACLES = {
     "streamed_versions": "SELECT id, count(DISTINCT content_sha256) AS events, 1::BIGINT AS new FROM evidence_snapshot WHERE content_sha256 IS NOT NULL GROUP BY 1",
 }
 ORACLES["streamed_health"] = ORACLES["user_health"]
+ORACLES["json_answers"] = ORACLES["event_props"]

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from sluicework.functions import text as tx
 from sluicework.functions import urls
-from sluicework.operators import catalog, health, match, sheets, topk, triage, validate, versions
+from sluicework.operators import catalog, health, match, outbox, sheets, topk, triage, validate, versions
 from sluicework.session import table
+from sluicework.sources import links, parsers
 
 POLICY = triage.Policy(include=("招聘", "招录", "选拔", "聘用"), exclude=("问答", "预告"), workflow=("公告", "简章", "通知"), process=("资格复审", "面试安排", "递补", "体检名单", "拟聘"))
 STRICT = triage.Policy(include=("公开招聘", "公开选拔"), exclude=("问答", "预告", "招募"), workflow=("公告", "简章"), process=("资格复审", "面试安排", "递补", "体检名单", "拟聘", "成绩"))
 
 
-def _notices(spark: SparkSession, sf: str) -> DataFrame:
-    """Repeated ids count once: the last seen."""
-    return versions.latest(table(spark, sf, "notice"), ["id"], ["last_seen_at"])
+def _notices(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Repeated ids count once: the last seen, with the columns asked for."""
+    return versions.latest(table(spark, sf, "notice"), ["id"], ["last_seen_at"], columns)
+
+
+def _positions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    return versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"], columns)
 
 
 def _list(terms) -> str:
@@ -37,17 +42,17 @@ def _triage_sql(p: triage.Policy, name: str, source: str = "n") -> str:
 
 
 def triage_decisions(spark, sf):
-    found = _notices(spark, sf).select("id", triage.triage(F.col("normalized_title"), POLICY).alias("t"))
+    found = _notices(spark, sf, "normalized_title").select("id", triage.triage(F.col("normalized_title"), POLICY).alias("t"))
     return found.select("id", "t.decision", F.array_join("t.matched_terms", ",").alias("matched_terms"))
 
 
 def decision_counts(spark, sf):
-    found = _notices(spark, sf).select("source_id", triage.triage(F.col("normalized_title"), POLICY)["decision"].alias("decision"))
+    found = _notices(spark, sf, "source_id", "normalized_title").select("source_id", triage.triage(F.col("normalized_title"), POLICY)["decision"].alias("decision"))
     return found.groupBy("source_id", "decision").agg(F.count("*").alias("n"))
 
 
 def reclassify_transitions(spark, sf):
-    n = _notices(spark, sf).select(triage.triage(F.col("normalized_title"), POLICY)["decision"].alias("a"), triage.triage(F.col("normalized_title"), STRICT)["decision"].alias("b"))
+    n = _notices(spark, sf, "normalized_title").select(triage.triage(F.col("normalized_title"), POLICY)["decision"].alias("a"), triage.triage(F.col("normalized_title"), STRICT)["decision"].alias("b"))
     return triage.transitions(F.col("a"), F.col("b"), n)
 
 
@@ -59,13 +64,13 @@ def policy_join(spark, sf):
     odd = F.pmod(F.col("keyword_policy_version"), F.lit(2)) == 1
     names = ("include_any", "exclude_any", "workflow_terms", "process_terms")
     policies = ids.select("*", *(F.when(odd, F.array(*map(F.lit, a))).otherwise(F.array(*map(F.lit, b))).alias(n) for n, a, b in zip(names, arrays(POLICY), arrays(STRICT))))
-    n = _notices(spark, sf).select("id", "source_id", "normalized_title").join(F.broadcast(sources), "source_id")  # the registry is a fixed list of 240 rows
+    n = _notices(spark, sf, "source_id", "normalized_title").join(F.broadcast(sources), "source_id")  # the registry is a fixed list of 240 rows
     return triage.triage_with_policies(n, policies, "normalized_title", ["keyword_policy_id", "keyword_policy_version"]).select("id", "new_decision")
 
 
 def latest_evidence(spark, sf):
     evidence = table(spark, sf, "evidence_version")
-    n = _notices(spark, sf).select(F.col("id").alias("notice_id"))
+    n = table(spark, sf, "notice").select(F.col("id").alias("notice_id")).distinct()
     return versions.with_latest(n, evidence, "notice_id", ["retrieved_at", "id"], ["id", "content_sha256"]).withColumnRenamed("id", "evidence_id")
 
 
@@ -113,24 +118,142 @@ def sources_allowed(spark, sf):
 def evidence_hosts(spark, sf):
     """Evidence of each host, and how much of it lies outside the domains of its source."""
     e = table(spark, sf, "evidence_version").select("id", "notice_id", "source_url").distinct()
-    n = _notices(spark, sf).select(F.col("id").alias("notice_id"), "source_id")
+    n = _notices(spark, sf, "source_id").withColumnRenamed("id", "notice_id")
     s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "allowed_domains")
     joined = e.join(n, "notice_id").join(F.broadcast(s), "source_id").select(urls.host(F.col("source_url")).alias("host"), "allowed_domains")
     return joined.groupBy("host").agg(F.count("*").alias("n"), F.sum((~urls.host_allowed(F.col("host"), F.col("allowed_domains"))).cast("int")).alias("outside"))
 
 
+def _profiles(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.latest(table(spark, sf, "user_profile"), ["id"], ["updated_at"], ["region_codes"]).withColumnRenamed("id", "profile_id")
+
+
+def _watched(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Notices with each profile that watches the region of their source."""
+    s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "region_code")
+    n = _notices(spark, sf, "source_id", *columns).join(F.broadcast(s), "source_id").withColumnRenamed("id", "notice_id")  # the registry is a fixed list
+    return match.region_fanout(n, "region_code", _profiles(spark, sf), "region_codes")
+
+
+def event_fanout(spark, sf):
+    """Every notice with every profile that watches the region of its source or one above it."""
+    return _watched(spark, sf).select("notice_id", "profile_id")
+
+
+def outbox_pending(spark, sf):
+    """Messages that each profile still has to get: an outbox of failed ones for the notices of 2025, to which all sightings are added."""
+    hits = _watched(spark, sf, "decision", "first_seen_at", "title").withColumnRenamed("decision", "event_type")
+    known = hits.where(F.year("first_seen_at") == 2025)
+    old = known.select("profile_id", "notice_id", "event_type", F.col("first_seen_at").alias("created_at"), F.lit("failed").alias("status"), (F.length("title") % 5).alias("attempts"))
+    fresh = outbox.enqueue(old, hits, "first_seen_at").drop("id")
+    waiting = outbox.retryable(old.unionByName(fresh), _profiles(spark, sf).select("profile_id"), _notices(spark, sf).withColumnRenamed("id", "notice_id"))
+    return waiting.groupBy("profile_id").agg(F.count("*").alias("messages"), F.count_if(F.col("status") == "failed").alias("failed"), F.min("created_at").alias("first_at"))
+
+
+def profile_notices(spark, sf):
+    """The three newest notices of each profile's outbox."""
+    hits = _watched(spark, sf, "first_seen_at").select("profile_id", "notice_id", "first_seen_at")
+    return topk.top_k_per_group(hits, "profile_id", [F.col("first_seen_at").desc(), F.col("notice_id")], 3).select("profile_id", "rank", "notice_id")
+
+
+def registry_import(spark, sf):
+    """Counts of an import into the registry: a quarter of the batch each changed, as it was, new, and without an address."""
+    old = table(spark, sf, "source_registry").select("id", "publisher", "entry_url")
+    kind = F.pmod(F.substring("id", -4, 4).cast("int"), F.lit(4))
+    new = old.select(F.when(kind == 2, F.concat(F.lit("new-"), "id")).otherwise(F.col("id")).alias("id"), F.when(kind == 0, F.concat("publisher", F.lit("*"))).otherwise(F.col("publisher")).alias("publisher"), F.when(kind != 3, F.col("entry_url")).alias("entry_url"))
+    after, counts = versions.import_report(old, new, "id", F.col("entry_url").rlike("^https?://"), ["publisher", "entry_url"])
+    return counts.crossJoin(after.agg(F.count("*").alias("rows_after"), F.count_if(F.col("publisher").endswith("*")).alias("changed_after")))  # one row each
+
+
+def repair_selection(spark, sf):
+    """Evidence to be parsed again."""
+    e = table(spark, sf, "evidence_version")
+    return e.where(parsers.needs_repair(F.col("parser_status"), F.col("extracted_text"))).select("id", "parser_status").distinct()
+
+
+def backfill_statistics(spark, sf):
+    """Stored evidence of known notices from which positions were taken, and the positions."""
+    e = table(spark, sf, "evidence_version").where(F.col("parser_status").isin(parsers.BACKFILLED_STATES)).select(F.col("id").alias("evidence_id"), "notice_id").distinct()
+    known = e.join(table(spark, sf, "notice").select(F.col("id").alias("notice_id")).distinct(), "notice_id", "left_semi")
+    p = table(spark, sf, "position_record").groupBy("evidence_id").agg(F.count_distinct("id").alias("n"))
+    both = known.select("evidence_id").distinct().join(p, "evidence_id")
+    return both.agg(F.count("*").alias("evidence_with_positions"), F.coalesce(F.sum("n"), F.lit(0)).alias("positions"))
+
+
+def normalized_titles(spark, sf):
+    """The normal form of titles, computed: NFKC, no byte order mark, no white space, lower case."""
+    n = table(spark, sf, "notice").select("id", "title").distinct()
+    return n.select("id", tx.normal_text(F.col("title")).alias("normalized_title")).distinct()
+
+
+def _escaped(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def link_extract(spark, sf):
+    """A listing page for each notice, written by us, and its links read from it: markup, entities and relative addresses."""
+    n = table(spark, sf, "notice").select("id", "url", "normalized_title").distinct()
+    page = F.concat(F.lit("<html><body><ul><li><a class='x' href='"), F.regexp_replace("url", "^https://[^/]+", ""), F.lit("'> "), _escaped(F.col("normalized_title")), F.lit("\n</a></li><li><a href='x'> </a></ul>"))
+    rows = n.select("id", F.lit("generic_html_v1").alias("adapter"), F.encode(page, "UTF-8").alias("body"), F.regexp_replace("url", "[^/]*$", "").alias("url"), F.lit("text/html").alias("content_type"), F.lit("utf-8").alias("charset"))
+    found = links.discover(rows, ["id"]).select("id", F.explode("links").alias("l"))
+    return found.select("id", "l.title", "l.url").distinct()
+
+
+def page_text(spark, sf):
+    """Each html evidence as a page of one paragraph a line, and its text read back by the parser."""
+    e = table(spark, sf, "evidence_version").where(F.lower("content_type").contains("html") & F.col("extracted_text").isNotNull()).select("id", "extracted_text").distinct()
+    page = F.concat(F.lit("<div><p>"), F.replace(_escaped(F.col("extracted_text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></div>"))
+    got = parsers.parse_documents(e.select("id", F.encode(page, "UTF-8").alias("content"), F.lit("text/html; charset=utf-8").alias("content_type"), F.lit("").alias("url")), ["id"])
+    return got.select("id", F.sha2("text", 256).alias("digest"))
+
+
+def reclassified(spark, sf):
+    """Notices whose decision another policy changes, with both."""
+    n = _notices(spark, sf, "normalized_title").select("id", triage.triage(F.col("normalized_title"), POLICY)["decision"].alias("old_decision"), triage.triage(F.col("normalized_title"), STRICT)["decision"].alias("new_decision"))
+    return n.where("old_decision <> new_decision")
+
+
+# What the groups of sources are about.
+SCOPES = {"province_gov": ["civil_service", "public_institution"], "hr_portal": ["public_institution"], "college": ["public_college"]}
+
+
+def source_scopes(spark, sf):
+    """Sources whose group's scopes meet the wanted ones."""
+    s = table(spark, sf, "source_registry")
+    return s.select("id", match.scopes_overlap(F.col("source_group"), SCOPES, F.array(F.lit("civil_service"), F.lit("public_college"))).alias("fits"))
+
+
+def batch_numbers(spark, sf):
+    """The number of the batch that a title names in Chinese numerals, 0 if none."""
+    n = table(spark, sf, "notice").select("id", "normalized_title").distinct()
+    number = tx.chinese_number(F.regexp_extract("normalized_title", "第([一二三四五六七八九十百]+)批", 1))
+    return n.select("id", F.coalesce(number, F.lit(0)).cast("bigint").alias("batch_no")).distinct()
+
+
+def shown_employers(spark, sf):
+    """Employers as they are shown: blank and unknown ones have a label, and hosts by their registrable domain."""
+    p = table(spark, sf, "position_record").select(tx.display(F.col("employer")).alias("employer"))
+    return p.groupBy("employer").agg(F.count("*").alias("n"))
+
+
+def evidence_domains(spark, sf):
+    """Pages, no index, below a suffix, by registrable domain."""
+    e = table(spark, sf, "evidence_version").select("id", "source_url").distinct()
+    return e.groupBy(urls.registrable(F.col("source_url")).alias("domain"), urls.is_page_below(F.col("source_url"), ".monitor.example").alias("page")).agg(F.count("*").alias("n"))
+
+
 def region_fanout(spark, sf):
     """Notices for each profile that watches the region of their source or one above; counted by region before they fan out."""
     s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "region_code")
-    n = _notices(spark, sf).select("id", "source_id").join(F.broadcast(s), "source_id").groupBy("region_code").agg(F.count("*").alias("n"))
-    p = versions.latest(table(spark, sf, "user_profile"), ["id"], ["updated_at"]).select(F.col("id").alias("profile_id"), "region_codes")
+    n = _notices(spark, sf, "source_id").join(F.broadcast(s), "source_id").groupBy("region_code").agg(F.count("*").alias("n"))
+    p = _profiles(spark, sf)
     out = match.region_fanout(n, "region_code", p, "region_codes")
     return out.groupBy("profile_id").agg(F.sum("n").alias("n"))
 
 
 def subscription_match(spark, sf):
     """Notices of wanted sources that fit the terms."""
-    n = _notices(spark, sf).join(F.broadcast(table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "source_group")), "source_id")
+    n = _notices(spark, sf, "source_id", "normalized_title").join(F.broadcast(table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "source_group")), "source_id")
     fit = match.terms_fit(F.col("normalized_title"), F.array(F.lit("公告"), F.lit("通知")), F.array(F.lit("面试")))
     return n.where(fit).groupBy("source_group").agg(F.count("*").alias("n"))
 
@@ -144,27 +267,28 @@ def due_sources(spark, sf):
 
 def limit_then_filter(spark, sf):
     """The newest 300 notices, and of those the candidates; a filter never moves below the limit."""
-    newest = topk.top_k(_notices(spark, sf), [F.coalesce(F.col("published_at").cast("timestamp_ntz"), F.col("first_seen_at")).desc(), F.col("id")], topk.clamp(300, 1000))
+    newest = topk.top_k(_notices(spark, sf, "published_at", "first_seen_at", "decision"), [F.coalesce(F.col("published_at").cast("timestamp_ntz"), F.col("first_seen_at")).desc(), F.col("id")], topk.clamp(300, 1000))
     return newest.where("decision = 'candidate'").select("id", "decision")
 
 
 def newest_per_source(spark, sf):
-    out = topk.top_k_per_group(_notices(spark, sf), "source_id", [F.col("first_seen_at").desc(), F.col("id")], 3)
+    out = topk.top_k_per_group(_notices(spark, sf, "source_id", "first_seen_at"), "source_id", [F.col("first_seen_at").desc(), F.col("id")], 3)
     return out.select("source_id", "rank", "id")
 
 
 def diverse_positions(spark, sf):
     """Thirty positions with most places, of different employers first."""
-    p = versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"]).withColumn("places", F.coalesce(F.expr("try_cast(headcount AS int)"), F.lit(0)))
+    p = _positions(spark, sf, "employer", "headcount").withColumn("places", F.coalesce(F.expr("try_cast(headcount AS int)"), F.lit(0)))
     return topk.diverse_top_k(p.select("id", "employer", "places"), "employer", [F.col("places").desc(), F.col("id")], 30)
 
 
 def selection_violations(spark, sf):
-    """A selection of ten positions in which one is unknown and one is repeated."""
-    p = versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"]).select("id", "employer")
-    chosen = topk.top_k(p, [F.col("id")], 8).select("id").union(topk.top_k(p, [F.col("id")], 1).select("id")).union(spark.createDataFrame([("missing",)], "id string"))
-    ordered = chosen.withColumn("no", F.row_number().over(Window.orderBy("id")))
-    return topk.selection_violations(ordered, p, "id", "employer", "no").select("id", "no", "violation")
+    """A selection for each sheet: its first five positions, the first of them again, and one that doesn't exist."""
+    p = _positions(spark, sf, "evidence_id", "employer")
+    first = topk.top_k_per_group(p, "evidence_id", [F.col("id")], 5).select("evidence_id", "id", F.col("rank").alias("no"))
+    again = first.where("no = 1")
+    chosen = first.unionByName(again.withColumn("no", F.lit(6))).unionByName(again.select("evidence_id", F.lit("missing").alias("id"), F.lit(7).alias("no")))
+    return topk.selection_violations(chosen, p.select("id", "employer"), "id", "employer", "no", "evidence_id").select("evidence_id", "id", "no", "violation")
 
 
 def texts_in_budget(spark, sf):
@@ -210,17 +334,11 @@ def sheet_positions(spark, sf):
 
 def employer_carry(spark, sf):
     """Unknown employers take the last one above them in their sheet."""
-    p = versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"]).withColumn("employer", F.expr("nullif(employer, 'unknown')"))
+    p = _positions(spark, sf, "evidence_id", "sheet_name", "row_index", "employer").withColumn("employer", F.expr("nullif(employer, 'unknown')"))
     out = sheets.carry_forward(p, ["evidence_id", "sheet_name"], ["row_index", "id"], ["employer"])
     return out.select("id", F.coalesce("employer", F.lit("unknown")).alias("employer"))
 
 
-def refined_positions(spark, sf):
-    """Unknown fields of positions, filled from their other requirements."""
-    p = versions.latest(table(spark, sf, "position_record"), ["id"], ["parsed_at"])
-    return sheets.refine(p).select("id", *sorted(sheets.SEGMENT_FORMS), "education")
-
-
 def region_closure(spark, sf):
     """Everything below everything, from the parent links of the region codes."""
     s = table(spark, sf, "source_registry").select(F.explode(match.region_ancestors(F.col("region_code"))).alias("code")).distinct()
@@ -254,7 +372,9 @@ QUERIES = {
     for f in (
         triage_decisions, decision_counts, reclassify_transitions, policy_join, latest_evidence, source_last_notice, evidence_copies, notice_upsert, evidence_novel, composite_ids, profile_versions,
         sources_allowed, evidence_hosts, region_fanout, subscription_match, due_sources, limit_then_filter, newest_per_source, diverse_positions, selection_violations, texts_in_budget, term_scores,
-        excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, refined_positions, region_closure, catalog_levels, validation_report, next_pages,
+        excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, region_closure, catalog_levels, validation_report, next_pages,
+        event_fanout, outbox_pending, profile_notices, registry_import, repair_selection, backfill_statistics, normalized_titles, link_extract, page_text, reclassified, source_scopes, batch_numbers, shown_employers,
+        evidence_domains,
     )
 }
 
@@ -265,7 +385,40 @@ _ALLOWED = "len(list_filter({1}, lambda d: CASE WHEN starts_with(lower(trim(d)),
 _FIRST_DATE = "(20[0-9]{2})[年/.-]([0-9]{1,2})[月/.-]([0-9]{1,2})"
 _SECOND_DATE = "(20[0-9]{2})([0-9]{2})([0-9]{2})"
 
+_PROFILE = "p AS (SELECT * FROM user_profile QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC) = 1)"
+_WATCHED = f"""WITH {_NOTICE}, {_PROFILE}, w AS (SELECT DISTINCT id AS profile_id, unnest(region_codes) AS r FROM p),
+        h AS (SELECT DISTINCT n.id AS notice_id, w.profile_id FROM n JOIN source_registry s ON s.id = n.source_id JOIN w ON s.region_code = w.r OR starts_with(s.region_code, w.r || '-'))"""
+_BLANK = "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\v\\f]"
+
 ORACLES = {
+    "event_fanout": f"{_WATCHED} SELECT notice_id, profile_id FROM h",
+    "outbox_pending": f"""{_WATCHED}, x AS (SELECT h.*, year(n.first_seen_at) = 2025 AS old, n.first_seen_at, length(n.title) % 5 AS attempts FROM h JOIN n ON n.id = h.notice_id)
+        SELECT profile_id, count(*) AS messages, count(*) FILTER (old) AS failed, min(first_seen_at) AS first_at FROM x WHERE NOT old OR attempts < 3 GROUP BY 1""",
+    "profile_notices": f"{_WATCHED} SELECT h.profile_id, row_number() OVER (PARTITION BY h.profile_id ORDER BY n.first_seen_at DESC, n.id) AS rank, n.id AS notice_id FROM h JOIN n ON n.id = h.notice_id QUALIFY rank <= 3",
+    "registry_import": """SELECT count(*) FILTER (k = 2) AS inserted, count(*) FILTER (k = 0) AS updated, count(*) FILTER (k = 1) AS unchanged, count(*) FILTER (k = 3) AS rejected,
+        count(*) + count(*) FILTER (k = 2) AS rows_after, count(*) FILTER (k = 0) AS changed_after FROM (SELECT right(id, 4)::INT % 4 AS k FROM source_registry)""",
+    "repair_selection": "SELECT DISTINCT id, parser_status FROM evidence_version WHERE parser_status IN ('unknown_type', 'error', 'unsupported_format', 'needs_dependency', 'binary_skipped') OR extracted_text LIKE 'PK%'",
+    "backfill_statistics": """WITH e AS (SELECT DISTINCT e.id FROM evidence_version e WHERE e.parser_status IN ('parsed', 'needs_dependency', 'unknown_type', 'error') AND EXISTS (SELECT 1 FROM notice n WHERE n.id = e.notice_id))
+        SELECT count(DISTINCT p.evidence_id) AS evidence_with_positions, count(DISTINCT p.id || '|' || p.evidence_id) AS positions FROM position_record p JOIN e ON e.id = p.evidence_id""",
+    "normalized_titles": "SELECT DISTINCT id, normalized_title FROM notice",
+    "link_extract": "SELECT DISTINCT id, normalized_title AS title, url FROM notice WHERE normalized_title <> ''",
+    "page_text": f"""SELECT id, sha256(array_to_string(list_filter(list_transform(string_split(extracted_text, chr(10)), lambda l: regexp_replace(regexp_replace(l, '^{_BLANK}+', ''), '{_BLANK}+$', '')), lambda l: l <> ''), chr(10))) AS digest
+        FROM (SELECT DISTINCT id, extracted_text FROM evidence_version WHERE contains(lower(content_type), 'html') AND extracted_text IS NOT NULL)""",
+    "reclassified": f"WITH {_NOTICE}, {_triage_sql(POLICY, 'a')}, {_triage_sql(STRICT, 'b')} SELECT id, a.decision AS old_decision, b.decision AS new_decision FROM a JOIN b USING (id) WHERE a.decision <> b.decision",
+    "source_scopes": "SELECT id, source_group IN ('province_gov', 'college') AS fits FROM source_registry",
+    "batch_numbers": """SELECT DISTINCT id, CASE WHEN b = '' THEN 0 WHEN b = '十' THEN 10 WHEN starts_with(b, '十') THEN 10 + instr('一二三四五六七八九', right(b, 1)) WHEN ends_with(b, '十') THEN 10 * instr('一二三四五六七八九', left(b, 1))
+        WHEN length(b) = 3 THEN 10 * instr('一二三四五六七八九', left(b, 1)) + instr('一二三四五六七八九', right(b, 1)) ELSE instr('一二三四五六七八九', b) END::BIGINT AS batch_no
+        FROM (SELECT id, regexp_extract(normalized_title, '第([一二三四五六七八九十百]+)批', 1) AS b FROM notice)""",
+    "shown_employers": "SELECT CASE WHEN coalesce(trim(employer), '') IN ('', 'unknown') THEN '未列出' ELSE employer END AS employer, count(*) AS n FROM position_record GROUP BY 1",
+    "evidence_domains": f"""SELECT regexp_extract({_HOST.format('source_url')}, '([^.]+[.][^.]+)$', 1) AS domain, ends_with({_HOST.format('source_url')}, '.monitor.example') AND regexp_matches(lower(source_url), '[.]s?html?$') AND NOT regexp_matches(lower(source_url), '/(index|default)[^/]*$') AS page, count(*) AS n
+        FROM (SELECT DISTINCT id, source_url FROM evidence_version) GROUP BY ALL""",
+    "selection_violations": f"""WITH {_POSITION}, c AS (SELECT evidence_id, id, row_number() OVER (PARTITION BY evidence_id ORDER BY id) AS no FROM p QUALIFY no <= 5),
+        s AS (SELECT * FROM c UNION ALL SELECT evidence_id, id, 6 FROM c WHERE no = 1 UNION ALL SELECT evidence_id, 'missing', 7 FROM c WHERE no = 1),
+        j AS (SELECT s.*, p.employer AS g, p.id IS NOT NULL AS known, row_number() OVER (PARTITION BY s.evidence_id, s.id ORDER BY no) > 1 AS again FROM s LEFT JOIN p ON p.id = s.id),
+        v AS (SELECT *, CASE WHEN NOT known THEN 'unknown' WHEN again THEN 'repeated' END AS x FROM j),
+        m AS (SELECT *, sum(CASE WHEN x IS NULL AND g IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY evidence_id, g ORDER BY no) AS nth FROM v),
+        w AS (SELECT *, CASE WHEN x IS NULL AND g IS NOT NULL AND nth > 1 THEN 'same group' ELSE x END AS y FROM m)
+        SELECT evidence_id, id, no, CASE WHEN y IS NULL AND sum(CASE WHEN y IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY evidence_id ORDER BY no) > 3 THEN 'too many' ELSE y END AS violation FROM w""",
     "triage_decisions": f"WITH {_NOTICE}, {_triage_sql(POLICY, 't')} SELECT id, decision, matched_terms FROM t",
     "decision_counts": f"WITH {_NOTICE}, {_triage_sql(POLICY, 't')} SELECT source_id, decision, count(*) AS n FROM t GROUP BY ALL",
     "reclassify_transitions": f"WITH {_NOTICE}, {_triage_sql(POLICY, 'a')}, {_triage_sql(STRICT, 'b')} SELECT a.decision AS old_decision, b.decision AS new_decision, count(*) AS n FROM a JOIN b USING (id) GROUP BY ALL",

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.functions.urls import host, host_allowed
+
+REFUSED = "address not allowed"
+
 FETCHED = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("url", T.StringType()), T.StructField("status", T.IntegerType()), T.StructField("content_type", T.StringType()), T.StructField("body", T.BinaryType()),
     T.StructField("elapsed_ms", T.IntegerType()), T.StructField("charset", T.StringType()), T.StructField("etag", T.StringType()), T.StructField("last_modified", T.StringType()),
@@ -17,13 +21,6 @@ FETCHED = T.StructType([
 ])
 
 
-def allowed(host: str, domains: list[str]) -> bool:
-    """Exact, below a domain, or below the suffix of a ``*.`` entry."""
-    host = host.lower()
-    entries = [d.strip().lower() for d in domains]
-    return any(host.endswith(e[1:]) if e.startswith("*.") else host == e.lstrip(".") or host.endswith("." + e.lstrip(".")) for e in entries)
-
-
 def headers(etag: str | None = None, last_modified: str | None = None, referer: str | None = None, agent: str = "sluicework/1.0") -> dict[str, str]:
     pairs = {"User-Agent": agent, "If-None-Match": etag, "If-Modified-Since": last_modified, "Referer": referer}
     return {k: v for k, v in pairs.items() if v}
@@ -35,39 +32,52 @@ def retry_legacy_tls(error: BaseException) -> bool:
     return "certificate" not in text and any(k in text for k in ("handshake", "unsafe_legacy", "dh_key_too_small", "unsupported protocol", "sslv3_alert"))
 
 
-def fetch_all(sources: DataFrame, transport: Callable[[str, dict], dict], most_bytes: int = 20 * 2**20, partitions: int | None = None) -> DataFrame:
+def fetch_all(sources: DataFrame, transport: Callable[[str, dict], dict], most_bytes: int = 20 * 2**20, partitions: int | None = None, legacy: Callable[[str, dict], dict] | None = None) -> DataFrame:
     """Fetches id, url, allowed_domains, etag, last_modified rows, one failure never touching another.
 
     transport(url, headers) gives status, url (after redirects), body, content_type, charset, etag,
     last_modified. The host must be allowed before and after redirects; 304 is ``not_modified``; a larger body
-    than allowed, or any exception, is an ``error``.
+    than allowed, or any exception, is an ``error``. ``legacy``, a transport with old settings, is tried once when a handshake
+    fails, never for a certificate.
     """
 
     def one(row) -> dict:
         out = dict.fromkeys(FETCHED.names) | {"id": row.id, "url": row.url, "not_modified": False}
-        domains = list(row.allowed_domains if row.allowed_domains is not None else [])
         began = time.monotonic()
         try:
-            if urlsplit(row.url).scheme not in ("http", "https") or not allowed(urlsplit(row.url).hostname or "", domains):
-                raise ValueError("address not allowed")
-            got = transport(row.url, headers(row.etag, row.last_modified))
-            if not allowed(urlsplit(got.get("url") or row.url).hostname or "", domains):
-                raise ValueError("redirected to an address not allowed")
+            if not row.may:
+                raise ValueError(REFUSED)
+            sent = headers(row.etag, row.last_modified)
+            try:
+                got = transport(row.url, sent)
+            except Exception as e:
+                if legacy is None or not retry_legacy_tls(e):
+                    raise
+                got = legacy(row.url, sent)
             if got.get("status") == 304:
-                return out | {"status": 304, "not_modified": True}
-            if len(got.get("body") or b"") > most_bytes:
+                out |= {"status": 304, "not_modified": True, "url": got.get("url") or row.url}
+            elif len(got.get("body") or b"") > most_bytes:
                 raise ValueError("body too large")
-            out |= {k: got.get(k) for k in ("status", "content_type", "body", "charset", "etag", "last_modified")} | {"url": got.get("url") or row.url}
+            else:
+                out |= {k: got.get(k) for k in ("status", "content_type", "body", "charset", "etag", "last_modified")} | {"url": got.get("url") or row.url}
         except Exception as e:  # the row says what failed
             out["error"] = str(e)
-        return out | {"elapsed_ms": int((time.monotonic() - began) * 1000)}
+        return out | {"elapsed_ms": int((time.monotonic() - began) * 1000), "allowed_domains": row.allowed_domains}
+
+    schema = T.StructType([*FETCHED.fields, T.StructField("allowed_domains", T.ArrayType(T.StringType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = pd.DataFrame([one(r) for r in batch.itertuples()], columns=FETCHED.names)
+            out = pd.DataFrame([one(r) for r in batch.itertuples()], columns=schema.names)
             for c in ("status", "elapsed_ms"):
                 out[c] = out[c].astype("Int32")
             yield out
 
-    rows = sources.select("id", "url", "allowed_domains", "etag", "last_modified")
-    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, FETCHED)
+    fits = host_allowed(host(F.col("url")), F.col("allowed_domains"))
+    rows = sources.select("id", "url", "allowed_domains", "etag", "last_modified", (fits & F.lower("url").rlike("^https?://")).alias("may"))
+    got = (rows.repartition(partitions) if partitions else rows).mapInPandas(run, schema)
+    # A redirect may lead anywhere: what came from an address that isn't allowed is dropped, and the row says so.
+    strayed = F.col("error").isNull() & ~fits
+    kept = {n: F.when(~strayed, F.col(n)) for n in ("status", "content_type", "body", "charset", "etag", "last_modified")}
+    refused = {"not_modified": F.col("not_modified") & ~strayed, "error": F.when(strayed, "redirected to an address not allowed").otherwise(F.col("error"))}
+    return got.withColumns(kept | refused).select(*FETCHED.names)

@@ -102,3 +102,17 @@ def poll(cycle: Callable[[], dict], seconds: float, cycles: int | None = None, s
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def arrivals(df: DataFrame, order: str, parts: int = 4) -> str:
+    """The table in the shared folder as files that arrive one after another, by equal ranges of a column; returns the folder.
+
+    For replaying a stored table as a stream of several micro-batches. Nulls arrive first.
+    """
+    folder = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"arrivals-{uuid.uuid4()}")
+    low, high = df.agg(F.min(F.col(order).cast("timestamp").cast("double")), F.max(F.col(order).cast("timestamp").cast("double"))).first()
+    width = ((high or 0.0) - (low or 0.0)) / parts or 1.0
+    part = F.least(F.lit(parts - 1), F.floor((F.coalesce(F.col(order).cast("timestamp").cast("double"), F.lit(low or 0.0)) - (low or 0.0)) / width))
+    for n in range(parts):
+        df.where(part == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder

@@ -60,16 +60,6 @@ def test_sheet_positions_against_a_loop(spark):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
-def test_refined_positions_keep_what_is_known(spark):
-    before = {r.id: r for r in spark.read.parquet(f"{SF}/position_record.parquet").orderBy("parsed_at").collect()}
-    got = registry.queries()["refined_positions"](spark, SF).collect()
-    assert len(got) == len(before)
-    for r in got:
-        for c in set(r.asDict()) - {"id"}:
-            old = before[r.id][c]
-            assert r[c] == old or (old in (None, "unknown") and r[c] in "".join((before[r.id].other_requirements or "").split()))
-
-
 def test_entry(spark):
     got = entry.entry(spark)
     assert got.count() > 0 and got.columns[0] == "id"

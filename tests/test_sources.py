@@ -2,11 +2,12 @@
 
 import io
 import json
+import struct
 import zipfile
 
 import pytest
 
-from sluicework.operators.sheets import refine, sheet_records
+from sluicework.operators.sheets import sheet_records
 from sluicework.sources import fetch, imports, links, objects, parsers
 from sluicework.streaming import incremental
 
@@ -39,14 +40,30 @@ def test_parse_by_type_suffix_and_magic():
     assert [status(b"%PDF-1", ""), status(b"Rar!\x1a\x07", ""), status(b"a\0b", "x/y"), status(b"plain", "x/y"), status(b"PK\x03\x04 broken", ""), status(None, "text/html"), status(parsers.OLE2, "application/msword")] == ["needs_dependency", "unsupported_format", "binary_skipped", "unknown_type", "error", "parsed", "needs_dependency"]
 
 
-def test_piece_table():
-    stream = "ab".encode("cp1252") + "甲乙".encode("utf-16-le")
-    piece = lambda fc: b"\0\0" + fc.to_bytes(4, "little") + b"\0\0"
-    table = b"".join(n.to_bytes(4, "little") for n in (0, 2, 4)) + piece(0 | 1 << 30) + piece(2)
-    clx = b"\x01\x02\x00zz\x02" + len(table).to_bytes(4, "little") + table
-    assert parsers.piece_text(stream, clx) == "ab甲乙"
-    with pytest.raises(ValueError):
-        parsers.piece_text(stream, b"\x07")
+def word_head(pieces):
+    """A head of one formatting block and the piece table of (characters, where, narrow) pieces."""
+    positions, at = [0], 0
+    for n, _, _ in pieces:
+        positions.append(at := at + n)
+    table = struct.pack(f"<{len(positions)}I", *positions) + b"".join(struct.pack("<HIH", 0, 2 * where | 1 << 30 if narrow else where, 0) for _, where, narrow in pieces)
+    return b"\x01\x02\x00zz" + b"\x02" + struct.pack("<I", len(table)) + table
+
+
+def test_word_pieces():
+    """Pieces of either width, in any order in the stream."""
+    stream = "甲乙".encode("utf-16-le") + b"ab\x80"
+    assert parsers.word_characters(stream, word_head([(3, 4, True), (2, 0, False), (0, 0, True)])) == "ab€甲乙"
+    for head in (b"\x07", b"", b"\x02\x04\0\0\0\0\0\0\0"):
+        with pytest.raises(ValueError):
+            parsers.word_characters(stream, head)
+
+
+def test_archives_of_any_depth():
+    inner = zipped({"a.docx": DOCX})
+    for n in range(5):
+        inner = zipped({f"{n}.zip": inner, "note.bin": "x"})
+    assert parsers.parse(inner, "application/zip")["text"] == "甲&乙\t丙\n丁"
+    assert parsers.zip_members(inner, most_bytes=100)["parser_status"] == "error"
 
 
 def test_documents_frame(spark):
@@ -67,13 +84,6 @@ def test_sheets(spark):
     ]
 
 
-def test_refine(spark):
-    rows = [(1, "1.35周岁以下；2.中共党员，3、本科 及以上学历。取得相应学位;法学相关专业", "unknown", "unknown", "unknown", "unknown", "博士"), (2, "往届生可报，应届毕业生；专业沟通能力", "unknown", None, "unknown", "无", "unknown"), (3, "unknown", "unknown", "unknown", "unknown", "unknown", "unknown"), (4, None, "unknown", "unknown", "x", "unknown", "unknown")]
-    df = spark.createDataFrame(rows, "id int, other_requirements string, age_requirement string, major_requirement string, fresh_graduate_requirement string, degree string, education string")
-    got = {r.id: tuple(r)[2:] for r in refine(df).collect()}
-    assert got == {1: ("35周岁以下", "法学相关专业", "unknown", "取得相应学位", "博士"), 2: ("unknown", None, "应届毕业生", "无", "unknown"), 3: ("unknown",) * 5, 4: ("unknown", "unknown", "x", "unknown", "unknown")}
-
-
 def test_links(spark):
     rows = [
         (1, "generic_html_v1", "<a href='b.html'> 甲\n 乙 </a><a href='x'> </a><a>n</a>", "https://h/a/", "text/html"), (2, "json_links_v1", json.dumps({"data": {"list": [{"name": "t", "link": "/u"}, {"title": "n"}, 3]}}), "https://h/", "application/json"),
