@@ -110,9 +110,9 @@ def _neighbourhood(c: Column, is_token: bool) -> Column:
     """
     tagged = lambda tag, x: F.transform(x, lambda v: F.concat(F.lit(tag), v))
     none, own, n = F.array().cast("array<string>"), F.array(c), F.length(c)
-    shorter = _each(c, lambda a, x, b: F.concat(a, b))
+    shorter = _shorter(c)
     masked = _each(c, lambda a, x, b: F.concat(a, F.lit("\0"), b))
-    swapped = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, n)))
+    swapped = _swapped(c)
     two = lambda tag, x: F.when(n >= 2, tagged(tag, x)).otherwise(none)
     three = lambda tag, x: F.when(n >= 3, tagged(tag, x)).otherwise(none)
     if is_token:
@@ -128,7 +128,7 @@ LONGEST = 3
 class Vocabulary:
     """Terms of the list with their tokens and weights, and the list's codes, as tables."""
 
-    terms: DataFrame  # entry, place, term, tokens, weights, total
+    terms: DataFrame  # entry, place, term, tokens (with their texts without one character, and with two swapped), weights, total
     codes: DataFrame  # code, entry
     least: float = 0.6
 
@@ -166,7 +166,7 @@ def build_vocabulary(reference: DataFrame, key: str, name: str, aliases: str | N
     idf = one.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(number)).select("token", F.log(1 + F.col("__all") / F.col("n")).alias("idf"))
     placed = terms.select("entry", "place", "term", F.posexplode("tokens").alias("at", "token")).join(idf, "token")
     weighed = placed.groupBy("entry", "place", "term").agg(F.array_sort(F.collect_list(F.struct("at", "token", "idf"))).alias("x"))
-    weighed = weighed.select("entry", "place", "term", F.col("x.token").alias("tokens"), F.col("x.idf").alias("weights"))
+    weighed = weighed.select("entry", "place", "term", F.transform("x", lambda x: F.struct(x["token"].alias("token"), _shorter(x["token"]).alias("shorter"), _swapped(x["token"]).alias("swapped"))).alias("tokens"), F.col("x.idf").alias("weights"))
     weighed = weighed.withColumn("total", F.aggregate("weights", F.lit(0.0), lambda a, x: a + x))
     codes = rows.where("c <> ''").groupBy(F.col("c").alias("code")).agg(F.max("entry").alias("entry"))
     return Vocabulary(checkpointed(weighed), codes, least)
@@ -174,36 +174,58 @@ def build_vocabulary(reference: DataFrame, key: str, name: str, aliases: str | N
 
 def _leading(least: float) -> Column:
     """The heaviest tokens of a term, so many that without two characters in their places in one of them no value can have ``least`` of its weight: the others give half of theirs at most."""
-    order = F.array_sort(F.arrays_zip(F.transform("weights", lambda w: -w).alias("w"), F.col("tokens").alias("t")))
+    order = F.array_sort(F.arrays_zip(F.transform("weights", lambda w: -w).alias("w"), F.col("tokens.token").alias("t")))
     before = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.aggregate(F.slice(order, F.lit(1), i - 1), F.lit(0.0), lambda a, x: a - x["w"]))
     needed = F.filter(F.arrays_zip(order.alias("x"), before.alias("b")), lambda p: p["b"] <= 2 * (1 - F.lit(least)) * F.col("total") + 1e-9)
     return F.array_distinct(F.transform(needed, lambda p: p["x"]["t"]))
 
 
-def _likeness(token: Column, runs: Column) -> Column:
-    """1 for a token found as it is; for one an edit away, less by the edit's share of the longer side; else 0."""
+def _without_inner(chars: Column, n: int) -> Column:
+    """The runs of n + 1 characters, without each of their inner ones."""
+    drop = lambda i: F.array(*(F.concat(*(F.get(chars, i + k) for k in range(n + 1) if k != j)) for j in range(1, n)))
+    return F.when(F.size(chars) > n, F.flatten(F.transform(F.sequence(F.lit(0), F.size(chars) - n - 1), drop))).otherwise(F.array().cast("array<string>"))
+
+
+def _likeness(t: Column) -> Column:
+    """1 for a token found as it is; for one an edit away, less by the edit's share of the longer side; else 0.
+
+    t: the token with its texts without one character, and with two swapped. A differing character in the middle of three leaves
+    the outer two, with something between them.
+    """
+    token, shorter, swapped = t["token"], t["shorter"], t["swapped"]
     n = F.length(token)
-    of = lambda k: F.coalesce(F.get(runs, k - 1), F.array().cast("array<string>"))
-    near = lambda k: F.exists(of(k), lambda g: F.levenshtein(g, token) == 1)
-    first = F.concat(F.substring(token, F.lit(2), F.lit(1)), F.substring(token, F.lit(1), F.lit(1)), F.substring(token, F.lit(3), n))
-    second = F.concat(F.substring(token, F.lit(1), F.lit(1)), F.substring(token, F.lit(3), F.lit(1)), F.substring(token, F.lit(2), F.lit(1)))
-    swapped = F.arrays_overlap(of(n), F.array(first, second))
-    return F.when(F.array_contains(of(n), token), 1.0).when(n < 2, 0.0).when(near(n + 1), 1 - 1 / (n + 1)).when(near(n) | swapped | near(n - 1), 1 - 1 / n).otherwise(0.0)
+    runs = lambda k: F.when(k == 1, F.col("__1")).when(k == 2, F.col("__2")).otherwise(F.col("__3"))
+    parted = F.when(n == 2, F.array_contains("__2i", token)).otherwise(F.array_contains("__3i", token))
+    less = F.arrays_overlap(shorter, runs(n - 1)) | ((n == 3) & F.arrays_overlap(shorter, "__2i"))
+    return F.when(F.array_contains(runs(n), token), 1.0).when(n < 2, 0.0).when(parted, 1 - 1 / (n + 1)).when(less | F.arrays_overlap(swapped, runs(n)), 1 - 1 / n).otherwise(0.0)
+
+
+def _shorter(c: Column) -> Column:
+    return _each(c, lambda a, x, b: F.concat(a, b))
+
+
+def _swapped(c: Column) -> Column:
+    n = F.length(c)
+    swap = lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.lit(1)), F.substring(c, i, F.lit(1)), F.substring(c, i + 2, n))
+    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), swap)).otherwise(F.array().cast("array<string>"))
 
 
 def scored_terms(bares: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(bare, entry, place, term, likeness, edits, left) of the terms that a bare value may mean."""
     terms = vocabulary.terms
-    runs = lambda c: F.array_distinct(F.concat(*(_runs(c, n) for n in range(1, LONGEST + 2))))
-    pieces = bares.select("bare", F.explode(runs(_characters(F.col("bare")))).alias("piece"))
+    values = bares.withColumn("__c", _characters(F.col("bare")))
+    values = values.select("bare", *(_runs(F.col("__c"), n).alias(f"__{n}") for n in range(1, LONGEST + 2)), _without_inner(F.col("__c"), 2).alias("__2i"), _without_inner(F.col("__c"), 3).alias("__3i"))
+    pieces = values.select("bare", F.explode(F.array_distinct(F.concat(*(f"__{n}" for n in range(1, LONGEST + 2))))).alias("piece"))
     keyed = pieces.select("piece").distinct().select("piece", F.explode(_neighbourhood(F.col("piece"), False)).alias("key"))
     leading = terms.select("entry", "place", F.explode(_leading(vocabulary.least)).alias("token"))
     tokens = leading.select("token").distinct().select("token", F.explode(_neighbourhood(F.col("token"), True)).alias("key"))
     repaired = keyed.join(tokens, "key").select("piece", "token").distinct()
     held = pieces.join(repaired, "piece").select("bare", "token").distinct()
     found = held.join(leading, "token").select("bare", "entry", "place").distinct().join(terms, ["entry", "place"])
-    found = found.withColumn("__c", _characters(F.col("bare"))).withColumn("__runs", F.array(*(_runs(F.col("__c"), n) for n in range(1, LONGEST + 2))))
-    own = F.zip_with("tokens", "weights", lambda t, w: w * _likeness(t, F.col("__runs")))
+    # Weighing costs far more than its bytes tell, so its tasks are as many as a shuffle's, not as few as the bytes would do with.
+    tasks = int(bares.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.repartition(tasks, "bare").join(values.drop(f"__{LONGEST + 1}"), "bare")
+    own = F.zip_with("tokens", "weights", lambda t, w: w * _likeness(t))
     found = found.withColumn("likeness", F.aggregate(own, F.lit(0.0), lambda a, x: a + x) / F.col("total")).where(F.col("likeness") >= vocabulary.least - 1e-9)
     found = found.select("bare", "entry", "place", "term", "likeness", _placed("term", "bare").alias("__d"))
     found = found.select("bare", "entry", "place", "term", "likeness", F.col("__d")[0].alias("edits"), F.col("__d")[1].alias("left"))
