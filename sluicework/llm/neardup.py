@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,17 +123,26 @@ def rounds_for(similarity: float, exact: int, recall: float) -> int:
 
 
 def sign(df: DataFrame, key: str, text: str, gram: int, exact: int, rounds: int) -> DataFrame:
-    """id, class (digest of the normal text), the rounds' keys with their bits in the last seven, and fingerprint of each text that has a gram; checkpointed."""
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.ArrayType(T.LongType()))])
+    """id, raw (digest of the text as it is), cls (digest of the normal text), the rounds' keys with their bits in the last seven, and fingerprint of each
+    text that has a gram, with a number of its own; checkpointed, so the numbers stay.
+    """
+    schema = T.StructType([
+        T.StructField("id", df.schema[key].dataType), T.StructField("raw", T.BinaryType()), T.StructField("cls", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("fp", T.ArrayType(T.LongType())),
+    ])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [normal(t) for t in batch["__t"]]
             some, keys, words, fp = signatures(texts, gram, exact, rounds)
-            yield pd.DataFrame({"id": batch["__k"].iloc[some].tolist(), "cls": [hashlib.md5(texts[n].encode("utf-8", "surrogatepass")).digest() for n in some], "keys": list(keys | words), "fp": list(fp)})
+            chosen = batch.iloc[some]
+            yield pd.DataFrame({"id": chosen["__k"].tolist(), "raw": chosen["__raw"].tolist(), "cls": [hashlib.md5(texts[n].encode("utf-8", "surrogatepass")).digest() for n in some], "keys": list(keys | words), "fp": list(fp)})
+
+    rows = df.select(df[key].alias("__k"), df[text].alias("__t"), _raw(df[text]).alias("__raw")).where("__k is not null and __t is not null and __t <> ''")
+    return checkpointed(rows.mapInPandas(run, schema)).withColumn("no", F.monotonically_increasing_id())
 
-    rows = df.select(df[key].alias("__k"), df[text].alias("__t")).where("__k is not null and __t is not null and __t <> ''")
-    return checkpointed(rows.mapInPandas(run, schema))
+
+def _raw(text: Column) -> Column:
+    return F.unhex(F.md5(text))
 
 
 def _maybe_in(df: DataFrame, key: str, chosen: DataFrame, bits: int = 1 << 23) -> DataFrame:
@@ -170,25 +179,28 @@ def similar_classes(
         return math.ceil(bits * flip + 4.5 * math.sqrt(bits * flip * (1 - flip)))
 
     signed = sign(df, key, text, gram, exact, rounds)
-    members = signed.select(F.xxhash64("cls").alias("cls"), "id").distinct()
-    classes = signed.withColumn("cls", F.xxhash64("cls")).groupBy("cls").agg(F.min_by(F.struct("id", "keys", "fp"), "id").alias("s"))
+    # A class is known by the least number of its rows: eight bytes that no two classes share.
+    classes = signed.groupBy("cls").agg(F.min("no").alias("c"), F.min_by(F.struct("id", "raw", "keys", "fp"), "no").alias("s"))
+    members = signed.select("cls", "id").distinct().join(signed.groupBy("cls").agg(F.min("no").alias("c")), "cls").select(F.col("c").alias("cls"), "id")
     table = F.array(*(F.array(*(F.lit(a) for a in own)) for own in _ANCHORS))
-    rounds_of = classes.select("cls", F.element_at("s.fp", 1).alias("fp"), F.explode("s.keys").alias("k"))
-    anchors = rounds_of.select("cls", "fp", "k", F.posexplode(F.get(table, F.col("k").bitwiseAND(F.lit(127)).cast("int"))).alias("n", "c"))
-    anchors = anchors.select(F.col("k").bitwiseAND(F.lit(~127)).bitwiseOR(F.col("c").cast("long")).alias("anchor"), "cls", "fp", (F.col("n") == 0).alias("home"))
+    rounds_of = classes.select("c", F.element_at("s.fp", 1).alias("fp"), F.explode("s.keys").alias("k"))
+    anchors = rounds_of.select("c", "fp", "k", F.posexplode(F.get(table, F.col("k").bitwiseAND(F.lit(127)).cast("int"))).alias("n", "w"))
+    anchors = anchors.select(F.col("k").bitwiseAND(F.lit(~127)).bitwiseOR(F.col("w").cast("long")).alias("anchor"), "c", "fp", (F.col("n") == 0).alias("home"))
     a, b = anchors.alias("a"), anchors.alias("b")
     near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= apart(64)) & (F.col("a.home") | F.col("b.home"))
-    met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.cls") < F.col("b.cls")) & near)
-    met = met.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    names = classes.select("cls", F.col("s.id").alias("id"), F.col("s.fp").alias("fp"))
-    met = met.join(names.select(F.col("cls").alias("a"), F.col("id").alias("id_a"), F.col("fp").alias("fp_a")), "a")
-    met = met.join(names.select(F.col("cls").alias("b"), F.col("id").alias("id_b"), F.col("fp").alias("fp_b")), "b")
+    met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.c") < F.col("b.c")) & near)
+    met = met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    names = classes.select("c", "s.id", "s.raw", "s.fp")
+    of = lambda side: names.select(F.col("c").alias(side), *(F.col(n).alias(f"{n}_{side}") for n in ("id", "raw", "fp")))
+    met = met.join(of("a"), "a").join(of("b"), "b")
     differing = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b", "id_a", "id_b")
-    # Only texts that are in a pair need be shuffled, and both joins read the same shuffle.
+    met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b", "id_a", "raw_a", "id_b", "raw_b")
+    # Only texts that are in a pair need be shuffled, and both joins read the same shuffle. An id may have several texts: the
+    # one that the class was signed by is told by its digest.
     texts = df.select(df[key].alias("id"), df[text].alias("t")).where("id is not null and t is not null")
-    texts = _maybe_in(texts, "id", met.select(F.explode(F.array("id_a", "id_b")).alias("id")))
-    met = met.join(texts.select(F.col("id").alias("id_a"), F.col("t").alias("t_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("t").alias("t_b")), "id_b")
+    texts = _maybe_in(texts, "id", met.select(F.explode(F.array("id_a", "id_b")).alias("id"))).withColumn("raw", _raw(F.col("t"))).dropDuplicates(["id", "raw"])
+    own = lambda side: texts.select(F.col("id").alias(f"id_{side}"), F.col("raw").alias(f"raw_{side}"), F.col("t").alias(f"t_{side}"))
+    met = met.join(own("a"), ["id_a", "raw_a"]).join(own("b"), ["id_b", "raw_b"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -200,6 +212,16 @@ def similar_classes(
     return pairs, members
 
 
+def class_rows(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """A row for each id and class of equal texts that it is in: ``id``, ``class_id`` (the class's least id), ``links``: how many other classes are similar.
+
+    Linear in the rows and the class pairs: copies aren't paired.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    named = members.groupBy("cls").agg(F.min("id").alias("class_id")).join(ends, "cls", "left")
+    return members.join(named, "cls").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def id_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Every pair of different ids whose texts are similar or the same: ``id_a`` < ``id_b``."""
     m = members.select(F.col("cls").alias("a"), F.col("id").alias("x"))

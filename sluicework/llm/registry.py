@@ -37,6 +37,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of notices with similar titles, in the stored normal form."""
+    found = neardup.id_pairs(*neardup.similar_classes(table(spark, sf_dir, "notice"), "id", "normalized_title", 3, 0.6))
+    return found.select("id_a", "id_b")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each evidence with its class of equal texts, and how many classes of other texts are similar."""
+    return neardup.class_rows(*neardup.similar_classes(table(spark, sf_dir, "evidence_version"), "id", "extracted_text", 5, 0.7))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = mojibake.find_garbled(table(spark, sf_dir, "evidence_version"), ["id"], "extracted_text")
     positions = mojibake.find_garbled(table(spark, sf_dir, "position_record"), ["id"], "raw_row")
@@ -76,11 +87,15 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p3_found, p4_found, p6_found, p7_found, p8_packed, packing_check, p9_found, p10_found)
+    found = (p1_found, p3_found, p4_found, p4_titles, p4_classes, p6_found, p7_found, p8_packed, packing_check, p9_found, p10_found)
     return {f.__name__: f for f in found}
 
 
 ORACLES = {
+    "p4_titles": """WITH t AS (SELECT DISTINCT id, normalized_title AS x FROM notice WHERE length(normalized_title) >= 3),
+        g AS (SELECT DISTINCT id, unnest([x[i:i + 2] for i in range(1, length(x) - 1)]) AS gram FROM t), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+        b AS (SELECT p.id AS id_a, q.id AS id_b, count(*) AS k FROM g p JOIN g q ON p.gram = q.gram AND p.id < q.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE k >= 0.6 * (p.n + q.n - k)""",
     "packing_check": "SELECT count(*) AS items, 0::BIGINT AS items_not_whole, 0::BIGINT AS items_cut_though_they_fit, 0::BIGINT AS containers_over_capacity, true AS filled FROM documents WHERE text <> ''",
 }
 

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from sluicework.llm.neardup import _ANCHORS, _CODE, _DISTANCE, id_pairs, likeness, meeting_probability, normal, similar_classes
+from sluicework.llm.neardup import _ANCHORS, _CODE, _DISTANCE, class_rows, id_pairs, likeness, meeting_probability, normal, similar_classes
 
 
 def test_code_covers_and_close_words_meet():
@@ -47,3 +47,19 @@ def test_many_copies_are_one_class(spark):
     pairs, members = similar_classes(df, "id", "t", 3, 0.9)
     assert members.groupBy("cls").count().agg({"count": "max"}).first()[0] == 1000
     assert pairs.where("a = b").count() == 0
+
+
+def test_an_id_with_two_texts(spark):
+    """Each text is checked against its own class's: no pair comes from the other text of the same id."""
+    one, two, near = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳", "天地玄黄宇宙洪荒日月盈昃辰宿列张", "天地玄黄宇宙洪荒日月盈昃辰宿列法"
+    rows = [("a", one), ("a", two), ("b", near), ("c", one)]
+    df = spark.createDataFrame(rows, "id string, t string")
+    got = sorted((r.id_a, r.id_b) for r in id_pairs(*similar_classes(df, "id", "t", 3, 0.6)).collect())
+    assert got == [("a", "b"), ("a", "c")]
+
+
+def test_class_rows(spark):
+    texts = ["甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰午", "天地玄黄宇宙洪荒日月盈昃辰宿列张"]
+    rows = [(f"{n}", texts[n // 3]) for n in range(9)]
+    got = {r.id: (r.class_id, r.links) for r in class_rows(*similar_classes(spark.createDataFrame(rows, "id string, t string"), "id", "t", 3, 0.6)).collect()}
+    assert got == {str(n): (str(n // 3 * 3), 0 if n > 5 else 1) for n in range(9)}
