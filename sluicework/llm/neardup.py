@@ -190,11 +190,12 @@ def similar_classes(
     near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= apart(64)) & (F.col("a.home") | F.col("b.home"))
     met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.c") < F.col("b.c")) & near)
     met = met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
-    names = classes.select("c", "s.id", "s.raw", "s.fp")
-    of = lambda side: names.select(F.col("c").alias(side), *(F.col(n).alias(f"{n}_{side}") for n in ("id", "raw", "fp")))
-    met = met.join(of("a"), "a").join(of("b"), "b")
+    # The fingerprints go to all that met, the ids and digests only to those that stay.
+    part = lambda side, *names: classes.select(F.col("c").alias(side), *(F.col(f"s.{n}").alias(f"{n}_{side}") for n in names))
+    met = met.join(part("a", "fp"), "a").join(part("b", "fp"), "b")
     differing = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b", "id_a", "raw_a", "id_b", "raw_b")
+    met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b")
+    met = met.join(part("a", "id", "raw"), "a").join(part("b", "id", "raw"), "b")
     # Only texts that are in a pair need be shuffled, and both joins read the same shuffle. An id may have several texts: the
     # one that the class was signed by is told by its digest.
     texts = df.select(df[key].alias("id"), df[text].alias("t")).where("id is not null and t is not null")
