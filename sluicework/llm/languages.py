@@ -65,7 +65,7 @@ class Scorer:
 
     FLOOR = 0.02
     SCALE = 1e4  # a power of it for each character keeps the sums within a float's range
-    PART = 48  # longer words are scored in parts; no piece is that long
+    LONG = 48  # words of more characters are summed by logarithms, which no length can take out of range
 
     def __init__(self, pieces: Sequence[str]):
         letters = [p for p in pieces if _LETTER.search(p) and "▁" not in p[1:]]
@@ -95,20 +95,28 @@ class Scorer:
         return len(marked), out
 
     def forward(self, word: str) -> np.ndarray:
-        """Log probability in each language, over all segmentations."""
+        """Log probability in each language, over all segmentations of the whole word."""
         n, edges = self.lattice(word)
+        if n > self.LONG:
+            return self._logs(n, edges)[n] - n * math.log(self.SCALE)
         alpha = np.zeros((n + 1, len(LANGUAGES)))
         alpha[0] = 1
         for i, j, k in edges:
             alpha[j] += alpha[i] * self.odds[k]
         return np.log(alpha[n]) - n * math.log(self.SCALE)
 
-    def word_score(self, word: str) -> np.ndarray:
-        return sum(self.forward(word[i : i + self.PART]) for i in range(0, len(word), self.PART))
+    def _logs(self, n: int, edges: Sequence[tuple[int, int, int]], backward: bool = False) -> np.ndarray:
+        """Logarithms of the sums over all segmentations up to each place, or from it on; every place can be reached."""
+        out = np.full((n + 1, len(LANGUAGES)), -np.inf)
+        out[n if backward else 0] = 0
+        for i, j, k in reversed(edges) if backward else edges:
+            here, there = (i, j) if backward else (j, i)
+            out[here] = np.logaddexp(out[here], out[there] + np.log(self.odds[k]))
+        return out
 
     def fit(self, counts: dict[str, np.ndarray], rounds: int = 1) -> None:
         """Expectation maximisation over words with their counts in each language."""
-        lattices = {w: self.lattice(w[: self.PART]) for w in counts}
+        lattices = {w: self.lattice(w) for w in counts}
         sizes = np.array([*map(len, self.ids), 1], float)[:, None]
         weights = np.full(self.odds.shape, self.FLOOR)
         for w, (_, edges) in lattices.items():
@@ -118,6 +126,12 @@ class Scorer:
             self.odds = weights / weights.sum(axis=0) * self.SCALE**sizes
             weights = np.full(self.odds.shape, self.FLOOR)
             for w, (n, edges) in lattices.items():
+                if n > self.LONG:
+                    ahead, behind = self._logs(n, edges), self._logs(n, edges, backward=True)
+                    for i, j, k in edges:
+                        if k >= 0:
+                            weights[k] += counts[w] * np.exp(ahead[i] + np.log(self.odds[k]) + behind[j] - ahead[n])
+                    continue
                 alpha, beta = np.zeros((n + 1, len(LANGUAGES))), np.zeros((n + 1, len(LANGUAGES)))
                 alpha[0] = beta[n] = 1
                 for i, j, k in edges:
@@ -135,7 +149,7 @@ class Scorer:
         n = self.known[word] = len(self.known)
         if n >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[n] = (table_of or self.word_score)(word)
+        self.table[n] = (table_of or self.forward)(word)
         return n
 
     def _joined_scores(self) -> np.ndarray:
@@ -149,7 +163,7 @@ class Scorer:
 
     def _chain_gain(self, chain: str) -> np.ndarray:
         """What a chain of overlapping pieces scores beyond its characters."""
-        return self.word_score(chain) - self._joined_scores()[[min(ord(c), 0xFFFF) for c in chain]].sum(axis=0)
+        return self.forward(chain) - self._joined_scores()[[min(ord(c), 0xFFFF) for c in chain]].sum(axis=0)
 
     def scores(self, sentences: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each sentence in each language, and its number of words."""

@@ -75,4 +75,19 @@ def test_mixed_and_edges(spark, scorer):
 def test_pieces_never_cross_words():
     assert all("▁" not in p[1:] for p in Scorer(load_pieces()).ids)
     assert words_of("a-b https://x.y/z 数据ß") == ["a", "b", "数", "据", "ß"]
-    assert math.isfinite(float(Scorer(["▁a"]).word_score("z" * 500).sum()))
+    assert math.isfinite(float(Scorer(["▁a"]).forward("z" * 500).sum()))
+
+
+def test_long_words_are_scored_whole():
+    """A word of sixty letters and more is summed over all of its segmentations, by logarithms; so is what it adds to the fit."""
+    pieces = ["▁", "ab", "ba", "aba", "a", "b", "abab", "▁ab"]
+    rng = np.random.default_rng(5)
+    words = {"".join(rng.choice(["a", "b"], n)): rng.uniform(0.5, 3, len(LANGUAGES)) for n in (5, 47, 60, 75)}
+    short, long = Scorer(pieces), Scorer(pieces)
+    short.LONG, long.LONG = 10_000, 3
+    short.fit(words, rounds=2)
+    long.fit(words, rounds=2)
+    assert np.allclose(short.odds, long.odds)
+    for w in words:
+        assert np.allclose(short.forward(w), long.forward(w))
+    assert np.isfinite(long.forward("ab" * 5000)).all()
