@@ -22,16 +22,22 @@ _SPACE = "[\\s\\u0085\\u00a0\\u1680\\u2000-\\u200d\\u2028\\u2029\\u202f\\u205f\\
 
 _PAIRS = (("“", "”"), ("「", "」"), ("『", "』"), ("‘", "’"), ("〝", "〞"))
 _QUOTES = "|".join(['"[^"]*"', *(f"{a}[^{a}{b}]*{b}" for a, b in _PAIRS)])
-#: A bracketed number is a numbering mark, no span; one level of nesting, at most 50 inner brackets.
-_ROUND = "(?:[(（](?!\\d{1,2}[)）])[^()（）]*+(?:[(（][^()（）]*+[)）][^()（）]*+){0,50}[)）])"
+#: A bracketed number is a numbering mark, no span. Brackets in brackets of their kind are marked before, so that none is left inside.
+_ROUND = "(?:[(（](?!\\d{1,2}[)）])[^()（）]*+[)）])"
 _SQUARE = "(?:[\\[［【〔][^\\[\\]［］【】〔〕]*+[\\]］】〕])|(?:[{｛][^{}｛｝]*+[}｝])|(?:《[^《》]*+》)"
 _SPAN = f"[{_OPEN}{_CLOSE}{_MARK}]|{_QUOTES}|{_ROUND}|{_SQUARE}"
 
+#: Opening and closing brackets of each kind, and the noncharacters, which no text may hold, that mark those in others.
+_KINDS = (("(（", ")）"), ("[［【〔", "]］】〕"), ("{｛", "}｝"), ("《", "》"))
+_BRACKETS = "".join(a + b for a, b in _KINDS)
+_MARKS = "".join(chr(0xFDD0 + k) for k in range(len(_BRACKETS)))
+_IN_CLASS = str.maketrans({"[": "\\[", "]": "\\]"})
+
 _CIRCLED = "[\\u2460-\\u249b\\u2776-\\u277f\\u3220-\\u3229]"
 _DELIMITER = f"(?:{_MARK}|[;；,，、/／|｜。\\n\\r\\t\\u000b\\f\\u2028\\u2029])"
 _NUMBER = "(?:\\d{1,2}[.．、)）](?!\\d)|[(（]\\d{1,2}[)）])"
 #: A number followed by its sign counts as a mark at the start of the field or behind a delimiter.
-_NUMBERED = f"(?:(?<=^)|(?<=[;；,，、/／|｜。\\n\\r\\t]))(?:{_SPACE}{{0,9}}){_NUMBER}"
+_NUMBERED = f"(?:(?<=^)|(?<=[;；,，、/／|｜。\\n\\r\\t])){_SPACE}*+{_NUMBER}"
 _LIST = f"(?s)^{_SPACE}*[\\[［【]{_SPACE}*(?:{_QUOTES}|')"
 
 
@@ -65,6 +71,40 @@ def _unquoted(c: Column) -> Column:
 _SPECIAL = f"[{_OPEN}{_CLOSE}{_MARK};；,，、/／|｜。\\n\\r\\t\\u000b\\f\\u2028\\u2029\"“”「」『』‘’〝〞()（）\\[\\]［］【】〔〕{{}}｛｝《》\\u2460-\\u249b\\u2776-\\u277f\\u3220-\\u3229]|^{_SPACE}*\\d"
 
 
+def _marked(c: Column) -> Column:
+    return F.translate(c, _BRACKETS, _MARKS)
+
+
+def _outermost(c: Column, opening: str, closing: str) -> Column:
+    """The text with all brackets of a kind marked but the outermost pairs: those inside them, and those without a partner.
+
+    Three sweeps, each with a count: closing brackets without an opening one before, opening ones without a closing one behind, depth.
+    """
+    both = f"[{(opening + closing).translate(_IN_CLASS)}]"
+    parts = lambda x: F.regexp_extract_all(x, F.lit(f"(?s){both}|[^{both[1:]}+"), F.lit(0))
+    state = lambda text, n: F.struct(text.alias("text"), n.cast("int").alias("n"))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"))
+
+    def sweep(pieces: Column, opens: str, closes: str, ahead: bool) -> Column:
+        """Marks brackets that close without one that opened before, in the sweep's direction."""
+
+        def step(a, x):
+            known = ~x.isin(*closes) | (a["n"] > 0)
+            kept = F.when(known, x).otherwise(_marked(x))
+            return state(F.concat(a["text"], kept) if ahead else F.concat(kept, a["text"]), a["n"] + F.when(x.isin(*opens), 1).when(x.isin(*closes) & (a["n"] > 0), -1).otherwise(0))
+
+        return F.aggregate(pieces, start, step, lambda a: a["text"])
+
+    def deepen(a, x):
+        after = a["n"] + F.when(x.isin(*opening), 1).when(x.isin(*closing), -1).otherwise(0)
+        inner = (x.isin(*opening) & (a["n"] > 0)) | (x.isin(*closing) & (after > 0))
+        return state(F.concat(a["text"], F.when(inner, _marked(x)).otherwise(x)), after)
+
+    closed = sweep(parts(c), opening, closing, True)
+    paired = sweep(F.reverse(parts(closed)), closing, opening, False)
+    return F.aggregate(parts(paired), start, deepen, lambda a: a["text"])
+
+
 def with_values(df: DataFrame, field: str, values: str) -> DataFrame:
     """Adds array<string> ``values``: the field's values in order, none for a field without a value.
 
@@ -79,6 +119,13 @@ def with_values(df: DataFrame, field: str, values: str) -> DataFrame:
     loose = F.when(F.col("__listed").isNull(), packed)
     is_list = loose.rlike(_LIST) & loose.rlike(f"(?s)[\\]］】]{_SPACE}*$")
     df = df.withColumn("__bare", F.when(is_list, F.regexp_replace(loose, f"^{_SPACE}*[\\[［【]|[\\]］】]{_SPACE}*$", "")).otherwise(loose))
+    # Few cells have brackets in brackets of their kind; for all others the step is one search a kind.
+    df = df.withColumn("__marked", F.lit(False))
+    for opening, closing in _KINDS:
+        opens, either = opening.translate(_IN_CLASS), (opening + closing).translate(_IN_CLASS)
+        nested = F.col("__bare").rlike(f"[{opens}][^{either}]*+[{opens}]") & ~F.coalesce(loose.rlike(f"[{_MARKS}]"), F.lit(False))
+        df = df.withColumn("__nested", F.coalesce(nested, F.lit(False))).withColumn("__marked", F.col("__marked") | F.col("__nested"))
+        df = df.withColumn("__bare", F.when(F.col("__nested"), _outermost(F.col("__bare"), opening, closing)).otherwise(F.col("__bare")))
     df = df.withColumn("__spans", F.regexp_extract_all("__bare", F.lit(_SPAN), F.lit(0)))
     held = _joined(F.split("__bare", _SPAN, -1), F.transform("__spans", lambda s, i: F.concat(F.lit(_OPEN), i.cast("string"), F.lit(_CLOSE))))
     df = df.withColumn("__held", F.when(F.size("__spans") > 0, held).otherwise(F.col("__bare")))
@@ -96,9 +143,10 @@ def with_values(df: DataFrame, field: str, values: str) -> DataFrame:
 
     pieces = F.when(F.size("__spans") > 0, F.transform("__pieces", lambda p: F.when(p.contains(_OPEN), restored(strip_space(p))).otherwise(p))).otherwise(F.col("__pieces"))
     df = df.withColumn("__pieces", F.when(F.col("__packed").isNull(), F.array().cast("array<string>")).when(~F.col("__special"), F.array("__packed")).otherwise(F.coalesce("__listed", pieces)))
+    df = df.withColumn("__pieces", F.when(F.col("__marked"), F.transform("__pieces", lambda p: F.translate(p, _MARKS, _BRACKETS))).otherwise(F.col("__pieces")))
     df = df.withColumn("__pieces", F.transform("__pieces", _unquoted))
     df = df.withColumn(values, F.filter("__pieces", lambda v: v.isNotNull() & (v != "")))
-    return df.drop("__packed", "__special", "__listed", "__bare", "__spans", "__held", "__pieces")
+    return df.drop("__packed", "__special", "__listed", "__bare", "__marked", "__nested", "__spans", "__held", "__pieces")
 
 
 def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -108,7 +156,8 @@ def split_packed(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> D
     and ``n_items``, the number of values in that field. A null, blank or no-value field gives no
     row; repeated input rows give repeated output rows; input columns named as the output's are
     no hindrance, as only keys and fields are read. Texts of any length are split whole. A quote
-    or bracket that isn't closed is an ordinary character.
+    or bracket that isn't closed is an ordinary character. Brackets may lie in others of their kind to any depth, except in a text that holds
+    noncharacters from U+FDD0 on: there the inner ones are spans and the outer ones aren't.
     """
     cells = F.array(*(F.struct(F.lit(f).alias("f"), df[f].cast("string").alias("v")) for f in fields))
     rows = df.select(*(df[k] for k in keys), F.explode(cells).alias("__cell"))

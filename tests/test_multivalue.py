@@ -27,6 +27,12 @@ CASES = {
     "不限": [], "  ": [], "": [], "—": [], "unknown": [], None: [],
     "无、甲": ["无", "甲"],
     "((甲、乙)、丙)、丁": ["((甲、乙)、丙)", "丁"],
+    "(((甲、乙)、丙)、(丁))、戊": ["(((甲、乙)、丙)、(丁))", "戊"],
+    "[甲[乙、丙]、丁]、戊、《己《庚、辛》》": ["[甲[乙、丙]、丁]", "戊", "《己《庚、辛》》"],
+    "甲((乙、丙)、丁": ["甲((乙、丙)", "丁"], "甲)、(乙(丙、丁)))、戊": ["甲)", "(乙(丙、丁)))", "戊"],
+    "（" + "（、）" * 60 + "、甲）、乙": ["（" + "（、）" * 60 + "、甲）", "乙"],
+    "(甲、【乙(丙、丁)】)、戊": ["(甲、【乙(丙、丁)】)", "戊"],
+    "甲；" + " " * 30 + "2、乙": ["甲", "乙"],
 }
 
 
