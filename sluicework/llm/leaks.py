@@ -9,6 +9,7 @@ loses no document that holds such a window.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -203,6 +204,18 @@ def leaked_in(index: ItemIndex, texts: list[str], passage_chars: int) -> Iterato
             yield int(n), item, run, answer
 
 
+#: The index that this worker built last, by the digest of its items.
+_BUILT: dict[str, ItemIndex] = {}
+
+
+def index_of(digest: str, items: tuple[list, list[str], list[str]], min_run: int) -> ItemIndex:
+    """The index of the items, built once in a worker, however many tasks it runs."""
+    if digest not in _BUILT:
+        _BUILT.clear()
+        _BUILT[digest] = ItemIndex(*items, min_run)
+    return _BUILT[digest]
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str | None = "answer",
     min_run: int = 30, passage_chars: int = 2000, index_chars: int = 20_000_000,
@@ -224,10 +237,12 @@ def find_leaks(
     out = None
     for block in range(blocks):
         rows = chosen.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block).orderBy("i").collect() if blocks > 1 else chosen.orderBy("i").collect()
-        sent = docs.sparkSession.sparkContext.broadcast(([r.i for r in rows], [r.t for r in rows], [r.a for r in rows]))
+        own = ([r.i for r in rows], [r.t for r in rows], [r.a for r in rows])
+        digest = hashlib.sha256(repr((own, min_run)).encode("utf-8", "surrogatepass")).hexdigest()
+        sent = docs.sparkSession.sparkContext.broadcast(own)
 
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(*sent.value, min_run)
+        def search(batches: Iterator[pd.DataFrame], sent=sent, digest=digest) -> Iterator[pd.DataFrame]:
+            index = index_of(digest, sent.value, min_run)
             for batch in batches:
                 found = list(leaked_in(index, [reduced(t) for t in batch["t"]], passage_chars))
                 yield pd.DataFrame(
