@@ -1,11 +1,10 @@
 """The incremental side: dedup, change events and source health as streams, and a poll loop.
 
-Each is the streaming form of a batch operator and gives the same rows over the same input.
+Each is the streaming form of a batch operator and gives the same rows over input that arrives in order.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,22 +51,21 @@ VERSIONS = T.StructType([T.StructField("key", T.StringType()), T.StructField("di
 
 
 def _versions(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, seen = (state.get[0], json.loads(state.get[1])) if state.exists else (None, [])
-    known, out = set(seen), []
-    for digest in pd.concat(list(batches)).sort_values(["at", "digest"])["digest"]:
-        if digest not in known:
-            out.append((key[0], digest, "new" if last is None else f"content_change:{digest[:16]}"))
-            known.add(digest)
-            seen.append(digest)
-        last = digest
-    state.update((last, json.dumps(seen)))
-    yield pd.DataFrame(out, columns=VERSIONS.names)
+    rows = pd.concat(list(batches)).sort_values(["at", "digest"])
+    kinds = [f"content_change:{d[:16]}" for d in rows["digest"]]
+    if not state.exists:
+        kinds[0] = "new"
+        state.update((True,))
+    yield pd.DataFrame({"key": key[0], "digest": rows["digest"].to_numpy(), "event_type": kinds})
 
 
 def version_events(stream: DataFrame, key: str, at: str, digest: str) -> DataFrame:
-    """An event for each new content of a record: ``new`` for the first, else ``content_change:`` and the digest's start."""
+    """An event for each new content of a record: ``new`` for the first that arrives, else ``content_change:`` and the digest's start.
+
+    Contents are made distinct by a stateful dedup, a row of the state store each, so no record's state grows into one value; what follows keeps one flag a record.
+    """
     rows = stream.where(F.col(digest).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(at).alias("at"), F.col(digest).alias("digest"))
-    return rows.groupBy("key").applyInPandasWithState(_versions, VERSIONS, "last string, seen string", "append", GroupStateTimeout.NoTimeout)
+    return rows.dropDuplicates(["key", "digest"]).groupBy("key").applyInPandasWithState(_versions, VERSIONS, "known boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, mode: str, folder: str | None = None) -> DataFrame:
