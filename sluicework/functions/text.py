@@ -44,6 +44,12 @@ def capped_count(c: Column, pattern: str, most: int, weight: float) -> Column:
     return F.least(F.regexp_count(c, F.lit(pattern)), F.lit(most)) * F.lit(weight)
 
 
+def weighted_terms(c: Column, weights: dict[str, float]) -> Column:
+    """Sum of the weights of the terms that the text contains."""
+    table = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(w)).alias("w")) for t, w in weights.items()))
+    return F.aggregate(F.filter(table, lambda x: c.contains(x["t"])), F.lit(0.0), lambda a, x: a + x["w"])
+
+
 def excerpt(c: Column, terms: Sequence[str], before: int = 80, width: int = 360) -> Column:
     """A window of the text that begins ``before`` characters ahead of the earliest term, with ... where it is cut."""
     at = F.array_min(F.filter(F.array(*(F.instr(c, t) for t in terms)), lambda n: n > 0))

@@ -44,6 +44,18 @@ def file_extension_in(url: Column) -> Column:
     return path.rlike(f"\\.({'|'.join(DOCUMENTS)})$") | (low.contains("?") & low.rlike(f"\\.({'|'.join(DOCUMENTS)})(?=&|$)"))
 
 
+def is_attachment(title: Column, url: Column, title_terms: list[str]) -> Column:
+    """Whether a link leads to a document: by its address, else by a term in its title."""
+    return file_extension_in(url) | F.exists(F.array(*map(F.lit, title_terms)), lambda t: title.contains(t))
+
+
+def file_name(url: Column) -> Column:
+    """The name under which a document is offered: the query's fileName, else the path's last part, both decoded; null if there is none."""
+    named = F.try_url_decode(F.try_parse_url(url, F.lit("QUERY"), F.lit("fileName")))
+    last = F.try_url_decode(F.element_at(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), -1))
+    return F.coalesce(F.nullif(named, F.lit("")), F.nullif(last, F.lit("")))
+
+
 def is_page_below(url: Column, suffix: str) -> Column:
     """Whether a URL is a page, no index, of a host below the suffix."""
     path = F.lower(F.try_parse_url(url, F.lit("PATH")))

@@ -18,6 +18,20 @@ def members(catalog: DataFrame, category: str, level: str | None = None) -> Data
     return (chosen.where(F.col("study_level") == level) if level else chosen).select("catalog_name").distinct()
 
 
+def memberships(df: DataFrame, column: str, catalog: DataFrame, name: str = "catalog_name", aliases: str | None = None) -> DataFrame:
+    """The rows with each catalog entry that a name equals, by itself or without its bracketed parts: an equi-join on both forms.
+
+    White space counts for nothing; an entry is met once by a row, however many of its names fit. Rows without an entry are left out.
+    """
+    names = F.concat(F.array(name), F.coalesce(aliases, F.array().cast("array<string>"))) if aliases else F.array(name)
+    plain = lambda c: F.regexp_replace(c, "(?U)\\s+", "")
+    forms = lambda c: F.array_distinct(F.filter(F.array(plain(c), bare(c)), lambda x: x != ""))
+    entries = catalog.withColumn("__form", F.explode(F.array_distinct(F.transform(names, plain)))).where("__form <> ''")
+    numbered = df.withColumn("__row", F.monotonically_increasing_id())
+    met = numbered.withColumn("__form", F.explode(forms(F.col(column)))).join(entries, "__form").drop("__form")
+    return met.dropDuplicates(["__row", *[c for c in catalog.columns if catalog.schema[c].dataType.simpleString() != "array<string>"]]).drop("__row")
+
+
 def closure(edges: DataFrame, src: str, dst: str, most_rounds: int = 64) -> DataFrame:
     """All (src, dst) pairs that a path of edges joins, cycles included, by doubling: n rounds follow paths of 2^n edges.
 

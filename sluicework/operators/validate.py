@@ -21,6 +21,22 @@ def row_errors(df: DataFrame, checks: dict[str, Column], unique: Sequence[str] =
     return df.withColumn("errors", errors).drop(*(f"__n_{c}" for c in unique))
 
 
+def registration_errors(batch: DataFrame, registry: DataFrame, regions: DataFrame, institutions: DataFrame) -> DataFrame:
+    """Adds ``errors`` to sources that are to be registered: address, an address that another id owns, unknown region, and for colleges no verified institution of the same region.
+
+    batch and registry: id, entry_url, region_code, source_group, institution_id; regions: region_code; institutions: institution_id, region_code. All lookups are equi-joins.
+    """
+    owners = registry.select("entry_url", F.col("id").alias("__owner")).groupBy("entry_url").agg(F.min("__owner").alias("__owner"))
+    known = regions.select("region_code").distinct().withColumn("__region", F.lit(True))
+    verified = institutions.groupBy("institution_id").agg(F.min("region_code").alias("__at"))
+    rows = batch.join(owners, "entry_url", "left").join(known, "region_code", "left").join(verified, "institution_id", "left")
+    checks = {
+        "address": F.col("entry_url").rlike("^https?://[^/]+"), "address of another source": F.col("__owner").isNull() | (F.col("__owner") == F.col("id")), "unknown region": F.col("__region").isNotNull(),
+        "institution": (F.col("source_group") != "college") | (F.col("__at") == F.col("region_code")),
+    }
+    return row_errors(rows, checks).select(*batch.columns, "errors")
+
+
 def accepted_or_nothing(df: DataFrame) -> DataFrame:
     """The batch if no row has errors; else its first use raises, before anything is written."""
     bad = df.agg(F.sum((F.size("errors") > 0).cast("long")).alias("bad"))

@@ -84,6 +84,13 @@ def import_report(old: DataFrame, new: DataFrame, key: str, valid: Column, compa
     return upsert(old, accepted, [key]), counts
 
 
+def looked_up(ids: DataFrame, table: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Each id with its row of the table, or with the defaults if it has none; version 0 where there is no row."""
+    held = table.select(key, *(F.col(c).alias(f"__{c}") for c in defaults), F.lit(True).alias("__held"))
+    both = ids.select(key).distinct().join(held, key, "left")
+    return both.select(key, *(F.when(F.col("__held"), F.col(f"__{c}")).otherwise(F.lit(v)).alias(c) for c, v in defaults.items()))
+
+
 def composite_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("::", *(p.cast("string") for p in parts)), 256)
 

@@ -9,7 +9,7 @@ from sluicework.functions import text as tx
 from sluicework.functions import urls
 from sluicework.operators import catalog, health, match, outbox, sheets, topk, triage, validate, versions
 from sluicework.session import table
-from sluicework.sources import links, parsers
+from sluicework.sources import cycle, links, parsers
 
 POLICY = triage.Policy(include=("招聘", "招录", "选拔", "聘用"), exclude=("问答", "预告"), workflow=("公告", "简章", "通知"), process=("资格复审", "面试安排", "递补", "体检名单", "拟聘"))
 STRICT = triage.Policy(include=("公开招聘", "公开选拔"), exclude=("问答", "预告", "招募"), workflow=("公告", "简章"), process=("资格复审", "面试安排", "递补", "体检名单", "拟聘", "成绩"))
@@ -242,6 +242,98 @@ def evidence_domains(spark, sf):
     return e.groupBy(urls.registrable(F.col("source_url")).alias("domain"), urls.is_page_below(F.col("source_url"), ".monitor.example").alias("page")).agg(F.count("*").alias("n"))
 
 
+def registration_checks(spark, sf):
+    """A batch of sources, four fifths of which have something wrong: what is found."""
+    s = table(spark, sf, "source_registry").select("id", "entry_url", "region_code", "source_group", "institution_id")
+    kind = F.pmod(F.substring("id", -4, 4).cast("int"), F.lit(5))
+    other = s.agg(F.min(F.struct("id", "entry_url"))["entry_url"].alias("other"))
+    batch = s.crossJoin(F.broadcast(other)).select(  # one row
+        "id", F.when(kind == 1, "ftp://h.example/").when(kind == 2, F.col("other")).otherwise(F.col("entry_url")).alias("entry_url"), F.when(kind == 3, "ZZ-99").otherwise(F.col("region_code")).alias("region_code"),
+        F.when(kind == 4, "college").otherwise("hr_portal").alias("source_group"), F.when(kind != 4, F.col("institution_id")).alias("institution_id"),
+    )
+    found = validate.registration_errors(batch, s, s.select("region_code"), s.where("institution_id is not null").select("institution_id", "region_code"))
+    return found.select("id", F.array_join("errors", ";").alias("errors"))
+
+
+#: Weights of terms in titles of links, for the choice of listings.
+LINK_WEIGHTS = {"招聘": 3.0, "公告": 2.0, "招录": 2.0, "公示": 1.0, "通知": 1.0, "问答": -2.0}
+
+
+def link_scores(spark, sf):
+    """The four best-scored links of each source from a score of 3 on, each address once."""
+    n = table(spark, sf, "notice").groupBy("source_id", "url").agg(F.min("normalized_title").alias("title"))
+    scored = n.withColumn("score", tx.weighted_terms(F.col("title"), LINK_WEIGHTS)).where("score >= 3")
+    return topk.top_k_per_group(scored, "source_id", [F.col("score").desc(), F.col("url")], 4).select("source_id", "rank", "url", "score")
+
+
+def file_names(spark, sf):
+    """Names of documents by made-up addresses below the sources'."""
+    tails = F.array(*(F.lit(x) for x in ("down?fileName=%E8%A1%A8%201.xlsx&v=1", "a/%E9%99%84%E4%BB%B6.pdf", "x/", "y?fileName=&z=1", "plain.doc#top")))
+    rows = table(spark, sf, "source_registry").select("id", F.explode(tails).alias("tail"), "entry_url")
+    return rows.select("id", "tail", F.coalesce(urls.file_name(F.concat(F.regexp_extract("entry_url", "^(https?://[^/]+/)", 1), "tail")), F.lit("")).alias("name"))
+
+
+def skipped_policies(spark, sf):
+    """Notices whose source's policy is in no table of policies, by source: what a re-evaluation skips."""
+    sources = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "keyword_policy_id", "keyword_policy_version")
+    held = sources.where("keyword_policy_version % 2 = 1").select("keyword_policy_id", "keyword_policy_version").distinct()
+    skipped = sources.join(F.broadcast(held), ["keyword_policy_id", "keyword_policy_version"], "left_anti")  # the registry is a fixed list
+    return _notices(spark, sf, "source_id").join(F.broadcast(skipped), "source_id").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+def catalog_members(spark, sf):
+    """Profiles by the category of the catalog entry that their major equals."""
+    p = table(spark, sf, "user_profile").select("id", "major").distinct()
+    met = catalog.memberships(p, "major", table(spark, sf, "major_catalog").where("kind = 'major'").select("catalog_id", "category", "catalog_name", "aliases"), aliases="aliases")
+    return met.groupBy("category").agg(F.count_distinct("id").alias("n"))
+
+
+def notice_positions(spark, sf):
+    """Each notice with the number of its positions and employers: one join instead of a lookup for each."""
+    p = _positions(spark, sf, "notice_id", "employer").groupBy("notice_id").agg(F.count("*").alias("positions"), F.count_distinct("employer").alias("employers"))
+    n = table(spark, sf, "notice").select(F.col("id").alias("notice_id")).distinct()
+    return n.join(p, "notice_id", "left").select("notice_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("positions", "employers")))
+
+
+def listing_walk(spark, sf):
+    """The listings of all enabled sources, page by page, from a made-up site of seven pages each: pages and links of each source."""
+
+    def transport(url: str, headers: dict) -> dict:
+        n = int(url.rsplit("page=", 1)[1]) if "page=" in url else 1
+        ahead = f"<a href='?page={n + 1}'>下一页</a>" if n < 7 else ""
+        return {"status": 200, "url": url, "content_type": "text/html", "charset": "utf-8", "body": f"<a href='t{n}.html'>公告{n}</a><a href='t1.html'>置顶</a>{ahead}".encode()}
+
+    s = table(spark, sf, "source_registry").where("status = 'enabled'")
+    pages, links = cycle.walk(s.select("id", "entry_url", "allowed_domains", F.lit("generic_html_v1").alias("adapter"), "max_pages"), transport)
+    n = pages.where("error is null").groupBy("source_id").agg(F.count("*").alias("pages"))
+    return n.join(links.groupBy("source_id").agg(F.count_if(F.col("title").startswith("公告") | (F.col("title") == "置顶")).alias("links")), "source_id")
+
+
+def detection(spark, sf):
+    """The last delivery of the monitored evidence as a fetch, the one before as the state: outcomes. Errors are rows without a parsed text."""
+    e = table(spark, sf, "evidence_snapshot")
+    last = e.agg(F.max("snapshot_no").alias("last")).first()["last"]
+    before = e.where(F.col("snapshot_no") < last).agg(F.max("snapshot_no")).first()[0]
+    one = lambda n: versions.latest(e.where(F.col("snapshot_no") == n), ["id"], ["loaded_at"], ["content_sha256", "parser_status"])
+    fetched = one(last).select("id", F.lit(200).alias("status"), F.col("content_sha256").alias("digest"), F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.when(F.col("parser_status") != "parsed", F.col("parser_status")).alias("error"))
+    state = one(before).select("id", F.col("content_sha256").alias("digest"), F.lit("d").alias("etag"), F.lit(None).cast("string").alias("last_modified"))
+    return cycle.detected(fetched, state).groupBy("outcome", "etag").agg(F.count("*").alias("n")).withColumn("etag", F.coalesce("etag", F.lit("")))
+
+
+def detail_retries(spark, sf):
+    """Failed details to be tried again, with the kind of event that a success gives."""
+    told = table(spark, sf, "evidence_version").select("notice_id")
+    return cycle.detail_retries(_notices(spark, sf, "source_id", "first_seen_at", "detail_status"), told).select("id", "source_id", "rank", "event_type")
+
+
+def profile_lookup(spark, sf):
+    """Profiles of all users, and of as many that don't exist: those have the defaults."""
+    p = versions.latest(table(spark, sf, "user_profile"), ["user_id"], ["updated_at", "id"], ["education", "year"]).select("user_id", "education", "year", F.lit(1).alias("version"))
+    ids = p.select(F.explode(F.array("user_id", F.concat(F.lit("no-"), "user_id"))).alias("user_id"))
+    found = versions.looked_up(ids, p, "user_id", {"education": "unknown", "year": 2000, "version": 0})
+    return found.select("user_id", F.coalesce("education", F.lit("")).alias("education"), F.coalesce(F.col("year").cast("bigint"), F.lit(0)).alias("year"), "version")
+
+
 def region_fanout(spark, sf):
     """Notices for each profile that watches the region of their source or one above; counted by region before they fan out."""
     s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "region_code")
@@ -374,7 +466,7 @@ QUERIES = {
         sources_allowed, evidence_hosts, region_fanout, subscription_match, due_sources, limit_then_filter, newest_per_source, diverse_positions, selection_violations, texts_in_budget, term_scores,
         excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, region_closure, catalog_levels, validation_report, next_pages,
         event_fanout, outbox_pending, profile_notices, registry_import, repair_selection, backfill_statistics, normalized_titles, link_extract, page_text, reclassified, source_scopes, batch_numbers, shown_employers,
-        evidence_domains,
+        evidence_domains, registration_checks, link_scores, file_names, skipped_policies, catalog_members, notice_positions, listing_walk, detection, detail_retries, profile_lookup,
     )
 }
 
@@ -391,6 +483,27 @@ _WATCHED = f"""WITH {_NOTICE}, {_PROFILE}, w AS (SELECT DISTINCT id AS profile_i
 _BLANK = "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\v\\f]"
 
 ORACLES = {
+    "registration_checks": """WITH s AS (SELECT *, right(id, 4)::INT % 5 AS k, (SELECT entry_url FROM source_registry ORDER BY id LIMIT 1) AS other, (SELECT min(id) FROM source_registry) AS least FROM source_registry)
+        SELECT id, CASE WHEN k = 1 THEN 'address' WHEN k = 2 AND id <> least THEN 'address of another source' WHEN k = 3 THEN 'unknown region' WHEN k = 4 THEN 'institution' ELSE '' END AS errors FROM s""",
+    "link_scores": "WITH n AS (SELECT source_id, url, min(normalized_title) AS t FROM notice GROUP BY ALL), x AS (SELECT *, " + " + ".join(f"CASE WHEN contains(t, '{t}') THEN {w} ELSE 0.0 END" for t, w in LINK_WEIGHTS.items()) + """ AS score FROM n)
+        SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, url) AS rank, url, score::DOUBLE AS score FROM x WHERE score >= 3 QUALIFY rank <= 4""",
+    "file_names": """SELECT id, t.tail, t.name FROM source_registry, (VALUES ('down?fileName=%E8%A1%A8%201.xlsx&v=1', '表 1.xlsx'), ('a/%E9%99%84%E4%BB%B6.pdf', '附件.pdf'), ('x/', ''), ('y?fileName=&z=1', 'y'), ('plain.doc#top', 'plain.doc')) t(tail, name)""",
+    "skipped_policies": f"""WITH {_NOTICE}, h AS (SELECT DISTINCT keyword_policy_id AS i, keyword_policy_version AS v FROM source_registry WHERE keyword_policy_version % 2 = 1)
+        SELECT n.source_id, count(*) AS n FROM n JOIN source_registry s ON s.id = n.source_id WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.i = s.keyword_policy_id AND h.v = s.keyword_policy_version) GROUP BY 1""",
+    "catalog_members": f"""WITH c AS (SELECT DISTINCT category, catalog_id, regexp_replace(unnest(list_concat([catalog_name], aliases)), '{_BLANK}+', '', 'g') AS form FROM major_catalog WHERE kind = 'major'),
+        p AS (SELECT DISTINCT id, regexp_replace(major, '{_BLANK}+', '', 'g') AS m FROM user_profile WHERE major IS NOT NULL)
+        SELECT category, count(DISTINCT id) AS n FROM p JOIN c ON c.form <> '' AND (c.form = p.m OR c.form = regexp_replace(p.m, '[(（][^()（）]*[)）]', '', 'g')) GROUP BY 1""",
+    "notice_positions": f"""WITH {_POSITION}, k AS (SELECT notice_id, count(*) AS positions, count(DISTINCT employer) AS employers FROM p GROUP BY 1)
+        SELECT n.id AS notice_id, coalesce(positions, 0) AS positions, coalesce(employers, 0) AS employers FROM (SELECT DISTINCT id FROM notice) n LEFT JOIN k ON k.notice_id = n.id""",
+    "listing_walk": "SELECT id AS source_id, least(max_pages, 7) AS pages, least(max_pages, 7) AS links FROM source_registry WHERE status = 'enabled'",
+    "detection": """WITH l AS (SELECT max(snapshot_no) AS n FROM evidence_snapshot), b AS (SELECT max(snapshot_no) AS n FROM evidence_snapshot, l WHERE snapshot_no < l.n),
+        o AS (SELECT * FROM evidence_snapshot QUALIFY row_number() OVER (PARTITION BY snapshot_no, id ORDER BY loaded_at DESC) = 1), f AS (SELECT o.* FROM o, l WHERE o.snapshot_no = l.n), s AS (SELECT o.* FROM o, b WHERE o.snapshot_no = b.n),
+        x AS (SELECT CASE WHEN f.parser_status <> 'parsed' THEN 'error' WHEN s.id IS NULL THEN 'new' WHEN f.content_sha256 IS NOT DISTINCT FROM s.content_sha256 THEN 'unchanged' ELSE 'changed' END AS outcome, s.id IS NOT NULL AS held FROM f LEFT JOIN s ON s.id = f.id)
+        SELECT outcome, CASE WHEN outcome <> 'error' THEN 'e' WHEN held THEN 'd' ELSE '' END AS etag, count(*) AS n FROM x GROUP BY ALL""",
+    "detail_retries": f"""WITH {_NOTICE} SELECT id, source_id, row_number() OVER (PARTITION BY source_id ORDER BY first_seen_at DESC, id) AS rank,
+        CASE WHEN EXISTS (SELECT 1 FROM evidence_version e WHERE e.notice_id = n.id) THEN 'content_change' ELSE 'new' END AS event_type FROM n WHERE detail_status = 'failed' QUALIFY rank <= 20""",
+    "profile_lookup": """WITH p AS (SELECT * FROM user_profile QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, id DESC) = 1)
+        SELECT user_id, coalesce(education, '') AS education, coalesce(year, 0)::BIGINT AS year, 1 AS version FROM p UNION ALL SELECT 'no-' || user_id, 'unknown', 2000, 0 FROM p""",
     "event_fanout": f"{_WATCHED} SELECT notice_id, profile_id FROM h",
     "outbox_pending": f"""{_WATCHED}, x AS (SELECT h.*, year(n.first_seen_at) = 2025 AS old, n.first_seen_at, length(n.title) % 5 AS attempts FROM h JOIN n ON n.id = h.notice_id)
         SELECT profile_id, count(*) AS messages, count(*) FILTER (old) AS failed, min(first_seen_at) AS first_at FROM x WHERE NOT old OR attempts < 3 GROUP BY 1""",
