@@ -16,7 +16,8 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Se
     """
     kept = [c for c in (df.columns if columns is None else columns) if c not in keys]
     unordered = [c for c in kept if c not in order]
-    rank = F.struct(*order, *([F.xxhash64(*unordered)] if unordered else []))
+    marked = [x for c in unordered for x in (F.col(c).isNull(), F.col(c))]  # the hash alone passes nulls over
+    rank = F.struct(*order, *([F.xxhash64(*marked)] if marked else []))
     best = F.max_by(F.struct(*(kept or order)), rank)
     out = [*keys, *kept] if columns is not None else df.columns
     return df.groupBy(*keys).agg(best.alias("__best")).select(*(c if c in keys else F.col(f"__best.{c}").alias(c) for c in out))

@@ -482,7 +482,43 @@ _WATCHED = f"""WITH {_NOTICE}, {_PROFILE}, w AS (SELECT DISTINCT id AS profile_i
         h AS (SELECT DISTINCT n.id AS notice_id, w.profile_id FROM n JOIN source_registry s ON s.id = n.source_id JOIN w ON s.region_code = w.r OR starts_with(s.region_code, w.r || '-'))"""
 _BLANK = "[\\s\\p{Z}\\x{85}\\x{1c}-\\x{1f}\\v\\f]"
 
+
+def _sheet_sql() -> str:
+    """The typed rows of sheets, cell by cell: header rows, the fields they name, rows that are kept, values joined, employers carried forward."""
+    B = "[\\s\\p{Z}\\x{85}\\v\\f]"
+    quoted = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    known: dict[str, str] = {}
+    for field, names in sheets.ALIASES.items():
+        for name in names:
+            known.setdefault(name, field)
+    alias = ", ".join(f"('{n}', '{f}')" for n, f in known.items())
+    return f"""WITH e AS (SELECT DISTINCT id, extracted_text AS t FROM evidence_version WHERE contains(content_type, 'spreadsheet') OR contains(content_type, 'excel')),
+  l AS (SELECT id, unnest(range(len(x))) AS line, x FROM (SELECT id, regexp_split_to_array(t, '\\r\\n|\\r|\\n') AS x FROM e)),
+  r AS (SELECT id, line, regexp_replace(x[line + 1], '^{B}+|{B}+$', '', 'g') AS t FROM l),
+  s AS (SELECT id, line, list_transform(CASE WHEN contains(t, chr(9)) THEN string_split(t, chr(9)) ELSE regexp_split_to_array(t, '{B}{{2,}}') END, lambda c: regexp_replace(c, '^{B}+|{B}+$', '', 'g')) AS cells FROM r),
+  c AS (SELECT id, line, unnest(range(1, len(cells) + 1)) AS k, cells FROM s WHERE len(cells) >= 3),
+  n AS (SELECT id, line, k, cells[k] AS cell, regexp_replace(cells[k], '{B}+', '', 'g') AS name FROM c),
+  a(alias, field) AS (VALUES {alias}),
+  f AS (SELECT n.*, CASE WHEN name = '' THEN NULL WHEN regexp_matches(name, '{"|".join(sheets.REFUSED)}') THEN 'exclude' WHEN regexp_matches(name, '{"|".join(sheets.SKIPPED)}') OR name IN ({quoted(sheets.SKIPPED_WHOLE)}) THEN 'skip' ELSE a.field END AS field
+    FROM n LEFT JOIN a ON a.alias = n.name),
+  h AS (SELECT id, line, count(*) FILTER (field <> 'skip') AS hits, count(*) AS width, count(*) FILTER (cell <> '') AS filled, arg_min(cell, k) FILTER (cell <> '') AS first FROM f GROUP BY ALL),
+  o AS (SELECT *, lead(hits) OVER w AS next_hits, lead(line) OVER w AS next_line FROM h WINDOW w AS (PARTITION BY id ORDER BY line)),
+  u AS (SELECT id, min(line) AS head, arg_min(CASE WHEN next_hits >= 2 THEN next_line ELSE -1 END, line) AS sub FROM o WHERE hits >= 3 GROUP BY 1),
+  g AS (SELECT u.*, greatest(head, sub) AS top FROM u WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.id = u.id AND f.line IN (u.head, u.sub) AND f.field = 'exclude')),
+  p AS (SELECT g.id, f.k, f.name, f.field FROM g JOIN f ON f.id = g.id AND f.line = g.head), b AS (SELECT g.id, f.k, f.field FROM g JOIN f ON f.id = g.id AND f.line = g.sub),
+  m AS (SELECT coalesce(p.id, b.id) AS id, coalesce(p.k, b.k) AS k, p.name, p.field AS above, b.field AS below FROM p FULL JOIN b ON b.id = p.id AND b.k = p.k),
+  q AS (SELECT *, last_value(CASE WHEN coalesce(name, '') <> '' THEN coalesce(above = 'other_requirements', false) OR (above IS NULL AND regexp_matches(name, '{"|".join(sheets.SPANNING)}')) END IGNORE NULLS) OVER (PARTITION BY id ORDER BY k ROWS UNBOUNDED PRECEDING) AS span FROM m),
+  v AS (SELECT id, k, nullif(nullif(coalesce(below, above, CASE WHEN span AND coalesce(name, '') = '' THEN 'other_requirements' END), 'skip'), 'exclude') AS field FROM q),
+  d AS (SELECT f.id, f.line, v.field, f.cell, min(f.k) AS k FROM g JOIN o ON o.id = g.id AND o.line > g.top AND o.hits < 3 AND o.filled > 1 AND NOT regexp_matches(o.first, '^(备注|注：|注:|说明)')
+    JOIN f ON f.id = o.id AND f.line = o.line JOIN v ON v.id = f.id AND v.k = f.k WHERE f.cell <> '' AND v.field IS NOT NULL GROUP BY ALL),
+  x AS (SELECT id, line, {", ".join(f"string_agg(cell, '；' ORDER BY k) FILTER (field = '{n}') AS {n}" for n in ("position_code", "employer", "position_name", "headcount", "education"))} FROM d GROUP BY 1, 2)
+  SELECT id, line AS row_index, coalesce(position_code, 'unknown') AS position_code, coalesce(last_value(employer IGNORE NULLS) OVER (PARTITION BY id ORDER BY line ROWS UNBOUNDED PRECEDING), 'unknown') AS employer,
+    coalesce(position_name, 'unknown') AS position_name, coalesce(headcount, 'unknown') AS headcount, coalesce(education, 'unknown') AS education
+  FROM x WHERE coalesce(position_code, position_name, employer) IS NOT NULL"""
+
+
 ORACLES = {
+    "sheet_positions": _sheet_sql(),
     "registration_checks": """WITH s AS (SELECT *, right(id, 4)::INT % 5 AS k, (SELECT entry_url FROM source_registry ORDER BY id LIMIT 1) AS other, (SELECT min(id) FROM source_registry) AS least FROM source_registry)
         SELECT id, CASE WHEN k = 1 THEN 'address' WHEN k = 2 AND id <> least THEN 'address of another source' WHEN k = 3 THEN 'unknown region' WHEN k = 4 THEN 'institution' ELSE '' END AS errors FROM s""",
     "link_scores": "WITH n AS (SELECT source_id, url, min(normalized_title) AS t FROM notice GROUP BY ALL), x AS (SELECT *, " + " + ".join(f"CASE WHEN contains(t, '{t}') THEN {w} ELSE 0.0 END" for t, w in LINK_WEIGHTS.items()) + """ AS score FROM n)
