@@ -35,6 +35,16 @@ def terms_fit(text: Column, include: Column, exclude: Column) -> Column:
     return (none | F.exists(include, lambda t: text.contains(t))) & ~F.coalesce(F.exists(exclude, lambda t: text.contains(t)), F.lit(False))
 
 
+def is_wanted(value: Column, wanted: Column) -> Column:
+    """Whether a value is among the wanted ones; none wanted means any, and a null is among none."""
+    return (F.size(F.coalesce(wanted, F.array().cast("array<string>"))) == 0) | F.coalesce(F.array_contains(wanted, value), F.lit(False))
+
+
+def subscription_fits(text: Column, institution: Column, event_type: Column, include: Column, exclude: Column, institutions: Column, event_types: Column) -> Column:
+    """A subscription's whole predicate but for the region, which ``region_fanout`` joins: terms, institutions and kinds of event."""
+    return terms_fit(text, include, exclude) & is_wanted(institution, institutions) & is_wanted(event_type, event_types)
+
+
 def scopes_overlap(group: Column, groups: dict[str, list[str]], wanted: Column) -> Column:
     """Whether a source group's scopes meet the wanted ones."""
     scopes = F.create_map(*(x for k, v in groups.items() for x in (F.lit(k), F.array(*(F.lit(s) for s in v)))))

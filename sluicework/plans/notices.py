@@ -350,6 +350,17 @@ def subscription_match(spark, sf):
     return n.where(fit).groupBy("source_group").agg(F.count("*").alias("n"))
 
 
+def subscription_events(spark, sf):
+    """Notices that each of three subscriptions gets: by terms, by institutions of the first sources, by kind of event."""
+    s = table(spark, sf, "source_registry").select(F.col("id").alias("source_id"), "institution_id")
+    n = _notices(spark, sf, "source_id", "normalized_title", "decision").join(F.broadcast(s), "source_id", "left")  # the registry is a fixed list
+    strings = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    first = [r.institution_id for r in s.where("institution_id is not null").select("institution_id").distinct().orderBy("institution_id").limit(5).collect()]
+    wanted = {"terms": (strings("公告", "通知"), strings("面试"), strings(), strings()), "institutions": (strings(), strings(), strings(*first), strings()), "kinds": (strings("招聘"), strings(), strings(), strings("candidate"))}
+    fits = F.array(*(F.when(match.subscription_fits(F.col("normalized_title"), F.col("institution_id"), F.col("decision"), *w), F.lit(k)) for k, w in wanted.items()))
+    return n.select("id", F.explode(F.filter(fits, lambda x: x.isNotNull())).alias("subscription"))
+
+
 def due_sources(spark, sf):
     """Sources by the time of their last notice, those without one first."""
     s = source_last_notice(spark, sf).withColumnRenamed("first_seen_at", "next_check_at")
@@ -463,7 +474,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         triage_decisions, decision_counts, reclassify_transitions, policy_join, latest_evidence, source_last_notice, evidence_copies, notice_upsert, evidence_novel, composite_ids, profile_versions,
-        sources_allowed, evidence_hosts, region_fanout, subscription_match, due_sources, limit_then_filter, newest_per_source, diverse_positions, selection_violations, texts_in_budget, term_scores,
+        sources_allowed, evidence_hosts, region_fanout, subscription_match, subscription_events, due_sources, limit_then_filter, newest_per_source, diverse_positions, selection_violations, texts_in_budget, term_scores,
         excerpts, dates_in_evidence, raw_row_cells, text_rows, sheet_positions, employer_carry, region_closure, catalog_levels, validation_report, next_pages,
         event_fanout, outbox_pending, profile_notices, registry_import, repair_selection, backfill_statistics, normalized_titles, link_extract, page_text, reclassified, source_scopes, batch_numbers, shown_employers,
         evidence_domains, registration_checks, link_scores, file_names, skipped_policies, catalog_members, notice_positions, listing_walk, detection, detail_retries, profile_lookup,
@@ -591,6 +602,8 @@ ORACLES = {
         w AS (SELECT DISTINCT id AS profile_id, unnest(region_codes) AS r FROM p)
         SELECT profile_id, count(*) AS n FROM (SELECT DISTINCT w.profile_id, n.id FROM n JOIN source_registry s ON s.id = n.source_id JOIN w ON s.region_code = w.r OR starts_with(s.region_code, w.r || '-')) GROUP BY 1""",
     "subscription_match": f"WITH {_NOTICE} SELECT s.source_group, count(*) AS n FROM n JOIN source_registry s ON s.id = n.source_id WHERE (contains(n.normalized_title, '公告') OR contains(n.normalized_title, '通知')) AND NOT contains(n.normalized_title, '面试') GROUP BY 1",
+    "subscription_events": f"""WITH {_NOTICE}, i AS (SELECT DISTINCT institution_id FROM source_registry WHERE institution_id IS NOT NULL ORDER BY 1 LIMIT 5), x AS (SELECT n.id, n.normalized_title AS t, n.decision, s.institution_id IN (SELECT institution_id FROM i) AS known FROM n LEFT JOIN source_registry s ON s.id = n.source_id)
+        SELECT id, 'terms' AS subscription FROM x WHERE (contains(t, '公告') OR contains(t, '通知')) AND NOT contains(t, '面试') UNION ALL SELECT id, 'institutions' FROM x WHERE known UNION ALL SELECT id, 'kinds' FROM x WHERE contains(t, '招聘') AND decision = 'candidate'""",
     "due_sources": f"SELECT source_id, first_seen_at AS next_check_at FROM ({_LAST_NOTICE}) WHERE status IN ('enabled', 'degraded') AND (first_seen_at IS NULL OR first_seen_at <= TIMESTAMP '2026-01-01')",
     "limit_then_filter": f"WITH {_NOTICE}, t AS (SELECT * FROM n ORDER BY coalesce(published_at::TIMESTAMP, first_seen_at) DESC, id LIMIT 300) SELECT id, decision FROM t WHERE decision = 'candidate'",
     "newest_per_source": f"WITH {_NOTICE} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY first_seen_at DESC, id) AS rank, id FROM n QUALIFY rank <= 3",

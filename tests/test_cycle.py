@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions import text as tx
 from sluicework.functions import urls
-from sluicework.operators import catalog, outbox, topk, validate, versions
+from sluicework.operators import catalog, match, outbox, topk, validate, versions
 from sluicework.sources import cycle, fetch, parsers
 
 SOURCE = "id string, entry_url string, allowed_domains array<string>, adapter string, max_pages int"
@@ -147,3 +147,14 @@ def test_numerals(spark, text, number):
 def test_file_names(spark):
     rows = [("https://h/a?fileName=%E8%A1%A8.xls", "表.xls"), ("https://h/b/c%20d.pdf", "c d.pdf"), ("https://h/", None), (None, None), ("https://h/x%ZZ", None)]
     assert [r[0] for r in spark.createDataFrame([(u,) for u, _ in rows], "u string").select(urls.file_name(F.col("u"))).collect()] == [n for _, n in rows]
+
+
+def test_subscription(spark):
+    """None wanted means any; a null is among none of those wanted."""
+    df = spark.createDataFrame([(1, "招聘公告", "i", "new"), (2, "招聘公告", None, "new"), (3, "面试公告", "i", None), (4, None, "i", "new")], "id int, t string, i string, e string")
+    none = F.array().cast("array<string>")
+    fits = lambda *w: [r.id for r in df.where(match.subscription_fits(F.col("t"), F.col("i"), F.col("e"), *w)).orderBy("id").collect()]
+    assert fits(none, none, none, none) == [1, 2, 3, 4]
+    assert fits(F.array(F.lit("公告")), F.array(F.lit("面试")), none, none) == [1, 2]
+    assert fits(none, none, F.array(F.lit("i")), F.lit(None).cast("array<string>")) == [1, 3, 4]
+    assert fits(none, none, none, F.array(F.lit("new"))) == [1, 2, 4]
