@@ -122,6 +122,13 @@ def rounds_for(similarity: float, exact: int, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meeting_probability(similarity, exact))))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """A side of a join that is sorted, never broadcast: Spark takes the packed size of the input files, and one element of an array, for the size
+    of classes, members and texts, which are many times that.
+    """
+    return df.hint("merge")
+
+
 def sign(df: DataFrame, key: str, text: str, gram: int, exact: int, rounds: int) -> DataFrame:
     """id, raw (digest of the text as it is), cls (digest of the normal text), the rounds' keys with their bits in the last seven, and fingerprint of each
     text that has a gram, with a number of its own; checkpointed, so the numbers stay.
@@ -181,17 +188,17 @@ def similar_classes(
     signed = sign(df, key, text, gram, exact, rounds)
     # A class is known by the least number of its rows: eight bytes that no two classes share.
     classes = signed.groupBy("cls").agg(F.min("no").alias("c"), F.min_by(F.struct("id", "raw", "keys", "fp"), "no").alias("s"))
-    members = signed.select("cls", "id").distinct().join(signed.groupBy("cls").agg(F.min("no").alias("c")), "cls").select(F.col("c").alias("cls"), "id")
+    members = signed.select("cls", "id").distinct().join(_large(signed.groupBy("cls").agg(F.min("no").alias("c"))), "cls").select(F.col("c").alias("cls"), "id")
     table = F.array(*(F.array(*(F.lit(a) for a in own)) for own in _ANCHORS))
     rounds_of = classes.select("c", F.element_at("s.fp", 1).alias("fp"), F.explode("s.keys").alias("k"))
     anchors = rounds_of.select("c", "fp", "k", F.posexplode(F.get(table, F.col("k").bitwiseAND(F.lit(127)).cast("int"))).alias("n", "w"))
     anchors = anchors.select(F.col("k").bitwiseAND(F.lit(~127)).bitwiseOR(F.col("w").cast("long")).alias("anchor"), "c", "fp", (F.col("n") == 0).alias("home"))
     a, b = anchors.alias("a"), anchors.alias("b")
     near = (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= apart(64)) & (F.col("a.home") | F.col("b.home"))
-    met = a.join(b, (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.c") < F.col("b.c")) & near)
+    met = a.join(_large(b), (F.col("a.anchor") == F.col("b.anchor")) & (F.col("a.c") < F.col("b.c")) & near)
     met = met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
     # The fingerprints go to all that met, the ids and digests only to those that stay.
-    part = lambda side, *names: classes.select(F.col("c").alias(side), *(F.col(f"s.{n}").alias(f"{n}_{side}") for n in names))
+    part = lambda side, *names: _large(classes.select(F.col("c").alias(side), *(F.col(f"s.{n}").alias(f"{n}_{side}") for n in names)))
     met = met.join(part("a", "fp"), "a").join(part("b", "fp"), "b")
     differing = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     met = met.where(differing <= apart(64 + rounds * BITS)).select("a", "b")
@@ -200,7 +207,7 @@ def similar_classes(
     # one that the class was signed by is told by its digest.
     texts = df.select(df[key].alias("id"), df[text].alias("t")).where("id is not null and t is not null")
     texts = _maybe_in(texts, "id", met.select(F.explode(F.array("id_a", "id_b")).alias("id"))).withColumn("raw", _raw(F.col("t"))).dropDuplicates(["id", "raw"])
-    own = lambda side: texts.select(F.col("id").alias(f"id_{side}"), F.col("raw").alias(f"raw_{side}"), F.col("t").alias(f"t_{side}"))
+    own = lambda side: _large(texts.select(F.col("id").alias(f"id_{side}"), F.col("raw").alias(f"raw_{side}"), F.col("t").alias(f"t_{side}")))
     met = met.join(own("a"), ["id_a", "raw_a"]).join(own("b"), ["id_b", "raw_b"])
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,15 +226,15 @@ def class_rows(pairs: DataFrame, members: DataFrame) -> DataFrame:
     Linear in the rows and the class pairs: copies aren't paired.
     """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    named = members.groupBy("cls").agg(F.min("id").alias("class_id")).join(ends, "cls", "left")
-    return members.join(named, "cls").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    named = members.groupBy("cls").agg(F.min("id").alias("class_id")).join(_large(ends), "cls", "left")
+    return members.join(_large(named), "cls").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def id_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Every pair of different ids whose texts are similar or the same: ``id_a`` < ``id_b``."""
     m = members.select(F.col("cls").alias("a"), F.col("id").alias("x"))
     n = members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    across = pairs.join(m, "a").join(n, "b").where("x <> y").select("x", "y")
-    same = m.join(n.withColumnRenamed("b", "a"), "a").where("x < y").select("x", "y")
+    across = pairs.join(_large(m), "a").join(_large(n), "b").where("x <> y").select("x", "y")
+    same = m.join(_large(n.withColumnRenamed("b", "a")), "a").where("x < y").select("x", "y")
     both = across.unionByName(same)
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
