@@ -29,6 +29,24 @@ def region_fanout(events: DataFrame, code: str, profiles: DataFrame, regions: st
     return wide.join(profiles.withColumn("__region", F.explode(tops)), "__region").drop("__region")
 
 
+def watched_regions(regions: Column) -> Column:
+    """The different regions of a list in order: one form for all lists that watch the same."""
+    return F.array_sort(F.array_distinct(regions))
+
+
+def watched_cells(cells: DataFrame, cell: str, profiles: DataFrame, regions: str) -> DataFrame:
+    """The fan-out without its pairs: each different cell, a list of region codes, with each different list of regions that watches one of its codes or one above it.
+
+    What all events of a cell have in common is reduced to a row of the cell first, joined here, and reduced to a row of each list of
+    regions; the profiles are joined to that last. So no event is paired with a profile to be counted or ranked.
+    Each cell and list are one row, however many of their codes meet. Empty and null ones give none.
+    """
+    codes = F.array_distinct(F.flatten(F.transform(cell, region_ancestors)))
+    wide = cells.select(cell).distinct().withColumn("__region", F.explode(codes))
+    own = profiles.select(regions).distinct().withColumn("__region", F.explode(regions))
+    return wide.join(own, "__region").select(cell, regions).distinct()
+
+
 def terms_fit(text: Column, include: Column, exclude: Column) -> Column:
     """Some included term (or none asked for) and no excluded one."""
     none = F.size(F.coalesce(include, F.array().cast("array<string>"))) == 0

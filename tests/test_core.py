@@ -71,6 +71,48 @@ def test_regions(spark):
     assert [r.x for r in flags] == [True, True, False, None]
 
 
+def test_watched_cells(spark):
+    """A row for each cell and list of regions, however many of their codes meet."""
+    e = spark.createDataFrame([(["JS-1", "JS-2"],), (["JS-2"],), (["JS-2"],), (["JSX"],), ([],), (None,)], "cell array<string>")
+    p = spark.createDataFrame([("p", ["JS", "JS-1"]), ("q", ["JS-1", "JS", "JS"]), ("r", []), ("s", None), ("t", [None, "JS-2"])], "p string, regions array<string>")
+    p = p.withColumn("regions", match.watched_regions(F.col("regions")))
+    got = sorted((tuple(r.cell), tuple(r.regions)) for r in match.watched_cells(e, "cell", p, "regions").collect())
+    both, two = ("JS", "JS-1"), ("JS-2", None)
+    assert got == sorted([(("JS-1", "JS-2"), both), (("JS-1", "JS-2"), two), (("JS-2",), both), (("JS-2",), two)], key=lambda x: (x[0], x[1][:1]))
+
+
+def test_outbox_counts_without_pairs(spark):
+    """No shuffle of outbox_pending holds a row for each notice and profile."""
+    from sluicework.plans import notices
+
+    spark.sparkContext.setJobGroup("outbox", "outbox")
+    assert sum(r.messages for r in notices.outbox_pending(spark, "/root/testdata/sf0.01").collect()) > 30_000
+    tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("outbox") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)}
+    spark.sparkContext._jsc.clearJobGroup()
+    written = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages]
+    assert 400 <= max(written) < 2_000
+
+
+def test_a_source_of_two_regions(spark, tmp_path):
+    """A notice whose source stands in the registry twice is one message of a profile that watches both regions."""
+    from sluicework.plans import notices
+
+    tables = {
+        "source_registry": [("a", "X-1"), ("a", "X-2"), ("b", "Y")],
+        "user_profile": [("p", ["X-1", "X-2"], 1), ("q", ["X"], 1), ("r", ["Y", "X-2"], 1), ("s", ["Z"], 1)],
+        "notice": [("n1", "a", "new", "甲", 1), ("n2", "a", "new", "甲乙丙", 2), ("n3", "b", "new", "甲乙丙丁", 3)],
+    }
+    names = {"source_registry": "id string, region_code string", "user_profile": "id string, region_codes array<string>, updated_at long", "notice": "id string, source_id string, decision string, title string, last_seen_at long"}
+    for name, rows in tables.items():
+        df = spark.createDataFrame(rows, names[name])
+        if name == "notice":
+            df = df.withColumn("first_seen_at", F.timestamp_seconds(F.lit(1_746_057_600) + F.col("last_seen_at") * 100 + F.when(F.col("id") == "n3", 40_000_000).otherwise(0)))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = sorted((r.profile_id, r.messages, r.failed) for r in notices.outbox_pending(spark, str(tmp_path)).collect())
+    assert got == [("p", 1, 1), ("q", 1, 1), ("r", 2, 1)]
+
+
 def test_diverse_top_k_against_a_loop(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", "c", "", None]), rng.randint(0, 5)) for i in range(40)]
