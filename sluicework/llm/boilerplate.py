@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicework.llm.mojibake import Model, Repairs, fit_model
-from sluicework.session import checkpointed
+from sluicework.session import checkpointed, stored
 
 DEPTH = 64  # lines; longer repeats are seen in parts, each longer than any rule asks for
 
@@ -198,6 +198,7 @@ def with_host_counts(pages: Sequence[Sequence[str]], seen: list[list[tuple[float
 
 SITE, TITLE, BODY = range(3)
 NEITHER, UNKNOWN = -1, -2
+_SPARE = 3  # lines that no other page has, of hosts of few notices
 _SLOTS = 1 << 17
 _HAN = re.compile(f"[{_C}]")
 
@@ -226,8 +227,32 @@ def _gram_slots(masked: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(slots), np.concatenate(lines)
 
 
+def gram_counts(masked: Sequence[str], kind: int, lean: np.ndarray | None = None) -> np.ndarray:
+    """(_SLOTS + 2, 3): in the kind's column how many lines have each gram, and in the last two rows how many lines there are of either half; lean: only
+    of lines whose grams sum up to more than 0. Lines are taken some 100,000 characters at a time.
+    """
+    out, at = np.zeros((_SLOTS + 2, 3), np.int64), 0
+    while at < len(masked):
+        end, size = at + 1, len(masked[at])
+        while end < len(masked) and size + len(masked[end]) <= 100_000:
+            size += len(masked[end])
+            end += 1
+        own = masked[at:end]
+        slots, lines = _gram_slots(own)
+        chosen = np.ones(len(own), bool)
+        if lean is not None:
+            chosen = np.bincount(lines, lean[slots], len(own)) > 0
+            slots, lines = slots[chosen[lines]], lines[chosen[lines]]
+        # A gram counts once for each line that has it. Sorted here: np.unique hashes, which takes twenty times as long.
+        pairs = np.sort(lines * _SLOTS + slots)
+        out[:_SLOTS, kind] += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] % _SLOTS, minlength=_SLOTS)
+        out[_SLOTS:, kind] += np.bincount(_halves(own)[chosen], minlength=2)
+        at = end
+    return out
+
+
 class LineFacts(NamedTuple):
-    """What a line tells by itself: its class (NEITHER where nothing speaks for any, UNKNOWN where the sample had no repeats to learn from), and its forms."""
+    """What a line tells by itself: its class (NEITHER where nothing speaks for any, UNKNOWN where there were no repeats to learn from), and its forms."""
 
     group: int
     shared: bool
@@ -242,7 +267,7 @@ class LineFacts(NamedTuple):
 class LineModel:
     """Log odds of the grams of site lines, titles of notices, and lines of notices."""
 
-    odds: np.ndarray  # (_SLOTS, 3), float32; 0 for what one line of the sample has at most
+    odds: np.ndarray  # (_SLOTS, 3), float32; 0 for what one line has at most
     site: frozenset[str] = frozenset()  # masked lines that the runs of two blocks or more cover
     known: bool = True
 
@@ -254,25 +279,28 @@ class LineModel:
         """
         if not site or not unique:
             return cls(np.zeros((_SLOTS, 3), np.float32), known=False)
-        own = [_gram_slots(x) for x in (list(site), titles, unique)]
-        # A gram counts once for each line that has it.
-        pairs = [np.unique(line * _SLOTS + slot) for slot, line in own]
-        count = lambda p: np.bincount(p % _SLOTS, minlength=_SLOTS).astype(float)
-        sizes = lambda x, kept=slice(None): np.repeat(np.bincount(_halves(x)[kept], minlength=2), _SLOTS // 2)
-        elsewhere = frozenset(x for x, n in site.items() if n > 1)
-        link, model = np.zeros(len(unique), bool), None
-        for _ in range(rounds + 1):
-            of = link[pairs[2] // _SLOTS]
-            counts = np.stack([count(pairs[0]), count(pairs[1]) + count(pairs[2][of]), count(pairs[2][~of])], 1)
-            of_all = np.stack([sizes(list(site)), sizes(titles) + sizes(unique, link), sizes(unique, ~link)], 1)
-            logs = np.log((counts + 0.3) / (of_all + 3))
+        own = [(SITE, list(site)), (TITLE, list(titles)), (BODY, list(unique))]
+        counts = sum((gram_counts(lines, kind) for kind, lines in own), np.zeros((_SLOTS + 2, 3), np.int64))
+        return cls.maximised(counts, lambda lean: gram_counts(own[BODY][1], TITLE, lean), frozenset(x for x, n in site.items() if n > 1), rounds, clip)
+
+    @classmethod
+    def maximised(cls, counts: np.ndarray, links, elsewhere: frozenset[str], rounds: int = 4, clip: float = 1.0) -> LineModel:
+        """From the gram counts of the three kinds of lines; links: from what a gram speaks for a title to the counts, as titles, of those unique lines that read like one."""
+        link, titles = np.zeros_like(counts), counts[_SLOTS:, TITLE].any()
+        for n in range(rounds + 1):
+            of_round = counts + link
+            of_round[:, BODY] -= link[:, TITLE]
+            of_all = np.repeat(of_round[_SLOTS:], _SLOTS // 2, axis=0)
+            logs = np.log((of_round[:_SLOTS] + 0.3) / (of_all + 3))
             odds = np.clip(logs - logs.mean(axis=1, keepdims=True), -clip, clip)
-            odds[counts.sum(axis=1) < 2] = 0  # what one line has tells of that line only
+            odds[of_round[:_SLOTS].sum(axis=1) < 2] = 0  # what one line has tells of that line only
             if not titles:
                 odds[:, TITLE] = -clip
             model = cls(odds.astype(np.float32), elsewhere)
-            scores = model.scores(unique)
-            link = scores[:, TITLE] > scores[:, BODY]
+            if n < rounds:
+                before, link = link, links(model.odds[:, TITLE] - model.odds[:, BODY])
+                if (link == before).all():
+                    break
         return model
 
     def scores(self, masked: Sequence[str]) -> np.ndarray:
@@ -376,49 +404,66 @@ def is_html(content_type: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
 
 
-def fit_lines(rows: DataFrame, totals: DataFrame, titles: DataFrame | None, lines_in, sample_pages: int = 4000, sample_lines: int = 20_000) -> LineModel:
-    """The line model, from blocks of about ``sample_pages`` pages in all, chosen by hash among those of three pages or more,
-    and at most ``sample_lines`` different lines of each kind and titles, those of the least hash. What no other page has
-    is taken from hosts of eight notices or more, unless they have too few such lines.
+def fit_lines(rows: DataFrame, totals: DataFrame, titles: DataFrame | None, lines_in) -> LineModel:
+    """The line model, from every different line of all blocks of three pages or more (smaller ones have no repeats to tell by), and from all titles. What no
+    other page has is taken from hosts of eight notices or more, unless all hosts together have fewer than 500 such lines.
+
+    The lines are written to the shared folder and counted there, once for each round. What reaches the driver are the counts of the grams'
+    slots, whatever the number of lines, and those site lines that two blocks have, as many as sites have.
     """
-    groups = rows.groupBy("host", "block").agg(F.count("*").alias("n")).withColumn("h", F.pmod(F.xxhash64("host", "block"), F.lit(1 << 40)))
-    pages, most = groups.agg(F.sum("n"), F.max("n")).first()
-    if not pages:
-        return LineModel.fit({}, [], [])
-    bound = int(min(1.0, 8 * sample_pages / pages) * (1 << 40)) + 1
-    near = groups.where((F.col("n") >= min(3, most)) & (F.col("h") < bound)).orderBy("h", "host", "block").limit(sample_pages).collect()
-    chosen, taken = [], 0
-    for g in near:
-        if taken < sample_pages:
-            chosen.append((g.host, g.block))
-            taken += g.n
-    if not chosen:
+    most = rows.groupBy("host", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if not most:
         return LineModel.fit({}, [], [])
-    picked = F.broadcast(rows.sparkSession.createDataFrame(chosen, rows.select("host", "block").schema))
+    least = min(3, most)
 
     def examples(group: pd.DataFrame, host_counts: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple[int, str], None] = {}
-        if len(group):
+        if len(group) >= least:
             _, texts, owners = lines_in(group)
-            seen, count = host_repeats(texts, owners, host_counts)
+            masked = masked_forms(texts)
+            seen, count = host_repeats(texts, owners, host_counts, masked)
             for lines, marks in zip(texts, seen):
                 for line, (share, run) in zip(lines, marks):
                     # Runs of two lines or more, so that a head or a date which notices share is no example.
                     if line and (run == 0 or (run >= 2 and share >= 0.3 and covered(share, run, count) and not _NOTICE.search(line))):
-                        out[0 if run else 1 if count >= 8 else 2, _NUMBER.sub("0", line)] = None
+                        out[0 if run else 1 if count >= 8 else 2, masked[line]] = None
         return pd.DataFrame(list(out), columns=["kind", "line"])
 
-    some = rows.join(picked, ["host", "block"]).groupBy("host", "block")
-    kinds = some.cogroup(totals.join(picked, ["host", "block"]).groupBy("host", "block")).applyInPandas(examples, "kind int, line string").groupBy("kind", "line").agg(F.count("*").alias("n"))
-    kinds = checkpointed(kinds.withColumn("h", F.xxhash64("line")))
-    least = lambda df: {r.line: r.n for r in df.orderBy("h", "line").limit(sample_lines).collect()}
-    site, unique = least(kinds.where("kind = 0")), least(kinds.where("kind = 1"))
-    unique = unique if len(unique) >= 500 else unique | least(kinds.where("kind = 2"))
-    names: dict[str, int] = {}
+    kinds = rows.groupBy("host", "block").cogroup(totals.groupBy("host", "block")).applyInPandas(examples, "kind int, line string")
+    kinds = kinds.groupBy("line").agg(F.count_if(F.col("kind") == 0).alias("n"), F.max(F.col("kind") == 1).alias("wide"))
+    lines = kinds.select(F.when(F.col("n") > 0, SITE).when(F.col("wide"), BODY).otherwise(_SPARE).alias("kind"), "line", "n")
     if titles is not None:
         masked = F.regexp_replace(F.trim("__title"), "\\d+", "0").alias("line")
-        names = least(titles.where("__title is not null").select(masked).distinct().where("line <> ''").withColumn("h", F.xxhash64("line")).withColumn("n", F.lit(1)))
-    return LineModel.fit(site, list(names), [x for x in unique if x not in site])
+        names = titles.where("__title is not null").select(masked).distinct().where("line <> ''")
+        lines = lines.unionByName(names.select(F.lit(TITLE).alias("kind"), "line", F.lit(0).cast("bigint").alias("n")))
+    with stored(lines) as lines:
+        held = {r.kind: r["count"] for r in lines.groupBy("kind").count().collect()}
+        if held.get(BODY, 0) < 500:
+            lines = lines.withColumn("kind", F.when(F.col("kind") == _SPARE, BODY).otherwise(F.col("kind")))
+            held[BODY] = held.get(BODY, 0) + held.get(_SPARE, 0)
+        if not held.get(SITE) or not held.get(BODY):
+            return LineModel.fit({}, [], [])
+        elsewhere = frozenset(r.line for r in lines.where((F.col("kind") == SITE) & (F.col("n") > 1)).select("line").collect())
+        unique = lines.where(F.col("kind") == BODY)
+        return LineModel.maximised(_gram_counts_of(lines.where(F.col("kind") != _SPARE)), lambda lean: _gram_counts_of(unique, lean), elsewhere)
+
+
+def _gram_counts_of(lines: DataFrame, lean: np.ndarray | None = None) -> np.ndarray:
+    """``gram_counts`` of a table of lines by their kinds, or of those that lean to titles, as titles."""
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((_SLOTS + 2, 3), np.int64)
+        for batch in batches:
+            for kind, own in batch.groupby("kind")["line"]:
+                sums += gram_counts(own.tolist(), int(kind) if lean is None else TITLE, lean)
+        flat = sums.ravel()
+        k = np.flatnonzero(flat)
+        yield pd.DataFrame({"k": k, "n": flat[k]})
+
+    counts = lines.select("kind", "line").mapInPandas(tally, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros((_SLOTS + 2) * 3, np.int64)
+    out[counts["k"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    return out.reshape(-1, 3)
 
 
 def host_repeats(texts: Sequence[Sequence[str]], owners: Sequence[object], host_counts: pd.DataFrame, masked: dict[str, str] | None = None) -> tuple[list[list[tuple[float, int]]], int]:
@@ -446,7 +491,7 @@ def main_lines(
     blocks of about that size, so no task holds a whole large host. How many notices of the host have a
     line, or two lines in a row, is summed over its blocks and joined back to each, so a page is judged by
     the whole host. A page without a notice is an owner of its own; a notice of more than ``block_pages`` pages is split by page, and
-    counted once. The lists of such hosts and notices have at most a row for every ``block_pages`` pages. The models are fitted on bounded samples (``fit_lines``, ``fit_model``).
+    counted once. The lists of such hosts and notices have at most a row for every ``block_pages`` pages. The line model is fitted on all lines (``fit_lines``); of the garbling model, the pairs' emissions come from a bounded sample (``fit_model``).
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(key).alias("k"), F.col(text).alias("t"), host.alias("host"), F.col(owner).alias("o")).where("t is not null and t <> ''")

@@ -110,3 +110,22 @@ def test_whole_host_decides(spark):
     parts = {(r.id, r.line_no) for r in main_lines(df, "id", "t", "url", "notice", block_pages=2).collect()}
     assert parts == whole
     assert not {("p0", 2), ("p0", 3), ("p20", 2), ("p20", 3)} & parts and ("p1", 2) in parts
+
+
+def test_the_line_model_learns_from_all_lines(spark, monkeypatch):
+    """30,000 different lines that no other page has, on more pages than any sample took: each counts, and so do all titles."""
+    from sluicework.llm import boilerplate
+
+    fitted = []
+    maximised = boilerplate.LineModel.maximised.__func__
+    monkeypatch.setattr(boilerplate.LineModel, "maximised", classmethod(lambda cls, counts, *args: fitted.append(counts) or maximised(cls, counts, *args)))
+    own = lambda n: "".join(NAMES[n // 39**k % 39] for k in range(4))
+    rows = [(f"p{n}", f"https://h{n % 5}.example/", f"机构概况 | 下载中心\n网站地图 | 收藏\n" + "\n".join(f"甲{own(n * 5 + k)}乙" for k in range(5)), f"n{n}") for n in range(6000)]
+    df = spark.createDataFrame(rows, "id string, url string, t string, notice string").repartition(8)
+    titles = spark.range(21_000).rdd.map(lambda r: (f"n{r.id}", "公告" + own(r.id))).toDF("id string, title string")
+    main_lines(df, "id", "t", "url", "notice", titles=titles).count()
+    assert fitted[0][boilerplate._SLOTS :].sum(axis=0).tolist() == [2, 21_000, 30_000]
+    # The table's counts are those of the lines at once.
+    lines = [x for r in rows[:300] for x in r[2].split("\n")[2:]]
+    table = spark.createDataFrame([(boilerplate.BODY, x) for x in lines], "kind int, line string")
+    assert (boilerplate._gram_counts_of(table) == boilerplate.gram_counts(lines, boilerplate.BODY)).all()
