@@ -65,10 +65,11 @@ def test_class_rows(spark):
     assert got == {str(n): (str(n // 3 * 3), 0 if n > 5 else 1) for n in range(9)}
 
 
-def test_nothing_unbounded_is_broadcast(spark):
+def test_nothing_unbounded_is_broadcast(spark, tmp_path):
     """However small Spark takes the tables for, only the bitmap of fixed size is broadcast."""
     df = spark.createDataFrame([("a", "甲乙丙丁戊己庚辛壬癸"), ("b", "甲乙丙丁戊己庚辛壬子")], "id string, t string")
-    pairs, members = similar_classes(df, "id", "t", 3, 0.6)
+    df.write.parquet(f"{tmp_path}/t")
+    pairs, members = similar_classes(spark.read.parquet(f"{tmp_path}/t"), "id", "t", 3, 0.6)
     for out in (id_pairs(pairs, members), class_rows(pairs, members)):
         joins = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x or "BroadcastNestedLoopJoin" in x]
         assert joins and all("__part" in x for x in joins), joins
