@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluicework.session import checkpointed
+
 
 def in_region(code: Column, wanted: Column) -> Column:
     """Equal, or below: no LIKE, as codes hold its wildcards."""
@@ -24,9 +26,43 @@ def region_fanout(events: DataFrame, code: str, profiles: DataFrame, regions: st
     profile once and nothing need be made distinct afterwards; repeated events stay repeated.
     """
     wide = events.withColumn("__region", F.explode(F.array_distinct(region_ancestors(F.col(code)))))
+    return wide.join(profiles.withColumn("__region", F.explode(_top_regions(regions))), "__region").drop("__region")
+
+
+def _top_regions(regions: str) -> Column:
+    """The different regions of a list without those below another of them."""
     own = F.array_distinct(regions)
-    tops = F.filter(own, lambda r: r.isNotNull() & ~F.exists(own, lambda s: F.coalesce(r.startswith(F.concat(s, F.lit("-"))), F.lit(False))))
-    return wide.join(profiles.withColumn("__region", F.explode(tops)), "__region").drop("__region")
+    return F.filter(own, lambda r: r.isNotNull() & ~F.exists(own, lambda s: F.coalesce(r.startswith(F.concat(s, F.lit("-"))), F.lit(False))))
+
+
+def region_pairs(events: DataFrame, event: str, code: str, profiles: DataFrame, profile: str, regions: str, side: int = 12_288) -> DataFrame:
+    """The fan-out's pairs of ids, where a region may have any number of either: the rows of ``region_fanout``, only the two columns.
+
+    The events and the profiles of a region are split by a hash of their ids into blocks of about ``side``, and each pair of blocks is a
+    tile, which is a task of its own, so no task has more than about side x side pairs however many watch one region. A tile
+    takes its ids in chunks, 16 events with 256 profiles at a time, as rows in such an order are written in a
+    fraction of the bytes; 12,288 ids of 64 characters fit a dictionary of Parquet (1 MB). An id is shuffled once for each block
+    that its own meets. The numbers of events and profiles of each region are counted first.
+    """
+    left = events.select(F.col(event).alias("__id"), F.explode(F.array_distinct(region_ancestors(F.col(code)))).alias("__region"))
+    right = profiles.select(F.col(profile).alias("__id"), F.explode(_top_regions(regions)).alias("__region"))
+    held = left.groupBy("__region").agg(F.count("*").alias("l")).join(right.groupBy("__region").agg(F.count("*").alias("r")), "__region")
+    held = held.select("__region", F.ceil(F.col("l") / side).alias("l"), F.ceil(F.col("r") / side).alias("r"))
+    # As many rows as regions.
+    held = checkpointed(held.withColumn("first", F.sum(F.col("l") * F.col("r")).over(Window.orderBy("__region")) - F.col("l") * F.col("r")))
+    tiles = held.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 1
+
+    def chunks(ids: DataFrame, own: str, other: str, name: str, size: int) -> DataFrame:
+        blocks = ids.join(held, "__region").withColumn("__block", F.pmod(F.xxhash64("__id"), F.col(own)))
+        # In structs, as a list would lose ids that are null.
+        blocks = blocks.groupBy("__region", "first", "l", "r", "__block").agg(F.collect_list(F.struct("__id"))["__id"].alias("ids"))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / size)), lambda k: F.slice("ids", (k * size + 1).cast("int"), size))
+        met = blocks.select("first", "l", "r", "__block", F.explode(cut).alias(name)).withColumn("__met", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)))
+        at = F.col("__block") * F.col("r") + F.col("__met") if own == "l" else F.col("__met") * F.col("r") + F.col("__block")
+        return met.select((F.col("first") + at).cast("int").alias("__tile"), name).repartitionById(tiles, F.col("__tile"))
+
+    met = chunks(left, "l", "r", event, 16).hint("merge").join(chunks(right, "r", "l", profile, 256), "__tile")
+    return met.select(F.explode(event).alias(event), profile).select(event, F.explode(profile).alias(profile))
 
 
 def watched_regions(regions: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluicework.functions import text as tx
 from sluicework.functions import urls
 from sluicework.operators import catalog, health, match, topk, triage, validate, versions
+from sluicework.plans import notices
 
 P = triage.Policy(include=("招聘", ""), exclude=("培训",), workflow=("公告",), process=("面试",))
 
@@ -71,6 +72,28 @@ def test_regions(spark):
     assert [r.x for r in flags] == [True, True, False, None]
 
 
+def test_region_pairs_of_a_hot_region(spark):
+    """The pairs of region_fanout, repeated and null ids too; no task has more than a few of a region that all watch."""
+    e = spark.createDataFrame([(f"e{i}" if i else None, f"JS-{i % 3}") for i in range(90)] + [("e1", "JS-1"), ("x", "K"), ("y", None)], "e string, code string")
+    p = spark.createDataFrame([(f"p{i}" if i else None, [["JS"], ["JS", "JS-1"], ["JS-2", "K"]][i % 3]) for i in range(120)] + [("q", []), ("r", None)], "p string, regions array<string>")
+    got = match.region_pairs(e, "e", "code", p, "p", "regions", side=20)
+    pairs = sorted(map(str, got.collect()))
+    assert pairs == sorted(map(str, match.region_fanout(e, "code", p, "regions").select("e", "p").collect())) and len(pairs) > 7000
+    shares = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in shares) < len(pairs) / 8
+
+
+def test_event_fanout_spreads_a_region(spark, tmp_path):
+    """A region that everyone watches is more than one task, however few bytes its ids are."""
+    ids = spark.range(13_000).select(F.sha2(F.col("id").cast("string"), 256).alias("id"))
+    at = F.lit("2025-01-01").cast("timestamp")
+    ids.select("id", F.lit("s").alias("source_id"), at.alias("last_seen_at")).write.parquet(f"{tmp_path}/notice.parquet")
+    ids.limit(300).select("id", F.array(F.lit("JS")).alias("region_codes"), at.alias("updated_at")).write.parquet(f"{tmp_path}/user_profile.parquet")
+    spark.createDataFrame([("s", "JS-1")], "id string, region_code string").write.parquet(f"{tmp_path}/source_registry.parquet")
+    shares = notices.event_fanout(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in shares) == 3_900_000 and max(r["count"] for r in shares) < 0.6 * 3_900_000
+
+
 def test_watched_cells(spark):
     """A row for each cell and list of regions, however many of their codes meet."""
     e = spark.createDataFrame([(["JS-1", "JS-2"],), (["JS-2"],), (["JS-2"],), (["JSX"],), ([],), (None,)], "cell array<string>")
