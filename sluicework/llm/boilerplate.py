@@ -18,6 +18,8 @@ import re
 import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
+from operator import add
 from typing import NamedTuple
 
 import numpy as np
@@ -35,21 +37,35 @@ _NUMBER = re.compile(r"\d+")
 _C = "一-鿿"
 # Forms of lines that notices share: numbering, labels, dates, file names, remarks, steps to be clicked through.
 _NUMBERED = r"^(?:[（(][一二三四五六七八九十]{1,3}[）)]|[一二三四五六七八九十]{1,3}、|\d{1,2}[.、．])\s*\S"
-_NOTICE = re.compile(
+_SHORT = (
     rf"{_NUMBERED}|^.{{0,4}}(?:联\S{{0,3}}人|附\S?件|下载|咨询电话|联系电话|报名网址|咨询方式|监督电话|电子邮箱)\s*[:：]"
     rf"|^[\d{_C}]{{2,6}}年.{{0,2}}\d{{1,2}}.{{0,2}}月.{{1,7}}$"
-    rf"|\.(?:xlsx?|docx?|pdf|zip|rar)$"
     rf"|^[（(](?:此件|此文|主动|依申请|本件).*[）)]$"
-    rf"|^(?!.{{0,6}}(?:首页|位置)).+\s[>＞»→]\s.+"
 )
+_FILE = r"\.(?:xlsx?|docx?|pdf|zip|rar)$"
+_PATH = r"^(?!.{0,6}(?:首页|位置)).+\s[>＞»→]\s.+"
+_NOTICE = re.compile(f"{_SHORT}|{_FILE}|{_PATH}")
+# The same in parts: a line's start is looked at once, its whole only where it has what the form needs.
+_SHORT, _FILE, _PATH, _ARROW = re.compile(_SHORT), re.compile(_FILE), re.compile(_PATH), re.compile("[>＞»→]")
 _NUMBERED = re.compile(_NUMBERED)
 _DATE = re.compile(rf"^[\d{_C}]{{2,6}}年.{{0,2}}\d{{1,2}}.{{0,2}}月.{{1,7}}$")
 _SIGNED = re.compile(rf"^[{_C}（）()]{{4,30}}(?:院|中心|所|站|处|馆|校|局|会|队|室|厂|公司|大学|部|办|委|厅|署|社)$")
+_SIGNERS = frozenset("院心所站处馆校局会队室厂司学部办委厅署社")  # the last signs of these
 # Forms of the few lines that a site puts between those of a notice.
 _BETWEEN = re.compile(r"^第\s*\d+\s*页|展开全文|推广\s*——|公众(?:服务)?号")
 _BULLET = re.compile(r"^(?:[▪·•●■◆※»>]|\d{1,2}\s(?!\d))\s*|\[\d{2}-\d{2}\]$")
 
 
+def _in_notices(line: str) -> bool:
+    """Whether _NOTICE is found in a line that isn't blank."""
+    return bool(_SHORT.match(line)) or ("." in line[-5:] and bool(_FILE.search(line))) or (_ARROW.search(line) is not None and bool(_PATH.match(line)))
+
+
+def _is_between(line: str) -> bool:
+    """Whether _BETWEEN is found in a line that isn't blank."""
+    return (line[0] == "第" or "展开" in line or "推广" in line or "公众" in line) and bool(_BETWEEN.search(line))
+
+
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of an integer stream up to DEPTH tokens, and the common length of each suffix with the one before."""
     n = len(tokens)
@@ -75,37 +91,35 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, common
 
 
+def _least_so_far(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least of the values from the start of each stretch on; values are from 0 up to twice DEPTH."""
+    # Each stretch lies below all of the stretches before.
+    drop = np.repeat(np.arange(len(sizes)) * (2 * DEPTH + 1), sizes)
+    return np.minimum.accumulate(values - drop) + drop
+
+
 def repeats(pages: Sequence[Sequence[str]], owners: Sequence[object], masked: dict[str, str] | None = None) -> list[list[tuple[float, int]]]:
     """Of each line of each page: share of the owners that have it, and lines of the longest run around it that another owner has too."""
     masked = masked or masked_forms(pages)
     ids: dict[str, int] = {}
-    stream, where, owner_of = [], [], []
+    stream, owner_of = [], []
     numbers = {o: n for n, o in enumerate(dict.fromkeys(owners))}
+    number_of = {x: ids.setdefault(m, len(ids)) for x, m in masked.items()}
     for p, lines in enumerate(pages):
-        for k, line in enumerate(lines):
-            if line:
-                stream.append(ids.setdefault(masked[line], len(ids)))
-                where.append((p, k))
-                owner_of.append(numbers[owners[p]])
+        full = [number_of[x] for x in lines if x]
+        stream += full
         stream.append(-1 - p)  # ends a page; unlike any other token
-        where.append((p, -1))
-        owner_of.append(numbers[owners[p]])
-    out = [[(0.0, 0)] * len(lines) for lines in pages]
-    tokens, owner = np.array(stream, np.int64), np.array(owner_of, np.int64)
-    if not len(tokens):
-        return out
+        owner_of.append(len(full) + 1)
+    if not stream:
+        return []
+    tokens, owner = np.array(stream, np.int64), np.repeat(np.array([numbers[o] for o in owners], np.int64), owner_of)
     order, common = suffix_array(tokens)
-    own, length = owner[order].tolist(), common.tolist()
+    own, length = owner[order], common
+    # Of each stretch of suffixes of one owner in a row, the common length with the other owner's suffix before it, and behind it, falls to the least on the way.
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    sizes = np.diff(np.append(first, len(own)))
     run = np.zeros(len(tokens), np.int64)
-    for direction in (1, -1):
-        positions = range(len(order)) if direction == 1 else range(len(order) - 1, -1, -1)
-        last, near, other = -1, 0, 0  # owner before; common length with its suffix; with the nearest of another owner
-        for s in positions:
-            step = length[s] if direction == 1 else (length[s + 1] if s + 1 < len(order) else 0)
-            other = min(other, step) if own[s] == last else step
-            last = own[s]
-            if other > run[order[s]]:
-                run[order[s]] = other
+    run[order] = np.maximum(_least_so_far(length, sizes), _least_so_far(np.append(length[1:], 0)[::-1], sizes[::-1])[::-1])
     # A run covers the lines that follow; each line takes the longest that covers it.
     longest = run.tolist()
     reach = left = 0
@@ -115,12 +129,12 @@ def repeats(pages: Sequence[Sequence[str]], owners: Sequence[object], masked: di
         if r > left:
             left = reach = r
         cover.append(reach if left else 0)
-    pairs = np.unique(np.stack([tokens, owner], axis=1), axis=0)
-    held = dict(zip(*np.unique(pairs[:, 0], return_counts=True)))
-    for (p, k), t, c in zip(where, stream, cover):
-        if k >= 0:
-            out[p][k] = (held[t] / len(numbers), c)
-    return out
+    lines_held = tokens >= 0
+    pairs = np.sort(tokens[lines_held] * len(numbers) + owner[lines_held])
+    held = np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] // len(numbers), minlength=len(ids))
+    share = (held / len(numbers)).tolist()
+    marks = ((share[t], c) for t, c in zip(stream, cover) if t >= 0)
+    return [[next(marks) if x else (0.0, 0) for x in lines] for lines in pages]
 
 
 #: Token under which a block's number of owners is counted; no line holds a line feed.
@@ -322,10 +336,14 @@ class LineModel:
         else:
             best = np.full(len(different), UNKNOWN)
         of = dict(zip(different, best.tolist()))
-        return {
-            x: LineFacts(of[m], bool(_NOTICE.search(x)), bool(_NUMBERED.search(x)), bool(_BETWEEN.search(x)), bool(_SIGNED.search(x)), bool(_DATE.search(x)), _BULLET.sub("", x) == x)
-            for x, m in masked.items()
-        }
+        # A numbered line and a date are of a notice's forms, so they are looked for only there; what reads like no title isn't asked for its bullet.
+        out = {}
+        for x, m in masked.items():
+            shared = _in_notices(x)
+            out[x] = LineFacts(
+                of[m], shared, shared and bool(_NUMBERED.match(x)), _is_between(x), x[-1] in _SIGNERS and bool(_SIGNED.search(x)), shared and bool(_DATE.match(x)), of[m] != TITLE or _BULLET.sub("", x) == x
+            )
+        return out
 
 
 def masked_forms(pages: Sequence[Sequence[str]]) -> dict[str, str]:
@@ -389,14 +407,16 @@ def headline(lines: Sequence[str], kinds: Sequence[str], title: str | None) -> i
     return best[1] if best else None
 
 
-def _grams(text: str) -> set[str]:
+@lru_cache(4096)
+def _grams(text: str) -> frozenset[str]:
     text = "".join(unicodedata.normalize("NFKC", text).split()).lower()
-    return {text[i : i + 2] for i in range(len(text) - 1)}
+    return frozenset(map(add, text, text[1:]))
 
 
 def title_likeness(line: str, title: str | None) -> float:
     a, b = _grams(line), _grams(title or "")
-    return len(a & b) / len(a | b) if a and b else 0.0
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a and b else 0.0
 
 
 def is_html(content_type: Column) -> Column:
@@ -425,7 +445,7 @@ def fit_lines(rows: DataFrame, totals: DataFrame, titles: DataFrame | None, line
             for lines, marks in zip(texts, seen):
                 for line, (share, run) in zip(lines, marks):
                     # Runs of two lines or more, so that a head or a date which notices share is no example.
-                    if line and (run == 0 or (run >= 2 and share >= 0.3 and covered(share, run, count) and not _NOTICE.search(line))):
+                    if line and (run == 0 or (run >= 2 and share >= 0.3 and covered(share, run, count) and not _in_notices(line))):
                         out[0 if run else 1 if count >= 8 else 2, masked[line]] = None
         return pd.DataFrame(list(out), columns=["kind", "line"])
 
@@ -510,7 +530,8 @@ def main_lines(
         """Lines as they are, lines restored and stripped, and owners."""
         raw = [t.split("\n") for t in group["t"]]
         fixed = Repairs(sent.value).of([x for lines in raw for x in lines])
-        texts = [[(fixed[x][0] if x in fixed else x).strip().strip("\ufeff").strip() for x in lines] for lines in raw]
+        bare = {x: (fixed[x][0] if x in fixed else x).strip().strip("\ufeff").strip() for x in dict.fromkeys(x for lines in raw for x in lines)}
+        texts = [[bare[x] for x in lines] for lines in raw]
         return raw, texts, [("page", k) if pd.isna(o) else ("notice", o) for k, o in zip(group["k"], group["o"])]
 
     def count_owners(group: pd.DataFrame) -> pd.DataFrame:

@@ -183,28 +183,51 @@ class Model:
 
     def spans(self, line: str) -> list[tuple[int, int, int, np.ndarray]]:
         """Viterbi: (start, end, number of the chain, gain of each chain) of each span that isn't clean."""
-        points = code_points(line)
-        keys = keys_of(points, np.zeros(1, np.int64), self.classes)
-        g = self.gains[keys // _N, self.slot[points]].astype(np.float64)
-        clean, other = 0.0, np.full(len(CHAINS), -np.inf)
-        entered = np.zeros((len(points), len(CHAINS)), bool)
-        left = np.full(len(points) + 1, -1)
-        for t, (own, mark) in enumerate(zip(g, entered)):  # in place, as this loop is most of the work
-            fresh = clean - self.enter
-            np.less_equal(other, fresh, out=mark)
-            k = int(other.argmax())
-            after = other.item(k) - self.leave
-            if after > clean:
-                clean, left[t] = after, k
-            np.maximum(other, fresh, out=other)
-            other += own
-        k = int(other.argmax())
-        state = k if other[k] - self.leave > clean else -1
-        out, t, end = [], len(points), len(points)
+        return next(self.spans_of([line]))[1]
+
+    def spans_of(self, lines: Sequence[str]) -> Iterator[tuple[int, list[tuple[int, int, int, np.ndarray]]]]:
+        """Each line's place with its spans, longest first: lines of like length take each step at once, some 20,000 characters at a time."""
+        order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
+        at = 0
+        while at < len(order):
+            end = at + max(1, 20_000 // max(1, len(lines[order[at]])))
+            yield from zip(order[at:end], self._labelled([lines[i] for i in order[at:end]]))
+            at = end
+
+    def _labelled(self, lines: Sequence[str]) -> list[list[tuple[int, int, int, np.ndarray]]]:
+        """The spans of lines in falling order of length."""
+        points, starts, lengths = _flat(lines)
+        keys = keys_of(points, starts, self.classes)
+        g = np.zeros((lengths[0], len(lines), len(CHAINS)))
+        row = np.repeat(np.arange(len(lines)), lengths)
+        g[np.arange(len(points)) - starts[row], row] = self.gains[keys // _N, self.slot[points]]
+        clean, other = np.zeros(len(lines)), np.full((len(lines), len(CHAINS)), -np.inf)
+        entered = np.zeros(g.shape, bool)
+        left = np.full((lengths[0] + 1, len(lines)), -1)
+        # How many lines are longer than so many characters.
+        longer = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left").tolist()
+        rows = np.arange(len(lines))
+        for t, n in enumerate(longer):
+            own, fresh = other[:n], clean[:n] - self.enter
+            np.less_equal(own, fresh[:, None], out=entered[t, :n])
+            k = own.argmax(axis=1)
+            after = own[rows[:n], k] - self.leave
+            better = after > clean[:n]
+            left[t, :n][better] = k[better]
+            clean[:n][better] = after[better]
+            np.maximum(own, fresh[:, None], out=own)
+            own += g[t, :n]
+        last = other.argmax(axis=1)
+        last = np.where(other[rows, last] - self.leave > clean, last, -1).tolist()
+        return [self._traced(g[:size, i], entered[:size, i], left[: size + 1, i].tolist(), last[i]) for i, size in enumerate(lengths.tolist())]
+
+    @staticmethod
+    def _traced(g: np.ndarray, entered: np.ndarray, left: list[int], state: int) -> list[tuple[int, int, int, np.ndarray]]:
+        out, t, end = [], len(g), len(g)
         while t > 0:
             if state < 0:
-                if left[t] >= 0 and t < len(points):
-                    state, end = int(left[t]), t
+                if left[t] >= 0 and t < len(g):
+                    state, end = left[t], t
                     continue
                 t -= 1
             else:
@@ -212,8 +235,8 @@ class Model:
                 if entered[t, state]:
                     out.append((t, end, state, g[t:end].sum(axis=0)))
                     state = -1
-                    if left[t] >= 0 and t < len(points) and t > 0:
-                        state, end = int(left[t]), t
+                    if left[t] >= 0 and t < len(g) and t > 0:
+                        state, end = left[t], t
         return out[::-1]
 
     def restore(self, span: str, chain: int) -> tuple[str | None, bool]:
@@ -265,17 +288,17 @@ class Model:
             if x := self._undone(line, first, last, k, float(gains[k])):
                 yield x
 
-    def is_garbled(self, line: str) -> bool:
+    def is_garbled(self, line: str, spans: Sequence[tuple] | None = None) -> bool:
         """Whether ``repaired`` finds a span; none is restored but for the first that tells."""
-        return any(True for span in self.spans(line) for _ in self._tries(line, *span))
+        return any(True for span in (self.spans(line) if spans is None else spans) for _ in self._tries(line, *span))
 
-    def repaired(self, line: str) -> tuple[str, int, int]:
+    def repaired(self, line: str, spans: Sequence[tuple] | None = None) -> tuple[str, int, int]:
         """(text with spans restored where possible, number of garbled spans, of those restored whole).
 
         What no state undoes at once is restored in rounds, as long as a round makes the text shorter.
         """
         out, at, found, whole = [], 0, 0, 0
-        for span in self.spans(line):
+        for span in self.spans(line) if spans is None else spans:
             chosen = None  # the first that is whole, else the first; none is tried behind a whole one
             for x in self._tries(line, *span):
                 chosen = x if chosen is None or x[3] else chosen
@@ -330,7 +353,8 @@ def _counted(pieces: DataFrame, model: Model | None = None) -> tuple[np.ndarray,
             own, n = batch["p"].tolist(), batch["n"].to_numpy()
             if sent.value is not None:
                 bare = [x[1:] if x[:1] == "\n" else x for x in own]
-                bad = [i for i in sent.value.suspects(bare) if sent.value.is_garbled(bare[i])]
+                doubted = sent.value.suspects(bare)
+                bad = sorted(doubted[j] for j, spans in sent.value.spans_of([bare[i] for i in doubted]) if sent.value.is_garbled(bare[doubted[j]], spans))
                 own, n = [own[i] for i in bad], n[bad]
             if len(own):
                 k, w = _tally_pieces(own, _weights(n))
@@ -357,10 +381,11 @@ class Repairs:
         if len(self.known) > self.most:
             self.known.clear()
         out = {}
-        for i in self.model.suspects(different):
-            line = different[i]
-            if line not in self.known:
-                self.known[line] = self.model.repaired(line)
+        doubted = [different[i] for i in self.model.suspects(different)]
+        fresh = [x for x in doubted if x not in self.known]
+        for i, spans in self.model.spans_of(fresh):
+            self.known[fresh[i]] = self.model.repaired(fresh[i], spans)
+        for line in doubted:
             if self.known[line][1]:
                 out[line] = self.known[line]
         return out

@@ -129,3 +129,14 @@ def test_the_line_model_learns_from_all_lines(spark, monkeypatch):
     lines = [x for r in rows[:300] for x in r[2].split("\n")[2:]]
     table = spark.createDataFrame([(boilerplate.BODY, x) for x in lines], "kind int, line string")
     assert (boilerplate._gram_counts_of(table) == boilerplate.gram_counts(lines, boilerplate.BODY)).all()
+
+
+def test_forms_in_parts():
+    """Looked at in parts, a line has the same forms as by the whole patterns."""
+    from sluicework.llm import boilerplate as b
+
+    lines = ["一、总则", "（二）条件", "3.报名", "附件：表", "表.xlsx", "表.xlsx附", "二〇二五年三月一日", "（此件公开）", "首页 > 公告", "招聘 > 公告", "a→b", "第 3 页", "请展开全文", "推广 —— x", "公众号", "某某市人事局", "第", "."]
+    assert [b._in_notices(x) for x in lines] == [bool(b._NOTICE.search(x)) for x in lines]
+    assert [b._is_between(x) for x in lines] == [bool(b._BETWEEN.search(x)) for x in lines]
+    facts = b.LineModel.fit({}, [], []).facts({x: x for x in lines})
+    assert [(f.numbered, f.signed, f.dated) for f in facts.values()] == [(bool(b._NUMBERED.search(x)), bool(b._SIGNED.search(x)), bool(b._DATE.search(x))) for x in lines]

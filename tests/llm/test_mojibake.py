@@ -107,3 +107,19 @@ def test_no_more_is_undone_than_tells(fitted, monkeypatch):
         most = len(whole)
         whole.clear()
         assert model.is_garbled(line) == (found > 0) and len(whole) <= most
+
+
+def test_lines_are_labelled_together(fitted, monkeypatch):
+    """Lines of all lengths at once have the spans that each has alone, and are found in a few steps, not one after the other."""
+    df, model = fitted
+    rng = random.Random(7)
+    lines = list(dict.fromkeys(x for r in df.limit(200).collect() if r.extracted_text for x in r.extracted_text.split("\n") if len(x) > 12 and not x.isascii()))
+    bad = [garble(x, rng.choice(MAIN)) for x in lines[:300]] + ["", "x", "\U0001f600"]
+    plain = lambda spans: [(start, end, chain, gains.tolist()) for start, end, chain, gains in spans]
+    alone = [plain(model.spans(x)) for x in bad]
+    assert [s for _, s in sorted((i, plain(s)) for i, s in model.spans_of(bad))] == alone and sum(map(bool, alone)) > 250
+    calls, keys_of = [], mojibake.keys_of
+    monkeypatch.setattr(mojibake, "keys_of", lambda *a: calls.append(1) or keys_of(*a))
+    monkeypatch.setattr(mojibake.Model, "repaired", lambda self, line, *spans: (line, 1, 1))
+    mojibake.Repairs(model).of(bad)
+    assert len(calls) < 30
