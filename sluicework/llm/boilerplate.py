@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluicework.llm.mojibake import Model, Repairs, fit_model
-from sluicework.session import checkpointed, stored
+from sluicework.session import checkpointed, kept, stored
 
 DEPTH = 64  # lines; longer repeats are seen in parts, each longer than any rule asks for
 
@@ -212,6 +212,7 @@ def with_host_counts(pages: Sequence[Sequence[str]], seen: list[list[tuple[float
 
 SITE, TITLE, BODY = range(3)
 NEITHER, UNKNOWN = -1, -2
+_JUDGED = 1000  # pages that are judged at once, which looks at a line of several of them once
 _SPARE = 3  # lines that no other page has, of hosts of few notices
 _SLOTS = 1 << 17
 _HAN = re.compile(f"[{_C}]")
@@ -221,47 +222,73 @@ def _halves(masked: Sequence[str]) -> np.ndarray:
     return np.array([_HAN.search(x) is not None for x in masked], np.int64)
 
 
+def _portions(masked: Sequence[str]) -> Iterator[tuple[int, int]]:
+    """Borders of lines of some 100,000 characters together, and of so few that a line's number and a slot fill 32 bits."""
+    at = 0
+    while at < len(masked):
+        end, size = at + 1, len(masked[at])
+        while end < len(masked) and end < at + 16_000 and size + len(masked[end]) <= 100_000:
+            size += len(masked[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def _gram_slots(masked: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the grams of one to three characters of each line with its borders, and the line of each.
+    """Slots of the grams of one to three characters that begin at each character of the lines with their borders, _SLOTS where the line ends before
+    the gram does, and how many characters each line has.
 
     Lines with Chinese characters and others have slots of their own, since what sets the lines of a site apart from a
     notice's in one is but the language in the other.
     """
     flat = "".join(f"\2{x}\3" for x in masked)
     points = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    line = np.repeat(np.arange(len(masked)), [len(x) + 2 for x in masked])
-    half = _halves(masked).astype(np.uint64) << np.uint64(16)
-    slots, lines, h = [], [], np.zeros(len(points), np.uint64)
+    sizes = np.fromiter(map(len, masked), np.int64, len(masked)) + 2
+    last = np.cumsum(sizes) - 1
+    half = np.repeat(_halves(masked).astype(np.uint64) << np.uint64(16), sizes)
+    slots, h = np.full((3, len(points)), _SLOTS, np.int64), np.zeros(len(points), np.uint64)
     for k in range(3):
-        h = h[: len(points) - k] * np.uint64(0xC2B2AE3D27D4EB4F) + points[k:] + np.uint64(k + 1)
-        inside = line[: len(h)] == line[k:]
-        mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        slots.append(((mixed >> np.uint64(48)) | half[line[: len(h)]])[inside].astype(np.int64))
-        lines.append(line[: len(h)][inside])
-    return np.concatenate(slots), np.concatenate(lines)
+        h = h[: max(0, len(points) - k)] * np.uint64(0xC2B2AE3D27D4EB4F)
+        h += points[k:]
+        h += np.uint64(k + 1)
+        mixed = h >> np.uint64(29)
+        mixed ^= h
+        mixed *= np.uint64(0xBF58476D1CE4E5B9)
+        mixed >>= np.uint64(48)
+        mixed |= half[: len(h)]
+        slots[k, : len(h)] = mixed
+        for before in range(k):
+            slots[k, last - before] = _SLOTS
+    return slots, sizes
+
+
+def _line_sums(of_slot: np.ndarray, slots: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each line the sum of what its grams have; of_slot: for _SLOTS slots."""
+    of_slot = np.append(of_slot, 0.0)  # float64, which holds a line's sum of float32 exactly
+    sums = of_slot[slots[0]]
+    sums += of_slot[slots[1]]
+    sums += of_slot[slots[2]]
+    return np.add.reduceat(sums, np.cumsum(sizes) - sizes)
 
 
 def gram_counts(masked: Sequence[str], kind: int, lean: np.ndarray | None = None) -> np.ndarray:
     """(_SLOTS + 2, 3): in the kind's column how many lines have each gram, and in the last two rows how many lines there are of either half; lean: only
-    of lines whose grams sum up to more than 0. Lines are taken some 100,000 characters at a time.
+    of lines whose grams sum up to more than 0.
     """
-    out, at = np.zeros((_SLOTS + 2, 3), np.int64), 0
-    while at < len(masked):
-        end, size = at + 1, len(masked[at])
-        while end < len(masked) and size + len(masked[end]) <= 100_000:
-            size += len(masked[end])
-            end += 1
+    out = np.zeros((_SLOTS + 2, 3), np.int64)
+    for at, end in _portions(masked):
         own = masked[at:end]
-        slots, lines = _gram_slots(own)
-        chosen = np.ones(len(own), bool)
+        slots, sizes = _gram_slots(own)
         if lean is not None:
-            chosen = np.bincount(lines, lean[slots], len(own)) > 0
-            slots, lines = slots[chosen[lines]], lines[chosen[lines]]
+            chosen = _line_sums(lean, slots, sizes) > 0
+            slots, sizes, own = slots[:, np.repeat(chosen, sizes)], sizes[chosen], [x for x, c in zip(own, chosen.tolist()) if c]
         # A gram counts once for each line that has it. Sorted here: np.unique hashes, which takes twenty times as long.
-        pairs = np.sort(lines * _SLOTS + slots)
-        out[:_SLOTS, kind] += np.bincount(pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] % _SLOTS, minlength=_SLOTS)
-        out[_SLOTS:, kind] += np.bincount(_halves(own)[chosen], minlength=2)
-        at = end
+        pairs = np.repeat(np.arange(len(sizes), dtype=np.uint32) << np.uint32(18), sizes)
+        pairs = np.concatenate([pairs | own_slots.astype(np.uint32) for own_slots in slots])
+        pairs.sort()
+        once = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]] & np.uint32(2 * _SLOTS - 1)
+        out[:_SLOTS, kind] += np.bincount(once, minlength=_SLOTS + 1)[:_SLOTS]
+        out[_SLOTS:, kind] += np.bincount(_halves(own), minlength=2)
     return out
 
 
@@ -319,11 +346,12 @@ class LineModel:
 
     def scores(self, masked: Sequence[str]) -> np.ndarray:
         """(lines, 3): mean log odds of each line's grams."""
-        if not len(masked):
-            return np.zeros((0, 3))
-        slots, lines = _gram_slots(masked)
-        counts = np.bincount(lines, minlength=len(masked))[:, None]
-        return np.stack([np.bincount(lines, self.odds[slots, k], len(masked)) for k in range(3)], 1) / np.maximum(counts, 1)
+        out = np.zeros((len(masked), 3))
+        for at, end in _portions(masked):
+            slots, sizes = _gram_slots(masked[at:end])
+            for k in range(3):
+                out[at:end, k] = _line_sums(self.odds[:, k], slots, sizes) / (3 * sizes - 3)
+        return out
 
     def facts(self, masked: dict[str, str]) -> dict[str, LineFacts]:
         """What each different line tells by itself; masked: the lines with their masked forms."""
@@ -419,37 +447,28 @@ def title_likeness(line: str, title: str | None) -> float:
     return both / (len(a) + len(b) - both) if a and b else 0.0
 
 
+def bare_of(line: str) -> str:
+    """The line without blanks and byte order marks around it."""
+    return line.strip().strip("\ufeff").strip()
+
+
 def is_html(content_type: Column) -> Column:
     """A content type that names html, in whatever spelling."""
     return F.coalesce(F.lower(content_type).contains("html"), F.lit(False))
 
 
-def fit_lines(rows: DataFrame, totals: DataFrame, titles: DataFrame | None, lines_in) -> LineModel:
+def fit_lines(read: DataFrame, titles: DataFrame | None) -> LineModel:
     """The line model, from every different line of all blocks of three pages or more (smaller ones have no repeats to tell by), and from all titles. What no
     other page has is taken from hosts of eight notices or more, unless all hosts together have fewer than 500 such lines.
 
-    The lines are written to the shared folder and counted there, once for each round. What reaches the driver are the counts of the grams'
-    slots, whatever the number of lines, and those site lines that two blocks have, as many as sites have.
+    read: the table that ``main_lines`` keeps; each of a block's examples is on the first page that has it. The lines are written to the shared folder and
+    counted there, once for each round. What reaches the driver are the counts of the grams' slots, whatever the number of lines, and those site lines that
+    two blocks have, as many as sites have.
     """
-    most = rows.groupBy("host", "block").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    most = read.agg(F.max("pages")).first()[0]
     if not most:
         return LineModel.fit({}, [], [])
-    least = min(3, most)
-
-    def examples(group: pd.DataFrame, host_counts: pd.DataFrame) -> pd.DataFrame:
-        out: dict[tuple[int, str], None] = {}
-        if len(group) >= least:
-            _, texts, owners = lines_in(group)
-            masked = masked_forms(texts)
-            seen, count = host_repeats(texts, owners, host_counts, masked)
-            for lines, marks in zip(texts, seen):
-                for line, (share, run) in zip(lines, marks):
-                    # Runs of two lines or more, so that a head or a date which notices share is no example.
-                    if line and (run == 0 or (run >= 2 and share >= 0.3 and covered(share, run, count) and not _in_notices(line))):
-                        out[0 if run else 1 if count >= 8 else 2, masked[line]] = None
-        return pd.DataFrame(list(out), columns=["kind", "line"])
-
-    kinds = rows.groupBy("host", "block").cogroup(totals.groupBy("host", "block")).applyInPandas(examples, "kind int, line string")
+    kinds = read.where(F.col("pages") >= min(3, most)).select(F.explode(F.arrays_zip("kind", "example")).alias("x")).select("x.kind", F.col("x.example").alias("line"))
     kinds = kinds.groupBy("line").agg(F.count_if(F.col("kind") == 0).alias("n"), F.max(F.col("kind") == 1).alias("wide"))
     lines = kinds.select(F.when(F.col("n") > 0, SITE).when(F.col("wide"), BODY).otherwise(_SPARE).alias("kind"), "line", "n")
     if titles is not None:
@@ -511,7 +530,8 @@ def main_lines(
     blocks of about that size, so no task holds a whole large host. How many notices of the host have a
     line, or two lines in a row, is summed over its blocks and joined back to each, so a page is judged by
     the whole host. A page without a notice is an owner of its own; a notice of more than ``block_pages`` pages is split by page, and
-    counted once. The lists of such hosts and notices have at most a row for every ``block_pages`` pages. The line model is fitted on all lines (``fit_lines``); of the garbling model, the pairs' emissions come from a bounded sample (``fit_model``).
+    counted once. The lists of such hosts and notices have at most a row for every ``block_pages`` pages. Each page's
+    restored lines and repeats are kept in the shared folder, as a checkpoint is, and judged there, page by page. The line model is fitted on all lines (``fit_lines``); of the garbling model, the pairs' emissions come from a bounded sample (``fit_model``).
     """
     host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
     rows = pages.select(F.col(key).alias("k"), F.col(text).alias("t"), host.alias("host"), F.col(owner).alias("o")).where("t is not null and t <> ''")
@@ -526,16 +546,22 @@ def main_lines(
     kt, ot = pages.schema[key].dataType, pages.schema[owner].dataType
     schema = T.StructType([T.StructField("k", kt), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.StringType())])
 
-    def lines_in(group: pd.DataFrame) -> tuple[list[list[str]], list[list[str]], list[object]]:
-        """Lines as they are, lines restored and stripped, and owners."""
+    read_type = T.StructType([
+        T.StructField("k", kt), T.StructField("title", T.StringType()), T.StructField("t", T.StringType()), T.StructField("fixed_at", T.ArrayType(T.IntegerType())), T.StructField("fixed", T.ArrayType(T.StringType())),
+        T.StructField("share", T.ArrayType(T.DoubleType())), T.StructField("run", T.ArrayType(T.IntegerType())), T.StructField("owners", T.LongType()), T.StructField("pages", T.LongType()),
+        T.StructField("kind", T.ArrayType(T.IntegerType())), T.StructField("example", T.ArrayType(T.StringType())),
+    ])
+
+    def lines_in(group: pd.DataFrame) -> tuple[list[list[str]], list[list[str]], list[object], set[str]]:
+        """Lines as they are, lines restored and stripped, owners, and which of the first are restored."""
         raw = [t.split("\n") for t in group["t"]]
         fixed = Repairs(sent.value).of([x for lines in raw for x in lines])
-        bare = {x: (fixed[x][0] if x in fixed else x).strip().strip("\ufeff").strip() for x in dict.fromkeys(x for lines in raw for x in lines)}
+        bare = {x: bare_of(fixed[x][0] if x in fixed else x) for x in dict.fromkeys(x for lines in raw for x in lines)}
         texts = [[bare[x] for x in lines] for lines in raw]
-        return raw, texts, [("page", k) if pd.isna(o) else ("notice", o) for k, o in zip(group["k"], group["o"])]
+        return raw, texts, [("page", k) if pd.isna(o) else ("notice", o) for k, o in zip(group["k"], group["o"])], set(fixed)
 
     def count_owners(group: pd.DataFrame) -> pd.DataFrame:
-        _, texts, owners = lines_in(group)
+        _, texts, owners, _ = lines_in(group)
         own = block_counts(texts, owners, {o for o, w in zip(owners, group["wide"]) if w})
         parts = [pd.DataFrame({"key": keys.view(np.int64), "n": counts, "own": "" if o is None else f"{o[0]}:{o[1]}"}) for o, keys, counts in own]
         return pd.concat(parts).assign(host=group["host"].iat[0], block=group["block"].iat[0])[["host", "block", "key", "n", "own"]]
@@ -548,7 +574,6 @@ def main_lines(
     names = None
     if titles is not None:
         names = titles.select(F.col(title_key).alias("o"), F.col(title).alias("__title")).groupBy("o").agg(F.max("__title").alias("__title"))
-    learned = pages.sparkSession.sparkContext.broadcast(line_model or fit_lines(rows, totals, names, lines_in))
     # What a block needs beside its pages: the host's counts, and the titles of its notices, with -1 for a count. No number is
     # null, as pandas would make floats of them all.
     beside = totals.select("host", "block", "key", "n", F.lit(None).cast(ot).alias("o"), F.lit(None).cast("string").alias("__title"))
@@ -556,20 +581,54 @@ def main_lines(
         own = rows.select("host", "block", "o").where("o is not null").distinct().join(names, "o")
         beside = beside.unionByName(own.select("host", "block", F.lit(0).cast("bigint").alias("key"), F.lit(-1).cast("bigint").alias("n"), "o", "__title"))
 
-    def judge(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    def read(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(group):
-            return pd.DataFrame([], columns=schema.names)
-        raw, texts, owners = lines_in(group)
+            return pd.DataFrame([], columns=read_type.names)
+        raw, texts, owners, restored = lines_in(group)
         masked = masked_forms(texts)
         counted, named = known[known["n"] >= 0], known[known["n"] < 0]
         title_of = dict(zip(named["o"], named["__title"]))
         seen, count = host_repeats(texts, owners, counted, masked)
-        facts = learned.value.facts(masked)
+        examples: set[tuple[int, str]] = set()
         out = []
-        for k, o, lines, own, marks in zip(group["k"], group["o"], texts, raw, seen):
-            kinds = line_kinds(lines, marks, count, facts)
-            head = headline(lines, kinds, None if pd.isna(o) else title_of.get(o))
-            out += [(k, n + 1, lines[n] if n == head else own[n]) for n, kind in enumerate(kinds) if kind == "n" or n == head]
-        return pd.DataFrame(out, columns=schema.names)
-
-    return rows.groupBy("host", "block").cogroup(beside.groupBy("host", "block")).applyInPandas(judge, schema).withColumnRenamed("k", key)
+        for k, o, t, own, lines, marks in zip(group["k"], group["o"], group["t"], raw, texts, seen):
+            fixed_at = [n for n, x in enumerate(own) if x in restored]
+            of_page: dict[tuple[int, str], None] = {}
+            for line, (share, run) in zip(lines, marks):
+                # Runs of two lines or more, so that a head or a date which notices share is no example.
+                if line and (run == 0 or (run >= 2 and share >= 0.3 and covered(share, run, count) and not _in_notices(line))):
+                    x = 0 if run else 1 if count >= 8 else 2, masked[line]
+                    if x not in examples:
+                        examples.add(x)
+                        of_page[x] = None
+            shares, runs = zip(*marks)
+            out.append((k, None if pd.isna(o) else title_of.get(o), t, fixed_at, [lines[n] for n in fixed_at], shares, runs, count, len(group), [x for x, _ in of_page], [x for _, x in of_page]))
+        return pd.DataFrame(out, columns=read_type.names)
+
+    # Each page is read once. What is kept of it, its restored lines, marks and examples, needs neither the host's other pages nor a shuffle to be judged.
+    pages_read, _ = kept(rows.groupBy("host", "block").cogroup(beside.groupBy("host", "block")).applyInPandas(read, read_type))
+    learned = pages.sparkSession.sparkContext.broadcast(line_model or fit_lines(pages_read, names))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), _JUDGED):
+                group = batch.iloc[at : at + _JUDGED]
+                raw = [t.split("\n") for t in group["t"]]
+                bare = {x: bare_of(x) for x in dict.fromkeys(x for lines in raw for x in lines)}
+                texts = [[bare[x] for x in lines] for lines in raw]
+                for lines, where, fixed in zip(texts, group["fixed_at"], group["fixed"]):
+                    for n, x in zip(where, fixed):
+                        lines[n] = x
+                facts = learned.value.facts(masked_forms(texts))
+                keys, places, out = [], [], []
+                for k, title_of_page, lines, own, shares, runs, count in zip(group["k"], group["title"], texts, raw, group["share"], group["run"], group["owners"]):
+                    kinds = line_kinds(lines, list(zip(shares.tolist(), runs.tolist())), count, facts)
+                    head = headline(lines, kinds, title_of_page)
+                    main = [n for n, kind in enumerate(kinds) if kind == "n" or n == head]
+                    keys += [k] * len(main)
+                    places += [n + 1 for n in main]
+                    out += [lines[n] if n == head else own[n] for n in main]
+                yield pd.DataFrame({"k": keys, "line_no": places, "line": out})
+
+    needed = pages_read.select("k", "title", "t", "fixed_at", "fixed", "share", "run", "owners")
+    return needed.mapInPandas(judge, schema).withColumnRenamed("k", key)

@@ -9,6 +9,7 @@ state's inverse transform.
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -41,10 +42,11 @@ _UNDEFINED = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 #: cp1252 with its five undefined bytes read as latin-1, as browsers do.
 _FROM_LATIN1 = {b: chr(b) if b in _UNDEFINED else bytes([b]).decode("cp1252") for b in range(128, 160)}
 _TO_LATIN1 = {ord(c): chr(b) for b, c in _FROM_LATIN1.items()}
+_CP1252 = "".join(_FROM_LATIN1.get(b, chr(b)) for b in range(256))
 
 
 def _read(data: bytes, decoder: str, errors: str) -> str:
-    return data.decode("latin-1").translate(_FROM_LATIN1) if decoder == "cp1252" else data.decode(decoder, errors)
+    return codecs.charmap_decode(data, errors, _CP1252)[0] if decoder == "cp1252" else data.decode(decoder, errors)
 
 
 def _written(text: str, encoder: str, errors: str = "strict") -> bytes:
@@ -98,16 +100,22 @@ def _tally(lines: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rises(gains: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The greatest sum of a run of gains in each line, over all columns; lengths are above 0."""
+    """The greatest sum of a run of gains in each line, over all columns, if there are such; lengths are above 0."""
     if not len(lengths):
         return np.zeros(0)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    ends = np.cumsum(lengths)
+    first = ends - lengths
     sums = np.cumsum(gains, axis=0, dtype=np.float64)
-    before = np.concatenate([np.zeros((1, sums.shape[1])), sums[:-1]])
     # Each line's sums lie below all of the lines before, so the running least never looks back over its start.
-    drop = np.repeat(np.arange(len(lengths)) * 1e7, lengths)[:, None]
-    rise = sums - drop - np.minimum.accumulate(before - drop, axis=0)
-    return np.maximum.reduceat(rise.max(axis=1), first)
+    drop = np.repeat(np.arange(len(lengths)) * 1e7, lengths)
+    sums -= drop if gains.ndim == 1 else drop[:, None]
+    before = np.empty_like(sums)
+    before[1:] = sums[:-1]
+    # A line's first has the sum of the lines before, at its own height.
+    before[first[1:]] -= 1e7
+    before[0] = 0
+    sums -= np.minimum.accumulate(before, axis=0, out=before)
+    return np.maximum.reduceat(sums if gains.ndim == 1 else sums.max(axis=1), first)
 
 
 @dataclass
@@ -165,7 +173,7 @@ class Model:
         keys = keys_of(points, starts, self.classes)
         slots, kinds = self.slot[points], keys // _N
         filled = np.flatnonzero(lengths)
-        rough = filled[_rises(self.best[kinds, slots][:, None], lengths[filled]) >= self.least]
+        rough = filled[_rises(self.best[kinds, slots], lengths[filled]) >= self.least]
         out, at = [], 0
         while at < len(rough):
             end = at + 1
@@ -320,7 +328,7 @@ class Model:
 
 def pieces_of(text: Column) -> Column:
     """A text's lines, cut at quotes and tabs into cells: each with the sign before it, a line's first with the line feed."""
-    return F.split(F.replace(F.replace(F.replace(F.concat(F.lit("\n"), F.translate(text, "\0", " ")), F.lit("\n"), F.lit("\0\n")), F.lit('"'), F.lit('"\0"')), F.lit("\t"), F.lit("\t\0\t")), "\0")
+    return F.split(F.replace(F.replace(F.replace(F.concat(F.lit("\n"), F.replace(text, F.lit("\0"), F.lit(" "))), F.lit("\n"), F.lit("\0\n")), F.lit('"'), F.lit('"\0"')), F.lit("\t"), F.lit("\t\0\t")), "\0")
 
 
 def _weights(counts: np.ndarray) -> np.ndarray:

@@ -49,14 +49,21 @@ def is_one_machine(master: str) -> bool:
     return master == "local" or master.startswith(("local[", "local-cluster["))
 
 
-@contextmanager
-def stored(df: DataFrame) -> Iterator[DataFrame]:
-    """The frame written as a table to the shared folder and read from there; gone at the end of the block."""
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame written as a table to the shared folder and read from there, and its folder; it stays as a checkpoint does, but is read by columns."""
     spark = df.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+@contextmanager
+def stored(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame as a table in the shared folder, gone at the end of the block."""
+    spark = df.sparkSession
+    table, folder = kept(df)
     try:
-        yield spark.read.schema(df.schema).parquet(folder)
+        yield table
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

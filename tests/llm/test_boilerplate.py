@@ -140,3 +140,32 @@ def test_forms_in_parts():
     assert [b._is_between(x) for x in lines] == [bool(b._BETWEEN.search(x)) for x in lines]
     facts = b.LineModel.fit({}, [], []).facts({x: x for x in lines})
     assert [(f.numbered, f.signed, f.dated) for f in facts.values()] == [(bool(b._NUMBERED.search(x)), bool(b._SIGNED.search(x)), bool(b._DATE.search(x))) for x in lines]
+
+
+def test_each_page_is_read_once(spark):
+    """A page's lines are restored and its host's repeats told once, before the line model is fitted; judging shuffles no page."""
+    rows = [(f"p{n}", f"https://h{n % 3}.example/", page(n)[0], f"n{n}") for n in range(1, 31)]
+    rows.append(("g", "https://h0.example/", "\n".join(["  " + title(40).encode().decode("latin-1"), BODY.format("甲县") + " "]), "n40"))
+    df = spark.createDataFrame(rows, "id string, url string, t string, notice string")
+    lines = main_lines(df, "id", "t", "url", "notice", titles=spark.createDataFrame([("n40", title(40))], "id string, title string"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "Exchange" not in plan and "InPandas" not in plan.replace("MapInPandas", "")
+    # The headline comes restored, all other lines as they are.
+    assert {(r.line_no, r.line) for r in lines.where("id = 'g'").collect()} == {(1, title(40)), (2, BODY.format("甲县") + " ")}
+
+
+def test_grams_of_lines():
+    """Counts and sums of the grams are those of each line by itself, whatever lines are next to it, across portions too."""
+    from sluicework.llm import boilerplate as b
+
+    rng = random.Random(5)
+    lines = ["", "甲", "ab", "aaaa", "𠀀b\ud800", *("".join(rng.choice(NAMES + "xyz") for _ in range(rng.randint(0, 40))) for _ in range(300)), "甲乙" * 60_000, "乙"]
+    sets = [b.gram_counts([x], b.TITLE) for x in lines]
+    assert all(s[b._SLOTS :, b.TITLE].sum() == 1 and s.max() == 1 for s in sets) and sets[2][: b._SLOTS].sum() == 9
+    assert (b.gram_counts(lines, b.TITLE) == sum(sets)).all()
+    odds = np.random.default_rng(5).normal(size=(b._SLOTS, 3)).astype(np.float32)
+    model = b.LineModel(odds)
+    assert (model.scores(lines) == np.concatenate([model.scores([x]) for x in lines])).all()
+    lean = odds[:, b.TITLE] - odds[:, b.BODY]
+    chosen = [s for s, x in zip(sets, lines) if b.LineModel(np.stack([lean] * 3, 1)).scores([x])[0, 0] > 0]
+    assert 0 < len(chosen) < len(lines) and (b.gram_counts(lines, b.TITLE, lean) == sum(chosen)).all()
